@@ -172,7 +172,14 @@ def s4(spark, sf):
     ))
 
 
-@query("snk7_export_snapshot")
+@query(
+    "snk7_export_snapshot",
+    f"""with l as (select * from t_aqi8 qualify row_number() over (partition by location_hash order by timestamp desc) = 1),
+    f as (select location_hash, count(*) as n from {NEWEST} group by 1),
+    h as (select location_hash, count(*) as n from t_aqi8 where timestamp >= (select max(timestamp) - interval 72 hours from l) group by 1)
+    select 'node' as kind, location_hash as id, cast(coalesce(f.n, 0) as int) as forecast_hours, cast(coalesce(h.n, 0) as int) as history_hours, l.aqi as aqi
+    from l left join f using (location_hash) left join h using (location_hash) union all select 'skill', 'seasonal', null, null, null""",
+)
 def snk7(spark, sf):
     """One JSON line per node, written as text and read back."""
     from vayuspark.session import run_dir

@@ -121,7 +121,11 @@ def src7(spark, sf):
     return rounded(rd.read_parts(spark, f"{path}").select(*K, "pm25", F.col("batch").cast("int")))
 
 
-@query("src8_read_weights")
+@query(
+    "src8_read_weights",
+    "with a as (select round(avg(aod) + 1e-9, 3) as a from t_obs) select pollutant, member, round(case when pollutant != 'pm25' then fallback when member = 'huber' then a when member = 'gbt' then 1 - a else 0 end + 1e-9, 6) as weight "
+    "from a, (select unnest(['pm25','pm10','no2','so2','co','o3']) as pollutant), (values ('huber', 0.4::double), ('gbt', 0.3::double), ('rf', 0.3::double)) m(member, fallback)",
+)
 def src8(spark, sf):
     """Mean of weighted hourly PM: learnt weights from a JSON file derived from the data, defaults where it has none."""
     path = run_dir(spark, "weights")
@@ -435,14 +439,14 @@ def g14(spark, sf):
     return rounded(ag.holdout_metrics(obs(spark, sf), "pm10", "pm25", ["location_hash"]), 5)
 
 
-@query("g16_watched")
+@query("g16_watched", f"select {r('min(o3) as low', 'max(o3) as high', 'avg(o3) as mean', 'avg(case when o3 is not null then 1 else 0 end) as coverage')}, count(o3) as known from t_obs")
 def g16(spark, sf):
     """Range and coverage of O3, observed while a grouped job over the same rows runs."""
     seen_df, seen = ag.watched(obs(spark, sf), "o3 report", "o3")
     per_node = seen_df.groupBy("location_hash").agg(F.count("o3").alias("n"))
     total = per_node.agg(F.sum("n")).first()[0]
     got = seen.get
-    return spark.createDataFrame([(got["low"], got["high"], got["mean"], got["coverage"], total)], "low double, high double, mean double, coverage double, known long")
+    return rounded(spark.createDataFrame([(got["low"], got["high"], got["mean"], got["coverage"], total)], "low double, high double, mean double, coverage double, known long"))
 
 
 @query("w13_keep_last", f"select {KEYS}, {r('case when hour(timestamp) % 2 = 0 then pm25 + 1 else pm25 end as pm25')}, cast(case when hour(timestamp) % 2 = 0 then 2 else 1 end as int) as ingested_at from t_obs")

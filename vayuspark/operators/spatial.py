@@ -86,8 +86,8 @@ def _candidates(pc: DataFrame, sc: DataFrame, metric: str, max_km: float | None)
     around = F.sequence(F.lit(-1), F.lit(1))
     blocks = (
         first.withColumn("level", level)
-        .withColumn("ci", F.floor(F.col("pi") / size) + F.explode(around))
-        .withColumn("cj", F.floor(F.col("pj") / size) + F.explode(around))
+        .withColumn("_i", F.explode(around)).withColumn("_j", F.explode(around))
+        .withColumns({"ci": F.floor(F.col("pi") / size) + F.col("_i"), "cj": F.floor(F.col("pj") / size) + F.col("_j")})
     )
     pairs = blocks.join(pyramid, ["level", "ci", "cj"]).select(*cols, "reach", low.alias("low"), high.alias("high"))
     pairs = pairs.where(F.col("low") <= F.col("reach"))
