@@ -29,7 +29,7 @@ def obs(spark, sf):
     f"select {KEYS}, " + ", ".join(r(f"{sub_index_sql(p, p)} as {SUB_INDICES[p]}") for p in POLLUTANTS) + " from t_obs",
 )
 def f1(spark, sf):
-    cols = [cpcb.sub_index(F.col(p), p).alias(SUB_INDICES[p]) for p in POLLUTANTS]
+    cols = [cpcb.sub_index(p, p).alias(SUB_INDICES[p]) for p in POLLUTANTS]
     return rounded(obs(spark, sf).select(*K, *cols))
 
 
@@ -52,7 +52,7 @@ def f2(spark, sf):
 
 @query("f3_category_index", f"select {KEYS}, cast({category_index_sql(half_even_sql('pm10'))} as int) as idx from t_obs")
 def f3(spark, sf):
-    return obs(spark, sf).select(*K, cpcb.category_index(F.col("pm10")).alias("idx"))
+    return obs(spark, sf).select(*K, cpcb.category_index(cpcb.half_even(F.col("pm10"))).alias("idx"))
 
 
 _COMPOSITE = ", ".join(f"round({sub_index_sql(p, p)} + 1e-9, 2) as {SUB_INDICES[p]}" for p in POLLUTANTS)

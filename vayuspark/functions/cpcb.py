@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, SparkSession, functions as F
 
 from vayuspark.vocab import (
@@ -10,17 +13,23 @@ from vayuspark.vocab import (
 )
 
 
-def sub_index(conc: Column, pollutant: str) -> Column:
-    """Piecewise-linear index of an averaged concentration; null stays null, the top is 500."""
-    points = BREAKPOINTS[pollutant]
-    c = F.greatest(conc, F.lit(0.0))
-    out = F.when(conc.isNull() | F.isnan(conc), F.lit(None).cast("double")).when(
-        c >= points[-1], F.lit(INDEX_LEVELS[-1])
-    )
+def sub_index_text(name: str, pollutant: str) -> str:
+    """SQL text of the piecewise-linear index of an averaged concentration column."""
+    points, known = BREAKPOINTS[pollutant], f"`{name}` IS NOT NULL AND NOT isnan(`{name}`)"
+    arms = [f"WHEN {known} AND `{name}` < {points[0]}D THEN {INDEX_LEVELS[0]}D"]
     for i in range(len(points) - 1):
         slope = (INDEX_LEVELS[i + 1] - INDEX_LEVELS[i]) / (points[i + 1] - points[i])
-        out = out.when(c < points[i + 1], F.lit(INDEX_LEVELS[i]) + (c - points[i]) * F.lit(slope))
-    return out
+        arms.append(f"WHEN `{name}` < {points[i + 1]}D THEN {INDEX_LEVELS[i]}D + (`{name}` - {points[i]}D) * {slope!r}D")
+    return f"CASE {' '.join(arms)} WHEN {known} THEN {INDEX_LEVELS[-1]}D END"
+
+
+def sub_index(name: str, pollutant: str) -> Column:
+    """Index of a column by name; null stays null, below 0 is 0, the top is 500."""
+    return F.expr(sub_index_text(name, pollutant))
+
+
+def settled_index(name: str, pollutant: str, digits: int = 6) -> Column:
+    return F.expr(f"round(({sub_index_text(name, pollutant)}) + 1e-9D, {digits})")
 
 
 def category(aqi: Column) -> Column:
@@ -31,12 +40,8 @@ def category(aqi: Column) -> Column:
 
 
 def category_index(aqi: Column) -> Column:
-    """0 (Good) to 5 (Severe) of the rounded index."""
-    rounded = half_even(aqi)
-    out = F.when(rounded.isNull(), F.lit(None).cast("int"))
-    for i, (upper, _) in enumerate(CATEGORIES):
-        out = out.when(rounded <= upper, F.lit(i))
-    return out.otherwise(F.lit(len(CATEGORIES)))
+    """0 (Good) to 5 (Severe) of a rounded index."""
+    return sum((aqi > upper).cast("int") for upper, _ in CATEGORIES)
 
 
 def settle(x: Column, digits: int = 6) -> Column:
@@ -51,7 +56,7 @@ def half_even(x: Column) -> Column:
 def index_columns(averages: dict[str, str] | None = None) -> dict[str, Column]:
     """Sub-index column per pollutant from the averaged columns."""
     averages = averages or AVERAGES
-    return {SUB_INDICES[p]: settle(sub_index(F.col(averages[p]), p)) for p in POLLUTANTS}
+    return {SUB_INDICES[p]: settled_index(averages[p], p) for p in POLLUTANTS}
 
 
 def prominent(subs: dict[str, Column], top: Column) -> Column:
@@ -66,9 +71,13 @@ def prominent(subs: dict[str, Column], top: Column) -> Column:
 def with_aqi(df, averages: dict[str, str] | None = None):
     """Add sub-indices, aqi, prominent_pollutant, aqi_category; hours without any index go away."""
     subs = {p: F.col(SUB_INDICES[p]) for p in POLLUTANTS}
-    df = df.withColumns(index_columns(averages)).withColumn("_top", F.greatest(*subs.values()))
+    known = [F.col(c).isNotNull() & ~F.isnan(F.col(c)) for c in (averages or AVERAGES).values()]
+    df = df.where(reduce(or_, known))       # asked of the averages, so that no index is worked out twice
+    # the top index is asked of the same expressions: used twice, they become methods of their own in the
+    # generated code, which keeps every method small enough for the JIT
+    exprs = index_columns(averages)
     return (
-        df.where(F.col("_top").isNotNull())
+        df.withColumns({**exprs, "_top": F.greatest(*exprs.values())})
         .withColumns({
             "aqi": half_even(F.col("_top")),
             "prominent_pollutant": prominent(subs, F.col("_top")),
@@ -80,8 +89,8 @@ def with_aqi(df, averages: dict[str, str] | None = None):
 
 def composite(df, columns: dict[str, str]):
     """Row-wise index of already averaged values: sub-indices to 2 digits, label, category."""
-    subs = {SUB_INDICES[p]: settle(sub_index(F.col(c), p), 2) for p, c in columns.items()}
-    df = df.withColumns(subs).withColumn("_top", F.greatest(*[F.col(c) for c in subs]))
+    subs = {SUB_INDICES[p]: settled_index(c, p, 2) for p, c in columns.items()}
+    df = df.withColumns({**subs, "_top": F.greatest(*subs.values())})
     label = F.lit(None).cast("string")
     for p in reversed(list(columns)):
         label = F.when(F.col(SUB_INDICES[p]) == F.col("_top"), F.lit(LABELS[p])).otherwise(label)

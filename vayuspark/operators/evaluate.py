@@ -10,7 +10,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from vayuspark.functions.cpcb import category_index, half_even, prominent, settle, sub_index
+from vayuspark.functions.cpcb import category_index, half_even, prominent, settle, settled_index
 from vayuspark.functions.values import delta_to_conc
 from vayuspark.operators.blocks import exact_quantiles, order_bucket, running_before
 from vayuspark.operators.features import history_conc
@@ -73,17 +73,17 @@ def search_weights(rows: DataFrame, members: list[str] = MEMBERS, step: float =
 
 
 def blend(rows: DataFrame, weights: DataFrame, present: list[str] = MEMBERS, name: str = "ensemble") -> DataFrame:
-    """Weighted mean over the members at hand, weights scaled to sum 1, all zero -> plain mean."""
-    pick = lambda p, m: F.coalesce(
-        F.max(F.when((F.col("pollutant") == p) & (F.col("member") == m), F.col("weight"))), F.lit(0.0)
-    ).alias(f"{m}_{p}")
-    one = weights.agg(F.struct(*[pick(p, m) for p in POLLUTANTS for m in present]).alias("w")).scalar()
+    """Weighted mean over the members at hand, weights scaled to sum 1, all zero -> plain mean.
+
+    The few learnt weights (pollutants x members) are read once and become literals.
+    """
+    known = {(w["pollutant"], w["member"]): w["weight"] for w in weights.collect()}
     out = {}
     for p in POLLUTANTS:
-        total = sum(one[f"{m}_{p}"] for m in present)
-        mixed = sum(one[f"{m}_{p}"] * F.col(f"{m}_{p}") for m in present) / total
-        plain = sum(F.col(f"{m}_{p}") for m in present) / len(present)
-        out[f"{name}_{p}"] = F.when(total > 0, mixed).otherwise(plain)
+        share = [known.get((p, m), 0.0) for m in present]
+        total = sum(share)
+        share = [w / total for w in share] if total > 0 else [1 / len(present)] * len(present)
+        out[f"{name}_{p}"] = sum(F.lit(w) * F.col(f"{m}_{p}") for w, m in zip(share, present))
     return rows.withColumns(out)
 
 
@@ -134,10 +134,11 @@ def path_index(history: DataFrame, forecast: DataFrame, variants: list[str]) ->
     means = path.select(
         "*", *[strict_mean(f"{v}_{p}", WINDOW_HOURS[p]).alias(f"_m_{v}_{p}") for v in variants for p in POLLUTANTS]
     ).where(F.col("step") >= 1)
-    subs = means.withColumns({
-        f"_s_{v}_{p}": settle(sub_index(F.col(f"_m_{v}_{p}"), p)) for v in variants for p in POLLUTANTS
+    subs = {(v, p): settled_index(f"_m_{v}_{p}", p) for v in variants for p in POLLUTANTS}
+    tops = means.withColumns({
+        **{f"_s_{v}_{p}": x for (v, p), x in subs.items()},
+        **{f"{v}_raw": F.greatest(*[subs[v, p] for p in POLLUTANTS]) for v in variants},
     })
-    tops = subs.withColumns({f"{v}_raw": F.greatest(*[F.col(f"_s_{v}_{p}") for p in POLLUTANTS]) for v in variants})
     named = tops.withColumns({
         f"{v}_prominent": prominent({p: F.col(f"_s_{v}_{p}") for p in POLLUTANTS}, F.col(f"{v}_raw")) for v in variants
     })
@@ -162,9 +163,12 @@ def _long(wide: DataFrame, names: list[str], fields: list[str], group: list[str]
 def score_models(paths: DataFrame, names: list[str]) -> DataFrame:
     """Index MAE, RMSE, bias, category accuracy, share within 20, skill against persistence, per candidate."""
     aggs = [F.count(F.lit(1)).alias("_n")]
+    raws = paths.select(*[f"{n}_raw" for n in ("truth", *names)])
+    rounded = raws.withColumns({f"_r_{n}": half_even(F.col(f"{n}_raw")) for n in ("truth", *names)})
+    paths = rounded.withColumns({f"_c_{n}": category_index(F.col(f"_r_{n}")) for n in ("truth", *names)})
     for n in names:
         err = F.col(f"{n}_raw") - F.col("truth_raw")
-        same = category_index(F.col(f"{n}_raw")) == category_index(F.col("truth_raw"))
+        same = F.col(f"_c_{n}") == F.col("_c_truth")
         aggs += [
             F.avg(F.abs(err)).alias(f"{n}__aqi_mae"), F.sqrt(F.avg(err * err)).alias(f"{n}__aqi_rmse"),
             F.avg(err).alias(f"{n}__aqi_bias"), F.avg(same.cast("int")).alias(f"{n}__category_accuracy"),

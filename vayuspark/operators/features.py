@@ -8,9 +8,8 @@ from vayuspark.functions.calendar import as_ts, days, hour_number, hours, local_
 from vayuspark.functions.geo import unit_coordinates
 from vayuspark.functions.values import log_positive, standardise, wind_vector
 from vayuspark.operators.blocks import BLOCK, CORE, block_window, core_rows, running_before, with_halo
-from vayuspark.operators.joins import known_long_series
 from vayuspark.operators.windows import (
-    BLOCK_HOURS, NODE, TIME, fill_forward, keep_last, lag_deltas, node_span, rolling_deltas,
+    BLOCK_HOURS, NODE, TIME, fill_forward, keep_last, lag_deltas, rolling_deltas,
 )
 from vayuspark.vocab import (
     FILL_HOURS, FUTURE_FEATURES, HISTORY, HORIZON, LAGS, LOGGED, LOOKBACK, PAST_FEATURES, POLLUTANTS, RAW,
@@ -25,11 +24,18 @@ FRAME_COLUMNS = [NODE, TIME, "t", *PAST_FEATURES, *LAG_COLUMNS, *ROLL_COLUMNS, *
 
 
 def _axis(obs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Gap-free hours of the known nodes with raw values, coordinates and the first hour."""
-    known = known_long_series(obs, nodes)
+    """Gap-free hours of the known nodes with raw values, coordinates and the first hour.
+
+    Row counts and spans come from one narrow pass; the join from the axis leaves unknown nodes out.
+    """
     order = ["ingested_at"] if "ingested_at" in obs.columns else []
-    rows = keep_last(known.select(NODE, TIME, *RAW, *order), [NODE, TIME], order).select(NODE, TIME, *RAW)
-    span = node_span(rows).join(nodes.select(NODE, "lat", "lon"), NODE)
+    rows = keep_last(obs.select(NODE, TIME, *RAW, *order), [NODE, TIME], order).select(NODE, TIME, *RAW)
+    span = (
+        obs.groupBy(NODE)
+        .agg(F.count(F.lit(1)).alias("_rows"), F.min(TIME).alias("first_hour"), F.max(TIME).alias("last_hour"))
+        .where(F.col("_rows") > LOOKBACK)
+        .join(nodes.select(NODE, "lat", "lon"), NODE)
+    )
     lat, lon = unit_coordinates(F.col("lat"), F.col("lon"))
     axis = span.select(
         NODE, lat.alias("lat_norm"), lon.alias("lon_norm"), hour_number(F.col("first_hour")).alias("_first"),
@@ -196,16 +202,15 @@ def target_std(rows: DataFrame) -> DataFrame:
 def standardise_frame(rows: DataFrame, spec: DataFrame) -> DataFrame:
     """(x - mean) / std, null -> 0, for past features and `fut_` covariates that `rows` has.
 
-    The 42 pairs come as one scalar subquery, evaluated once.
+    The 42 learnt pairs are read once and become literals.
     """
+    pairs = {(s["part"], s["feature"]): (s["mean"], s["std"]) for s in spec.collect()}
     names = [("past", f, f) for f in PAST_FEATURES] + [("future", f, f"fut_{f}") for f in FUTURE_FEATURES]
-    names = [n for n in names if n[2] in rows.columns]
-    pick = lambda part, f, c: F.max(F.when((F.col("part") == part) & (F.col("feature") == f), F.col(c)))
-    one = spec.agg(F.struct(
-        *[pick(part, f, "mean").alias(f"m_{n}") for part, f, n in names],
-        *[pick(part, f, "std").alias(f"s_{n}") for part, f, n in names],
-    ).alias("spec")).scalar()
-    return rows.withColumns({n: standardise(F.col(n), one[f"m_{n}"], one[f"s_{n}"]) for _, _, n in names})
+    columns = set(rows.columns)
+    return rows.withColumns({
+        n: standardise(F.col(n), *[F.lit(v).cast("double") for v in pairs[part, f]])
+        for part, f, n in names if n in columns
+    })
 
 
 # ---- windows per sample ------------------------------------------------------------------------

@@ -51,10 +51,10 @@ def matrix(leads: DataFrame, frame: DataFrame, spec: DataFrame) -> DataFrame:
 
 
 def _std_of(stds: DataFrame):
-    """Scale of the log change per pollutant and lead time, as one scalar map (144 entries)."""
-    key = F.concat_ws("|", "pollutant", F.col("horizon").cast("int").cast("string"))
-    one = stds.agg(F.map_from_entries(F.collect_list(F.struct(key.alias("k"), "std"))).alias("m")).scalar()
-    return lambda p: one[F.concat(F.lit(f"{p}|"), F.col("lead").cast("string"))]
+    """Scale of the log change per pollutant and lead time, as array literals (144 numbers)."""
+    known = {(s["pollutant"], s["horizon"]): s["std"] for s in stds.collect()}
+    scales = {p: F.array(*[F.lit(float(known[p, h])) for h in range(1, HORIZON + 1)]) for p in POLLUTANTS}
+    return lambda p: F.element_at(scales[p], F.col("lead"))
 
 
 def train_members(train: DataFrame, val: DataFrame, stds: DataFrame, settings: Settings | None = None, members: list[str] = MEMBERS) -> dict:
