@@ -61,11 +61,8 @@ def index_columns(averages: dict[str, str] | None = None) -> dict[str, Column]:
 
 def prominent(subs: dict[str, Column], top: Column) -> Column:
     """First pollutant, in the fixed order, whose sub-index equals the top."""
-    out = None
-    for p in POLLUTANTS:
-        hit = subs[p] == top
-        out = F.when(hit, F.lit(LABELS[p])) if out is None else out.when(hit, F.lit(LABELS[p]))
-    return out
+    place = F.array_position(F.array(*[subs[p] for p in POLLUTANTS]), top).cast("int")
+    return F.element_at(F.array(*[F.lit(LABELS[p]) for p in POLLUTANTS]), place)
 
 
 def with_aqi(df, averages: dict[str, str] | None = None):

@@ -137,7 +137,9 @@ def path_index(history: DataFrame, forecast: DataFrame, variants: list[str]) ->
     subs = {(v, p): settled_index(f"_m_{v}_{p}", p) for v in variants for p in POLLUTANTS}
     tops = means.withColumns({
         **{f"_s_{v}_{p}": x for (v, p), x in subs.items()},
-        **{f"{v}_raw": F.greatest(*[subs[v, p] for p in POLLUTANTS]) for v in variants},
+        # named twice on purpose: a shared expression gets its own generated method, also when the
+        # sub-index columns themselves are pruned; one method for all of them is too big for the JIT
+        **{f"{v}_raw": F.greatest(*[subs[v, p] for p in POLLUTANTS] * 2) for v in variants},
     })
     named = tops.withColumns({
         f"{v}_prominent": prominent({p: F.col(f"_s_{v}_{p}") for p in POLLUTANTS}, F.col(f"{v}_raw")) for v in variants
