@@ -84,7 +84,8 @@ select location_hash, timestamp, t, n, {', '.join(f'{_log(c)} as log_{c}' for c
   sin({TWO_PI}*dayofyear(lt)/365.25) as doy_sin, cos({TWO_PI}*dayofyear(lt)/365.25) as doy_cos, case when isodow(lt) >= 6 then 1.0 else 0.0 end::double as is_weekend,
   (lat-6.5)/31 as lat_norm, (lon-68)/29.5 as lon_norm
 from (select f.*, f.timestamp + interval 330 minutes as lt, lat, lon, row_number() over w - 1 as t, count(*) over (partition by f.location_hash) as n
-  from t_fill8 f join t_nodes8 using (location_hash) window w as (partition by f.location_hash order by f.timestamp))
+  from t_fill8 f join t_nodes8 using (location_hash) where f.location_hash in (select location_hash from t_obs8 group by 1 having count(*) >= 169)
+  window w as (partition by f.location_hash order by f.timestamp))
 """
 
 

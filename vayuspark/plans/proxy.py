@@ -40,7 +40,7 @@ def fill_features(df: DataFrame) -> DataFrame:
 
 def training_matrix(obs: DataFrame) -> DataFrame:
     """Rows with AOD and both targets, weather gaps filled, ten features."""
-    rows = _with_defaults(training_rows(obs.select(NODE, TIME, "aod", *WEATHER, *TARGETS)))
+    rows = _with_defaults(training_rows(obs).select(NODE, TIME, "aod", *WEATHER, *TARGETS))
     filled = fill(rows, ["aod", *WEATHER], PROXY_FILL_ROWS, PROXY_FILL_ROWS)
     return with_utc_calendar(filled).dropna(subset=PROXY_FEATURES)
 

@@ -55,7 +55,8 @@ def explode_hourly(payloads: DataFrame, names: dict[str, str]) -> DataFrame:
     axis = F.coalesce(
         F.col("hourly.time"), F.raise_error(F.lit("payload without an hourly time axis")).cast("array<string>")
     )
-    hours = F.arrays_zip(axis.alias("time"), *[F.col(f"hourly.{n}").alias(n) for n in names])
+    none = F.array().cast("array<double>")      # a variable the payload lacks is null in every hour
+    hours = F.arrays_zip(axis.alias("time"), *[F.coalesce(F.col(f"hourly.{n}"), none).alias(n) for n in names])
     others = [c for c in payloads.columns if c != "hourly"]
     rows = payloads.select(*others, F.explode(hours).alias("h"))
     return rows.select(

@@ -46,8 +46,8 @@ def upsert(spark: SparkSession, path: str, rows: DataFrame, keys: list[str], ord
 
 
 def insert_if_absent(spark: SparkSession, path: str, rows: DataFrame, keys: list[str], partition: str, order: list[str] | None = None) -> None:
-    """Append rows with new keys; existing rows win."""
-    existing = read_table(spark, path, rows.schema)
+    """Append rows with new keys; existing rows win. Only the partitions that `rows` has are looked at."""
+    existing = read_table(spark, path, rows.schema).join(rows.select(partition).distinct(), partition, "left_semi")
     fresh = keep_last(rows, keys, order).join(existing.select(*keys), keys, "left_anti").select(*rows.columns)
     cut_lineage(fresh, "insert").hint("rebalance", partition).write.mode("append").partitionBy(partition).parquet(path)
 
