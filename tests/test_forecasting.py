@@ -60,7 +60,7 @@ def test_stride_counts_from_the_first_hour(spark, frame):
 
 def test_tabular_columns_align(spark, frame):
     some = ft.sample_index(frame, 24).limit(5)
-    got = ft.tabular_features(some.withColumn("horizon", F.lit(7)), frame)
+    got = ft.tabular_features(some.withColumn("leads", F.array(F.lit(7))), frame)
     assert len(TABULAR_FEATURES) == 85 and got.columns[3:88] == TABULAR_FEATURES
     rows = got.toPandas()
     assert len(rows) == 5 and rows["horizon"].tolist() == [7.0] * 5
@@ -90,7 +90,7 @@ def test_subsample_is_exact_and_stable(spark):
 
 def test_random_horizons_are_uniform(spark):
     s = spark.range(4000).select(F.concat(F.lit("n"), F.col("id")).alias("location_hash"), F.lit(at(0)).alias("timestamp"))
-    got = ft.random_horizons(s, 6, 1).groupBy("horizon").count().toPandas()
+    got = ft.random_horizons(s, 6, 1).select(F.explode("leads").alias("horizon")).groupBy("horizon").count().toPandas()
     assert sorted(got["horizon"]) == list(range(1, 25)) and got["count"].between(850, 1150).all()
 
 

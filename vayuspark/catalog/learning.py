@@ -173,7 +173,7 @@ def m3(spark, sf):
 def m5(spark, sf):
     """How often each lead time is drawn, six draws per training sample."""
     draws = ft.random_horizons(split(frame(spark, sf), "train"), 6, seed=1)
-    return draws.groupBy("horizon").agg(F.count(F.lit(1)).alias("n"))
+    return draws.select(F.explode("leads").alias("horizon")).groupBy("horizon").agg(F.count(F.lit(1)).alias("n"))
 
 
 # ---- candidates and scores ---------------------------------------------------------------------

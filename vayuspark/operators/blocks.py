@@ -38,7 +38,7 @@ def running_before(
 ) -> DataFrame:
     """Total weight of the rows ordered before each row of its group.
 
-    `bucket` must not fall while the order rises. Bucket totals are added up first (a table as small
+    `bucket` must not fall while the order rises; groups and bucket are never null. Bucket totals are added up first (a table as small
     as the number of buckets), rows are then counted only inside their bucket, so neither a whole
     group nor a whole table is ever ordered in one task.
     """
@@ -54,9 +54,7 @@ def running_before(
         ).alias("_offset"),
     )
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    joined = df.join(offsets, on=[df[k].eqNullSafe(offsets[k]) for k in keys], how="inner").select(
-        df["*"], offsets["_offset"]
-    )
+    joined = df.join(offsets, keys)       # leaves the rows partitioned as the window needs them
     return joined.withColumn(
         out, F.col("_offset") + F.coalesce(F.sum("_weight").over(inside), F.lit(0))
     ).drop("_bucket", "_weight", "_offset")
@@ -78,10 +76,9 @@ def exact_quantiles(df: DataFrame, groups: list[str], value: str, quantiles: lis
         .agg(F.count(F.lit(1)).alias("_n"))
     )
     placed = running_before(counts, groups, order_bucket(F.col(value)), [value], F.col("_n"), "_before")
-    sizes = df.where(F.col(value).isNotNull()).groupBy(*groups).agg(F.count(F.lit(1)).alias("_size"))
+    sizes = counts.groupBy(*groups).agg(F.sum("_n").alias("_size"))
     if groups:
-        on = [placed[g].eqNullSafe(sizes[g]) for g in groups]
-        placed = placed.join(sizes, on=on, how="inner").select(placed["*"], sizes["_size"])
+        placed = placed.join(sizes, groups)
     else:
         placed = placed.withColumn("_size", sizes.select("_size").scalar())
     aggs, outs = [], [F.col(g) for g in groups]

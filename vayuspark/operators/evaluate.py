@@ -62,14 +62,12 @@ def search_weights(rows: DataFrame, members: list[str] = MEMBERS, step: float =
         F.explode(literal).alias("w"),
     )
     mix = lambda p: sum(F.col(f"w.{m}") * F.col(f"{m}_{p}") for m in members)
-    errors = tried.groupBy("w.i").agg(
-        F.first(F.struct(*[F.col(f"w.{m}").alias(m) for m in members])).alias("w"),
-        *[F.avg(F.abs(mix(p) - F.col(f"y_{p}"))).alias(p) for p in POLLUTANTS],
-    )
-    long = errors.unpivot(["i", "w"], POLLUTANTS, "pollutant", "mae")
-    best = long.groupBy("pollutant").agg(F.min_by(F.struct("w", "mae"), F.struct(F.round("mae", 9), "i")).alias("b"))
-    pairs = F.array(*[F.struct(F.lit(m).alias("member"), F.col(f"b.w.{m}").alias("weight")) for m in members])
-    return best.select("pollutant", F.explode(pairs).alias("x"), "b.mae").select("pollutant", "x.member", "x.weight", "mae")
+    errors = tried.groupBy("w.i").agg(*[F.avg(F.abs(mix(p) - F.col(f"y_{p}"))).alias(p) for p in POLLUTANTS])
+    long = errors.unpivot("i", POLLUTANTS, "pollutant", "mae")
+    best = long.groupBy("pollutant").agg(F.min_by(F.struct("i", "mae"), F.struct(F.round("mae", 9), "i")).alias("b"))
+    best = best.select("pollutant", F.element_at(literal, F.col("b.i") + 1).alias("w"), "b.mae")
+    pairs = F.array(*[F.struct(F.lit(m).alias("member"), F.col(f"w.{m}").alias("weight")) for m in members])
+    return best.select("pollutant", F.explode(pairs).alias("x"), "mae").select("pollutant", "x.member", "x.weight", "mae")
 
 
 def blend(rows: DataFrame, weights: DataFrame, present: list[str] = MEMBERS, name: str = "ensemble") -> DataFrame:

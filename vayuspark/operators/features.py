@@ -130,25 +130,30 @@ def subsample(df: DataFrame, keys: list[str], n: int, seed: int = 0) -> DataFram
 
 
 def random_horizons(samples: DataFrame, k: int, seed: int = 0) -> DataFrame:
-    """k lead times per sample, uniform on 1..24, drawn with replacement from a hash."""
-    draw = F.pmod(F.xxhash64(NODE, TIME, "draw", F.lit(seed)), F.lit(HORIZON)) + 1
-    return samples.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).withColumn("horizon", draw.cast("int"))
+    """Add `leads`: k lead times per sample, uniform on 1..24, drawn with replacement from a hash."""
+    draw = lambda i: (F.pmod(F.xxhash64(F.col(NODE), F.col(TIME), i, F.lit(seed)), F.lit(HORIZON)) + 1).cast("int")
+    return samples.withColumn("leads", F.transform(F.sequence(F.lit(0), F.lit(k - 1)), draw))
 
 
 def all_horizons(samples: DataFrame) -> DataFrame:
-    return samples.withColumn("horizon", F.explode(F.sequence(F.lit(1), F.lit(HORIZON))))
+    """Add `leads`: 1..24."""
+    return samples.withColumn("leads", F.sequence(F.lit(1), F.lit(HORIZON)))
 
 
-def horizon_rows(leads: DataFrame, frame: DataFrame, base: list[str] | None = None) -> DataFrame:
-    """(sample, horizon) with `last_p` at t, true log change `y_p`, `d_yday_p` and covariates at t+h."""
+def horizon_rows(samples: DataFrame, frame: DataFrame, base: list[str] | None = None) -> DataFrame:
+    """(sample, horizon) with `last_p` at t, true log change `y_p`, `d_yday_p` and covariates at t+h.
+
+    Samples meet their issue hour before the `leads` are unfolded, so that join moves one row per sample.
+    """
     base = base or []
     at_issue = frame.select(NODE, TIME, *[F.col(c).alias(f"last_{c[4:]}") for c in LOGS], *base)
     at_target = frame.select(
         NODE, F.col(TIME).alias("target"), *[F.col(c).alias(f"_then_{c[4:]}") for c in LOGS], *YDAY, *[F.col(c).alias(f"fut_{c}") for c in FUTURE_FEATURES]
     )
     rows = (
-        leads.select(NODE, TIME, "horizon")
+        samples.select(NODE, TIME, "leads")
         .join(at_issue, [NODE, TIME])
+        .withColumn("horizon", F.explode("leads")).drop("leads")
         .withColumn("target", F.col(TIME) + hours(F.col("horizon")))
         .join(at_target, [NODE, "target"])
     )
@@ -160,10 +165,10 @@ def horizon_rows(leads: DataFrame, frame: DataFrame, base: list[str] | None = No
     )
 
 
-def tabular_features(leads: DataFrame, frame: DataFrame, spec: DataFrame | None = None) -> DataFrame:
+def tabular_features(samples: DataFrame, frame: DataFrame, spec: DataFrame | None = None) -> DataFrame:
     """85 columns per (sample, horizon) plus the targets; with `spec` past and covariates are standardised."""
     base = PAST_FEATURES + LAG_COLUMNS + ROLL_COLUMNS
-    rows = horizon_rows(leads, frame, base)
+    rows = horizon_rows(samples, frame, base)
     if spec is not None:
         rows = standardise_frame(rows, spec)
     rows = rows.withColumn("horizon_h", F.col("horizon").cast("double"))

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from vayuspark.functions.geo import DEGREE_KM, EARTH_KM, equirect_km, haversine_km, location_hash
 from vayuspark.vocab import DEDUPE_KM, GRID_BOX, NEAREST_KM
 
-CELL = 0.25        # degrees of the finest cell
-LEVELS = 12        # every level doubles the cell; the last holds the whole globe
+CELL = 1 / 64      # degrees of the finest cell: at most a few hundred places at three decimals
+LEVELS = 16        # every level doubles the cell; the last holds the whole globe
 
 
 def _ix(x: Column) -> Column:
@@ -66,8 +66,10 @@ def _candidates(pc: DataFrame, sc: DataFrame, metric: str, max_km: float | None)
     cols = [F.col(c) for c in ("pi", "pj", "si", "sj")]
     low, high = _bounds(metric, *cols)
     pyramid = _levels(sc, "si", "sj")
-    one_site = pyramid.groupBy("level", "ci", "cj").agg(F.min(F.struct("si", "sj")).alias("s")).select(
-        "level", "ci", "cj", "s.si", "s.sj"
+    # any one site cell per enclosing cell, packed in one number so that it is aggregated by hash
+    packed = F.min(F.shiftleft("si", 32) + F.col("sj")).alias("s")
+    one_site = pyramid.groupBy("level", "ci", "cj").agg(packed).select(
+        "level", "ci", "cj", F.shiftright("s", 32).alias("si"), F.col("s").bitwiseAND(2**32 - 1).alias("sj")
     )
     reach = F.min(high)
     if max_km is not None:
