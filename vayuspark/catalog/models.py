@@ -134,7 +134,7 @@ _FF = ", ".join(
 )
 
 
-@query("t0_ingest_hours", f"select {KEYS}, {r(*RAW)} from (select {KEYS}, {_FB} from (select {KEYS}, {_FF} from t_obs))")
+@query("ingest_hours", f"select {KEYS}, {r(*RAW)} from (select {KEYS}, {_FB} from (select {KEYS}, {_FF} from t_obs))")
 def ingest_hours(spark, sf):
     """Payload objects of both feeds, joined, converted and filled: the front half of an ingestion pass."""
     wx, aq = payloads(spark, sf, WEATHER_NAMES), payloads(spark, sf, AIR_NAMES)

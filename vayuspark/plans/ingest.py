@@ -9,6 +9,7 @@ from vayuspark.operators.quality import complete_schema, split_observed_future,
 from vayuspark.operators.windows import NODE, TIME, fill
 from vayuspark.plans.aqi import refresh_aqi
 from vayuspark.plans.proxy import fill_pm_gaps
+from vayuspark.session import cut_lineage
 from vayuspark.sources.readers import explode_hourly
 from vayuspark.vocab import AIR_NAMES, FILL_HOURS, RAW, WEATHER_NAMES
 
@@ -22,11 +23,11 @@ def hours_from_payloads(weather: DataFrame, air: DataFrame) -> DataFrame:
 
 def ingest(weather: DataFrame, air: DataFrame, as_of, models: dict | None = None) -> dict[str, DataFrame]:
     """`observed` rows to upsert, `frame` (observed and forecast hours, gap-filled PM) and `aqi` rows."""
-    frame = hours_from_payloads(weather, air)
+    frame = cut_lineage(hours_from_payloads(weather, air), "hours")      # read by everything below
     observed, future = split_observed_future(frame, as_of)
     observed = fill_pm_gaps(observed, models)
     patched = patch_columns(frame, observed, ["pm25", "pm10"])
     return {
         "observed": observed, "future": future, "frame": patched,
-        "aqi": refresh_aqi(observed.select(NODE, TIME, *[c for c in RAW])),
+        "aqi": refresh_aqi(observed.select(NODE, TIME, *RAW)),
     }

@@ -39,6 +39,7 @@ def merge_rows(existing: DataFrame, rows: DataFrame, keys: list[str], order: lis
 
 
 def upsert(spark: SparkSession, path: str, rows: DataFrame, keys: list[str], order: list[str], partition: str) -> None:
+    rows = cut_lineage(rows, "rows")        # read twice below, whatever it takes to work them out
     existing = read_table(spark, path, rows.schema)
     touched = rows.select(partition).distinct()
     merged = merge_rows(existing.join(touched, partition, "left_semi").select(*rows.columns), rows, keys, order)
@@ -47,6 +48,7 @@ def upsert(spark: SparkSession, path: str, rows: DataFrame, keys: list[str], ord
 
 def insert_if_absent(spark: SparkSession, path: str, rows: DataFrame, keys: list[str], partition: str, order: list[str] | None = None) -> None:
     """Append rows with new keys; existing rows win. Only the partitions that `rows` has are looked at."""
+    rows = cut_lineage(rows, "rows")
     existing = read_table(spark, path, rows.schema).join(rows.select(partition).distinct(), partition, "left_semi")
     fresh = keep_last(rows, keys, order).join(existing.select(*keys), keys, "left_anti").select(*rows.columns)
     cut_lineage(fresh, "insert").hint("rebalance", partition).write.mode("append").partitionBy(partition).parquet(path)
