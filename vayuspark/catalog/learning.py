@@ -142,7 +142,16 @@ def f16(spark, sf):
     return rounded(ft.standardise_frame(fr, spec).select(*K, *PAST_FEATURES), 5)
 
 
-@query("w15_past_matrix")
+_ALL = " + ".join(f"x.{c}" for c in PAST_FEATURES)
+
+
+@query(
+    "w15_past_matrix",
+    f"""select s.location_hash, s.timestamp, cast(count(*) / 4 as int) as patches, cast(4 * {len(PAST_FEATURES)} as int) as values,
+      {r(f'sum({_ALL}) filter (b.b <= -164) as first_sum', f'sum({_ALL}) filter (b.b >= -3) as last_sum', digits=5)}
+    from t_split8 s cross join (select unnest(range(-167,1)) as b) b join t_frame8 x on x.location_hash = s.location_hash and x.timestamp = s.timestamp + to_hours(b.b)
+    where split = 'test' group by 1, 2""",
+)
 def w15(spark, sf):
     """Windows of the test samples: their size and the sums of their first and last patch."""
     fr = stored_frame(spark, sf)
@@ -235,9 +244,17 @@ def g13(spark, sf):
     return rounded(ev.wilcoxon_less(errors, "mean", "persistence").drop("p_value"))
 
 
-@query("g13_wilcoxon_p_value")
+_FIT = "-1.26551223 + t*(1.00002368 + t*(0.37409196 + t*(0.09678418 + t*(-0.18628806 + t*(0.27886807 + t*(-1.13520398 + t*(1.48851587 + t*(-0.82215223 + t*0.17087277))))))))"
+
+
+@query(
+    "g13_wilcoxon_p_value",
+    f"""with q as ({RANKS}), x as (select *, abs(z)/sqrt(2) as x, 1/(1 + abs(z)/sqrt(2)/2) as t from q), p as (select *, t*exp(-x*x + {_FIT})/2 as tail from x)
+    select n, {r('case when z <= 0 then ln(tail) else ln(1 - tail) end as log_p', digits=3)} from p""",
+)
 def g13p(spark, sf):
-    return ev.wilcoxon_less(ev.sample_errors(paths(spark, sf), NAMES), "mean", "persistence")
+    test = ev.wilcoxon_less(ev.sample_errors(paths(spark, sf), NAMES), "mean", "persistence")
+    return rounded(test.select("n", F.log("p_value").alias("log_p")), 3)
 
 
 @query("g10_residual_quantiles", f"select horizon, pollutant, {r('q10', 'q90')} from t_quant8")

@@ -125,16 +125,13 @@ def interpolate_time(df: DataFrame, cols: list[str], limit: int = 3) -> DataFram
     placed = with_position(df)
     out = placed.withColumn("_blk", F.floor(F.col("_pos") / BLOCK_HOURS))
     # first known value of every later block, from one row per (node, block)
+    at = {c: F.when(F.col(c).isNotNull(), F.col("_pos")) for c in cols}
     knots = out.groupBy(NODE, "_blk").agg(
-        *[
-            F.min_by(F.struct(F.col(TIME).alias("t"), F.col(c).alias("v")), F.when(F.col(c).isNotNull(), F.col("_pos"))).alias(f"_k_{c}")
-            for c in cols
-        ]
+        *[F.min_by(TIME, at[c]).alias(f"_t_{c}") for c in cols], *[F.min_by(c, at[c]).alias(f"_v_{c}") for c in cols]
     )
     ahead = Window.partitionBy(NODE).orderBy("_blk").rowsBetween(1, Window.unboundedFollowing)
-    later = knots.select(
-        NODE, "_blk", *[F.first(f"_k_{c}", ignorenulls=True).over(ahead).alias(f"_later_{c}") for c in cols]
-    )
+    knot_of = lambda c: F.when(F.col(f"_v_{c}").isNotNull(), F.struct(F.col(f"_t_{c}").alias("t"), F.col(f"_v_{c}").alias("v")))
+    later = knots.select(NODE, "_blk", *[F.first(knot_of(c), ignorenulls=True).over(ahead).alias(f"_later_{c}") for c in cols])
     joined = out.join(later, [NODE, "_blk"], "left").drop("_blk")
     blocked = with_halo(joined, F.col("_pos"), BLOCK_HOURS, before=limit)
     w = block_window([NODE], "_pos")
