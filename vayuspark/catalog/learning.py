@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vayuspark import bridges as b
 from vayuspark.catalog.base import query, r, rounded
-from vayuspark.catalog.ctes import DELTAS, category_index_sql, category_sql, half_even_sql, paths_sql
+from vayuspark.catalog.ctes import category_index_sql, category_sql, half_even_sql, paths_sql
 from vayuspark.functions import calendar as cal
 from vayuspark.operators import evaluate as ev, features as ft
 from vayuspark.plans.forecast import forecast_all

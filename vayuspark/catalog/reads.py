@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from vayuspark import bridges as b
 from vayuspark.catalog.base import query, r, rounded
-from vayuspark.functions import calendar as cal
 from vayuspark.operators import aggregates as ag, serving as sv, skill as sk
 from vayuspark.plans.aqi import refresh_aqi
 from vayuspark.vocab import AVERAGES, POLLUTANTS, SUB_INDICES

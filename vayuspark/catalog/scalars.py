@@ -11,7 +11,7 @@ from vayuspark.functions import calendar as cal, cpcb, geo, values
 from vayuspark.operators import quality as q
 from vayuspark.operators.nodes import breakpoints
 from vayuspark.vocab import (
-    BREAKPOINTS, CATEGORIES, INDEX_LEVELS, LABELS, MOLAR_MASS, POLLUTANTS, RAW, SUB_INDICES, WINDOW_HOURS,
+    BREAKPOINTS, INDEX_LEVELS, LABELS, MOLAR_MASS, POLLUTANTS, RAW, SUB_INDICES, WINDOW_HOURS,
 )
 
 KEYS = "location_hash, timestamp"

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from vayuspark import bridges as b
 from vayuspark.catalog.base import query, r, rounded
-from vayuspark.catalog.ctes import aqi_sql, means_sql
+from vayuspark.catalog.ctes import means_sql
 from vayuspark.functions.calendar import days
 from vayuspark.operators import windows as w
-from vayuspark.plans.aqi import AQI_COLUMNS, refresh_aqi
+from vayuspark.plans.aqi import refresh_aqi
 from vayuspark.vocab import AVERAGES, POLLUTANTS, RAW, SUB_INDICES
 
 AVG, SUB = list(AVERAGES.values()), list(SUB_INDICES.values())

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vayuspark.functions.calendar import as_ts, hour_number, hours
 from vayuspark.operators.blocks import block_window, core_rows, running_before, with_halo
-from vayuspark.vocab import AVERAGES, FILL_HOURS, POLLUTANTS, WINDOW_HOURS
+from vayuspark.vocab import AVERAGES, FILL_HOURS, WINDOW_HOURS
 
 NODE, TIME = "location_hash", "timestamp"
 BLOCK_HOURS = 24 * 28

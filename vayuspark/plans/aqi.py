@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from vayuspark.functions.cpcb import with_aqi
 from vayuspark.operators.windows import NODE, TIME, trailing_means
-from vayuspark.vocab import AVERAGES, HISTORY, POLLUTANTS, SUB_INDICES, WINDOW_HOURS
+from vayuspark.vocab import AVERAGES, POLLUTANTS, SUB_INDICES, WINDOW_HOURS
 
 AQI_COLUMNS = (
     [TIME, NODE] + list(AVERAGES.values()) + list(SUB_INDICES.values())
@@ -34,7 +34,3 @@ def aqi_along_path(history: DataFrame, forecast: DataFrame, keys: list[str]) ->
         full = F.count(p).over(frame) == WINDOW_HOURS[p]
         means.append(F.when(full, F.avg(p).over(frame)).alias(AVERAGES[p]))
     return with_aqi(path.select(*keys, "step", *POLLUTANTS, *means).where(F.col("step") >= 1))
-
-
-def path_history_steps() -> tuple[int, int]:
-    return -(HISTORY - 1), 0

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from vayuspark.operators.joins import join_weather_air, patch_columns
 from vayuspark.operators.quality import complete_schema, split_observed_future, standardise_units
