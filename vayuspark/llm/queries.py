@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from vayuspark.llm.bpe import op5_byte_bpe
 from vayuspark.llm.chat import OP9_SQL, op9_perspectives
 from vayuspark.llm.decontaminate import OP10_SQL, op10_decontaminate
 from vayuspark.llm.shard import op6_virtual_slots
 
 QUERIES = {
+    "op5_byte_bpe": op5_byte_bpe,
     "op6_virtual_slots": op6_virtual_slots,
     "op9_perspectives": op9_perspectives,
     "op10_decontaminate": op10_decontaminate,

@@ -2,18 +2,30 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import vayuspark
 from vayuspark.session import cut_lineage, prepare
 
 __all__ = ["table", "written", "prepared"]
 
 
 def prepared(spark: SparkSession) -> SparkSession:
-    """The session with shuffle files that go as soon as the query that wrote them has ended."""
+    """The session, its executors supplied with this package, and shuffle files that go when the query that wrote them has ended."""
     prepare(spark)
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    context = spark.sparkContext
+    if not getattr(context, "_vayuspark_sent", False):
+        package = os.path.dirname(os.path.abspath(vayuspark.__file__))
+        if os.path.isdir(package):  # else it came as an archive and is on the executors already
+            folder = os.path.realpath(tempfile.mkdtemp(prefix="vayuspark-code-"))
+            context.addPyFile(shutil.make_archive(os.path.join(folder, "vayuspark"), "zip", os.path.dirname(package), os.path.basename(package)))
+        context._vayuspark_sent = True
     return spark
 
 
