@@ -5,10 +5,12 @@ from __future__ import annotations
 from vayuspark.llm.bpe import op5_byte_bpe
 from vayuspark.llm.chat import OP9_SQL, op9_perspectives
 from vayuspark.llm.decontaminate import OP10_SQL, op10_decontaminate
+from vayuspark.llm.minhash import OP1_SQL, op1_minhash_neardup
 from vayuspark.llm.shard import op6_virtual_slots
 from vayuspark.llm.substring import OP4_SQL, op4_substring_dedup
 
 QUERIES = {
+    "op1_minhash_neardup": op1_minhash_neardup,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_virtual_slots": op6_virtual_slots,
@@ -16,6 +18,7 @@ QUERIES = {
     "op10_decontaminate": op10_decontaminate,
 }
 ORACLES = {
+    "op1_minhash_neardup": OP1_SQL,
     "op4_substring_dedup": OP4_SQL,
     "op9_perspectives": OP9_SQL,
     "op10_decontaminate": OP10_SQL,
