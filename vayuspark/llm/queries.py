@@ -6,11 +6,13 @@ from vayuspark.llm.bpe import op5_byte_bpe
 from vayuspark.llm.chat import OP9_SQL, op9_perspectives
 from vayuspark.llm.decontaminate import OP10_SQL, op10_decontaminate
 from vayuspark.llm.minhash import OP1_SQL, op1_minhash_neardup
+from vayuspark.llm.quality import op2_quality
 from vayuspark.llm.shard import op6_virtual_slots
 from vayuspark.llm.substring import OP4_SQL, op4_substring_dedup
 
 QUERIES = {
     "op1_minhash_neardup": op1_minhash_neardup,
+    "op2_quality": op2_quality,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_virtual_slots": op6_virtual_slots,
