@@ -8,6 +8,7 @@ from vayuspark.llm.decontaminate import OP10_SQL, op10_decontaminate
 from vayuspark.llm.minhash import OP1_SQL, op1_minhash_neardup
 from vayuspark.llm.quality import op2_quality
 from vayuspark.llm.shard import op6_virtual_slots
+from vayuspark.llm.toxicity import op8_toxicity
 from vayuspark.llm.substring import OP4_SQL, op4_substring_dedup
 
 QUERIES = {
@@ -16,12 +17,14 @@ QUERIES = {
     "op4_substring_dedup": op4_substring_dedup,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_virtual_slots": op6_virtual_slots,
+    "op8_toxicity": op8_toxicity,
     "op9_perspectives": op9_perspectives,
     "op10_decontaminate": op10_decontaminate,
 }
 ORACLES = {
     "op1_minhash_neardup": OP1_SQL,
     "op4_substring_dedup": OP4_SQL,
+    "op8_toxicity": op8_toxicity,
     "op9_perspectives": OP9_SQL,
     "op10_decontaminate": OP10_SQL,
 }

@@ -96,7 +96,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = PIECE) -
             at = to
 
 
-def words_of(column: pa.Array, separators: bytes = SPACES, lower: bool = False) -> Words:
+def words_of(column: pa.Array, separators: bytes = SPACES, lower: bool = False, hashed: bool = True) -> Words:
     """Words are the longest runs of bytes that are no separators. The hash is of the bytes, A-Z lowered if asked."""
     raw, at = buffer_of(column)
     n = len(raw)
@@ -114,7 +114,8 @@ def words_of(column: pa.Array, separators: bytes = SPACES, lower: bool = False)
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     first = np.searchsorted(start, at, "left")
     row = np.repeat(np.arange(len(column)), np.diff(first))
-    return Words(row, start, end, _hashes(raw, start, end, LOWER if lower else SAME), first)
+    hashes = _hashes(raw, start, end, LOWER if lower else SAME) if hashed else np.zeros(0, np.uint64)
+    return Words(row, start, end, hashes, first)
 
 
 def _hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.ndarray) -> np.ndarray:
