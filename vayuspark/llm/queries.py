@@ -5,11 +5,12 @@ from __future__ import annotations
 from vayuspark.llm.bpe import op5_byte_bpe
 from vayuspark.llm.chat import OP9_SQL, op9_perspectives
 from vayuspark.llm.decontaminate import OP10_SQL, op10_decontaminate
+from vayuspark.llm.embeddings import OP7_SQL, op7_embedding_neardup
 from vayuspark.llm.minhash import OP1_SQL, op1_minhash_neardup
 from vayuspark.llm.quality import op2_quality
 from vayuspark.llm.shard import op6_virtual_slots
-from vayuspark.llm.toxicity import op8_toxicity
 from vayuspark.llm.substring import OP4_SQL, op4_substring_dedup
+from vayuspark.llm.toxicity import op8_toxicity
 
 QUERIES = {
     "op1_minhash_neardup": op1_minhash_neardup,
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_substring_dedup": op4_substring_dedup,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_virtual_slots": op6_virtual_slots,
+    "op7_embedding_neardup": op7_embedding_neardup,
     "op8_toxicity": op8_toxicity,
     "op9_perspectives": op9_perspectives,
     "op10_decontaminate": op10_decontaminate,
@@ -24,7 +26,7 @@ QUERIES = {
 ORACLES = {
     "op1_minhash_neardup": OP1_SQL,
     "op4_substring_dedup": OP4_SQL,
-    "op8_toxicity": op8_toxicity,
+    "op7_embedding_neardup": OP7_SQL,
     "op9_perspectives": OP9_SQL,
     "op10_decontaminate": OP10_SQL,
 }
