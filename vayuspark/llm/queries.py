@@ -6,6 +6,7 @@ from vayuspark.llm.bpe import op5_byte_bpe
 from vayuspark.llm.chat import OP9_SQL, op9_perspectives
 from vayuspark.llm.decontaminate import OP10_SQL, op10_decontaminate
 from vayuspark.llm.embeddings import OP7_SQL, op7_embedding_neardup
+from vayuspark.llm.licenses import OP3_SQL, op3_license_scan
 from vayuspark.llm.minhash import OP1_SQL, op1_minhash_neardup
 from vayuspark.llm.quality import op2_quality
 from vayuspark.llm.shard import op6_virtual_slots
@@ -15,6 +16,7 @@ from vayuspark.llm.toxicity import op8_toxicity
 QUERIES = {
     "op1_minhash_neardup": op1_minhash_neardup,
     "op2_quality": op2_quality,
+    "op3_license_scan": op3_license_scan,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_virtual_slots": op6_virtual_slots,
@@ -25,6 +27,7 @@ QUERIES = {
 }
 ORACLES = {
     "op1_minhash_neardup": OP1_SQL,
+    "op3_license_scan": OP3_SQL,
     "op4_substring_dedup": OP4_SQL,
     "op7_embedding_neardup": OP7_SQL,
     "op9_perspectives": OP9_SQL,
