@@ -29,10 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vayuspark.llm import text as words_
-from vayuspark.llm.tables import table, written
+from vayuspark.llm.tables import table, written_by
 
-CHUNK_BYTES = 32 << 20
-CHUNK_WORDS = 400_000
+CHUNK_BYTES = 16 << 20
+CHUNK_WORDS = 250_000
+MOST_BUCKETS = 4096
+#: Words of a bucket that a task remembers; past that it starts anew, so a word may be encoded again.
+KNOWN_WORDS = 1_000_000
 MAX_VOCABULARY_BYTES = 32 << 20
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -85,10 +88,14 @@ class Vocabulary:
         return self._once("bytes", build)
 
 
+def _press(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(data)
+
+
 def pack(values: np.ndarray) -> bytes:
     """Numbers below 2^32, byte by byte of equal weight, compressed."""
     planes = np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    return _press(planes.tobytes())
 
 
 def unpack(blob: bytes) -> np.ndarray:
@@ -135,7 +142,7 @@ def _cut(vocabulary, buckets: int):
                 own = order[edges[b] : edges[b + 1]]
                 if len(own):
                     parts = [spelled[i] for i in own.tolist()]
-                    yield _rows([{"chunk": base + chunk, "bucket": b, "numbers": pack(own), "sizes": pack(np.array([len(p) for p in parts])), "words": b"".join(parts)}], _CUT_ARROW)
+                    yield _rows([{"chunk": base + chunk, "bucket": b, "numbers": pack(own), "sizes": pack(np.array([len(p) for p in parts])), "words": _press(b"".join(parts))}], _CUT_ARROW)
 
         for piece in words_.pieces(batches, "text"):
             own = int(words_.buffer_of(piece.column("text"))[1][-1])
@@ -171,12 +178,14 @@ def _encode_words(vocabulary):
                 if row["bucket"] != bucket:
                     bucket, known = row["bucket"], {}
                 ends = np.cumsum(unpack(row["sizes"]).astype(np.int64)).tolist()
-                words, at, out = row["words"], 0, []
+                words, at, out = zstandard.ZstdDecompressor().decompress(row["words"]), 0, []
                 for end in ends:
                     word = words[at:end]
                     at = end
                     ids = known.get(word)
                     if ids is None:
+                        if len(known) >= KNOWN_WORDS:
+                            known = {}
                         ids = known[word] = piece_ids(word)
                     out.append(ids)
                 sizes = np.array([len(x) for x in out], np.uint32)
@@ -204,8 +213,11 @@ def encode(docs: DataFrame, vocabulary: Vocabulary | None = None) -> DataFrame:
     shared = spark.sparkContext.broadcast(vocabulary or Vocabulary())
     docs = docs.drop("ids", "n_tokens").withColumn("text", F.col("text").cast("string"))
     rest = [f for f in docs.schema.fields if f.name != "text"]
-    buckets = max(32, docs.rdd.getNumPartitions())  # in proportion to the input, so a bucket keeps its size
-    cut = written(docs.mapInArrow(_cut(shared, buckets), _CUT), "cut")
+    inputs = docs.rdd.getNumPartitions()
+    buckets = min(MOST_BUCKETS, max(32, inputs))  # a chunk has a packet for each
+    # As many parts as an exchange would have, so that the join by chunk leaves the positions where they are.
+    parts = min(100_000, max(inputs, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    cut = written_by(docs.mapInArrow(_cut(shared, buckets), _CUT), "chunk", parts, "cut")
     packets = cut.where("bucket is not null").select("chunk", "bucket", "numbers", "sizes", "words")
     coded = packets.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_encode_words(shared), _CODED)
     texts = cut.where("positions is not null").select("chunk", "keys", "counts", "positions")

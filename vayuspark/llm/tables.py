@@ -5,12 +5,13 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import vayuspark
-from vayuspark.session import cut_lineage, prepare
+from vayuspark.session import cut_lineage, prepare, run_dir
 
 __all__ = ["table", "written", "prepared"]
 
@@ -19,6 +20,7 @@ def prepared(spark: SparkSession) -> SparkSession:
     """The session, its executors supplied with this package, and shuffle files that go when the query that wrote them has ended."""
     prepare(spark)
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))  # whole texts are long rows
     context = spark.sparkContext
     if not getattr(context, "_vayuspark_sent", False):
         package = os.path.dirname(os.path.abspath(vayuspark.__file__))
@@ -38,6 +40,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return cut_lineage(df, f"llm-{name}")
 
 
+def written_by(df: DataFrame, key: str, parts: int, name: str) -> DataFrame:
+    """The same, in `parts` buckets of the key, so that a join by the key moves the other side only."""
+    spark = df.sparkSession
+    table_name = f"llm_{name}_{uuid.uuid4().hex}"
+    df.write.format("parquet").bucketBy(parts, key).option("path", run_dir(spark, f"llm-{name}")).saveAsTable(table_name)
+    return spark.table(table_name)
+
+
 def with_text_key(docs: DataFrame) -> DataFrame:
     """doc_id and text only, with a key of the text: rows equal in both are the same to every operator here."""
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
