@@ -172,19 +172,21 @@ def _joined(docs: DataFrame, items: DataFrame, n: int) -> DataFrame:
     of = ["doc_id", "text_key"]
     spots = hits.select(*of, F.struct("at", "k").alias("spot")).distinct().groupBy(*of).agg(F.collect_list("spot").alias("spots"))
     names = hits.where("item_id is not null").select(*of, "item_id").distinct().groupBy(*of).agg(F.sort_array(F.collect_list("item_id")).alias("names"))
-    here = spots.join(names, [spots.doc_id.eqNullSafe(names.doc_id), spots.text_key == names.text_key], "left").select(spots.doc_id.alias("own_id"), spots.text_key.alias("own_key"), "spots", "names")
+    here = spots.join(names, [spots.doc_id.eqNullSafe(names.doc_id), spots.text_key == names.text_key], "left")
+    here = here.select(spots.doc_id.alias("_id"), spots.text_key.alias("_key"), F.col("spots").alias("_spots"), F.col("names").alias("_names"))
     plain = _plain(docs)
-    both = plain.withColumn("own", F.xxhash64("text")).join(here, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("own") == F.col("own_key")), "left").drop("own", "own_id", "own_key")
+    both = plain.withColumn("_own", F.xxhash64("text")).join(here, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_key")), "left").drop("_own", "_id", "_key")
+    names_of = plain.columns
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in words_.pieces(batches, "text"):
             found = words_.words_of(piece.column("text"), words_.MARKS, lower=True)
             hit, names = np.zeros(len(found.start), bool), []
-            for r, (spots, own) in enumerate(zip(piece.column("spots").to_pylist(), piece.column("names").to_pylist(), strict=True)):
+            for r, (spots, own) in enumerate(zip(piece.column("_spots").to_pylist(), piece.column("_names").to_pylist(), strict=True)):
                 if spots:
                     hit |= words_.covered(np.array([x["at"] for x in spots]) + found.first[r], np.array([x["k"] for x in spots]), len(hit))
                 names.append(own or [])
-            yield _result(piece.select(plain.columns), found, hit, names)
+            yield _result(piece.select(names_of), found, hit, names)
 
     return both.mapInArrow(mark, St.StructType(plain.schema.fields + _FOUND.fields))
 

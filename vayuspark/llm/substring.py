@@ -113,7 +113,7 @@ def _mark(window: int, keep: list[str]):
             raw, at = words_.buffer_of(piece.column("text"))
             n = np.diff(found.first)
             gone = np.zeros(len(found.start), bool)
-            w = piece.column("w")
+            w = piece.column("_w")
             listed = pa.compute.fill_null(pa.compute.list_value_length(w), 0).to_numpy(zero_copy_only=False) > 0
             if listed.any():
                 starts = np.flatnonzero(listed[found.row])
@@ -122,9 +122,9 @@ def _mark(window: int, keep: list[str]):
                 own = words_.window_hash(found.hash, window)[starts]
                 check = (words_.window_hash(found.hash, window, CHECK)[starts] >> np.uint64(32)).astype(np.uint64)
                 both = _fold(words_.signed(own), check)
-                hit = _member(found.row[starts], both, _folded(w, piece.column("c")))
+                hit = _member(found.row[starts], both, _folded(w, piece.column("_c")))
                 gone = words_.covered(starts[hit], window, len(gone))
-            copy = piece.column("is_copy").to_numpy(zero_copy_only=False).astype(bool)
+            copy = piece.column("_copy").to_numpy(zero_copy_only=False).astype(bool)
             if copy.any():
                 gone |= (copy & (n >= window))[found.row]
             removed = np.bincount(found.row[gone], minlength=piece.num_rows)
@@ -157,7 +157,7 @@ def _folded(w: pa.Array, c: pa.Array) -> pa.Array:
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents with n_words, n_removed and clean_text, the text without the words of repeated windows."""
-    docs = docs.drop(*_FOUND.names, "w", "c", "is_copy").withColumn("text", F.col("text").cast("string"))
+    docs = docs.drop(*_FOUND.names).withColumn("text", F.col("text").cast("string"))
     names = docs.columns
     keyed = docs.where("doc_id is not null and text is not null").select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     of = ["doc_id", "text_key"]
@@ -185,9 +185,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     gone = written(later.groupBy(*of).agg(F.collect_list("w").alias("w"), F.collect_list("c").alias("c")), "gone")
 
     marks = gone.select(*of, "w", "c", F.lit(False).alias("is_copy")).unionByName(copies.select(*of, F.lit(None).cast("array<bigint>").alias("w"), F.lit(None).cast("array<int>").alias("c"), F.lit(True).alias("is_copy")))
-    marks = marks.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "w", "c", "is_copy")
+    marks = marks.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("w").alias("_w"), F.col("c").alias("_c"), F.col("is_copy").alias("_copy"))
     joined = docs.withColumn("_own", F.xxhash64("text")).join(marks, (F.col("doc_id") == F.col("_id")) & (F.col("_own") == F.col("_key")), "left")
-    joined = joined.select(*names, "w", "c", F.coalesce("is_copy", F.lit(False)).alias("is_copy"))
+    joined = joined.select(*names, "_w", "_c", F.coalesce("_copy", F.lit(False)).alias("_copy"))
     return joined.mapInArrow(_mark(window, names), St.StructType(docs.schema.fields + _FOUND.fields))
 
 
