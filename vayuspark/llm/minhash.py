@@ -6,9 +6,11 @@ pigeonhole principle two signatures that differ in at most chunks * (ERRORS + 1)
 The number of chunks follows from the similarity: a pair at the threshold fails to share a key with a chance below `MISS`.
 Links are confirmed on the full shingle sets (64-bit hashes of the shingles).
 
-Groups of copies cost no pairs: equal sets are one node (the smallest doc_id); in each bucket of a key, nodes are first
-held against the smallest node alone, then against both ends of the buckets that still hold several components, and only
-then the pairs of different components, so a bucket whose members are linked already makes none.
+Groups of copies cost no pairs: equal sets are one node (the smallest doc_id). Each node is first held against one hub alone,
+the node that meets most others in its buckets (the text that copies were made from shares most keys with all of them).
+Where the nodes around a hub are not all linked by that, they are compared in tiles of bounded blocks, and a tile returns what
+hangs together in it, not its pairs. What is left are nodes with a common key around different hubs and of different
+components: these are held against each other pair by pair.
 
 Defined results: null and empty texts and texts without words have no shingles and are linked with nothing; fewer words
 than a shingle are one shingle, the whole sequence; a row without doc_id is its own class, component null, kept; rows
@@ -23,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyspark.sql.types as St
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vayuspark.llm import text as words_
@@ -33,6 +35,8 @@ from vayuspark.llm.tables import table, written
 SYMBOLS, ERRORS, BITS = 5, 1, 16
 MISS = 1e-6
 ROWS = 2048
+#: Nodes and shingles of a block of a tile, columns of a product.
+BLOCK, BLOCK_SHINGLES, COLUMNS = 128, 400_000, 8192
 
 
 def chunks_for(percent: int) -> int:
@@ -95,17 +99,13 @@ def _sets(words: int):
 
 
 def keys_of(nodes: DataFrame, chunks: int) -> DataFrame:
-    """(key, node): for each chunk and each value left out, the hash of the values that remain."""
+    """(key, at, node): for each chunk and each value left out, the hash of the values that remain; at: which of all values is left out."""
     keys = []
     for chunk in range(chunks):
         for out in range(SYMBOLS):
             kept = [F.col("sig")[chunk * SYMBOLS + k] for k in range(SYMBOLS) if k != out]
             keys.append(F.xxhash64(F.lit(chunk * SYMBOLS + out), *kept))
-    return nodes.select("node", F.explode(F.array(*keys)).alias("key"))
-
-
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return nodes.select("node", F.posexplode(F.array(*keys)).alias("at", "key"))
 
 
 class _Judge:
@@ -118,18 +118,108 @@ class _Judge:
         texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(involved.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
         self.sets = written(texts.mapInArrow(_sets(words), schema), "sets")
 
+    def near(self) -> Column:
+        """Whether the columns n_a, n_b, s_a, s_b allow a link: sizes and signatures are close enough."""
+        differ = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.when(x == y, 0).otherwise(1)), F.lit(0), lambda x, y: x + y)
+        return (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * self.percent) & (differ <= self.distance)
+
     def links(self, pairs: DataFrame, name: str) -> DataFrame:
-        one, two = (self.nodes.select(F.col("node").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("sig").alias(f"s_{k}")) for k in "ab")
-        near = pairs.join(one, "a").join(two, "b")
-        near = near.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * self.percent)
-        same = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.when(x == y, 0).otherwise(1)), F.lit(0), lambda x, y: x + y)
-        near = near.where(same <= self.distance).select("a", "b")
+        """The pairs (a, b) whose full sets are similar enough."""
         left, right = (self.sets.select(F.col("node").alias(k), F.col("members").alias(f"m_{k}")) for k in "ab")
         shared = F.size(F.array_intersect("m_a", "m_b"))
-        full = near.join(left, "a").join(right, "b").withColumn("shared", shared)
+        full = pairs.join(left, "a").join(right, "b").withColumn("shared", shared)
         union = F.size("m_a") + F.size("m_b") - F.col("shared")
         return written(full.where(F.col("shared") * 100 >= union * self.percent).select("a", "b"), name)
 
+    def to_hubs(self, hubs: DataFrame) -> DataFrame:
+        """Links of nodes with their hubs."""
+        pairs = hubs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+        one, two = (self.nodes.select(F.col("node").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("sig").alias(f"s_{k}")) for k in "ab")
+        near = pairs.join(one, "a").join(two, "b")
+        return self.links(near.where(self.near()).select("a", "b"), "links")
+
+    def across(self, members: DataFrame, hubs: DataFrame, found: DataFrame) -> DataFrame:
+        """Links of nodes that share a key, are of different components and stand around different hubs."""
+        placed = members.select("key", "at", "node").join(found, "node", "left").join(hubs, "node", "left")
+        placed = placed.select("key", "at", "node", F.coalesce("component", "node").alias("component"), F.coalesce("hub", "node").alias("hub"))
+        several = placed.groupBy("key").agg(*(f(c).alias(f"{k}_{c}") for c in ("component", "hub") for k, f in (("low", F.min), ("high", F.max))))
+        several = written(several.where("low_component < high_component and low_hub < high_hub").select("key"), "several")
+        mixed = written(placed.join(several, "key").join(self.nodes, "node"), "mixed")
+        names = {"node": "{}", "component": "c_{}", "hub": "h_{}", "n_shingles": "n_{}", "sig": "s_{}"}
+        one, two = (mixed.select("key", "at", *(F.col(c).alias(n.format(k)) for c, n in names.items())) for k in "ab")
+        apart = F.expr("a < b and c_a <> c_b and h_a <> h_b and h_a <> b and h_b <> a")
+        # A pair counts in the first bucket it shares: no chunk before has few enough differences, and the value left out is the differing one, or the first.
+        differ = f"transform(sequence(0, {SYMBOLS - 1}), i -> int(s_a[{SYMBOLS} * {{}} + i] <> s_b[{SYMBOLS} * {{}} + i]))"
+        chunk = f"int(floor(at / {SYMBOLS}))"
+        before = f"not exists(sequence(0, {chunk}), k -> k < {chunk} and aggregate({differ.format('k', 'k')}, 0, (x, y) -> x + y) <= {ERRORS})"
+        here = f"at % {SYMBOLS} = greatest(0, array_position({differ.format(chunk, chunk)}, 1) - 1)"
+        both = one.withColumnRenamed("key", "k_a").join(two.withColumnRenamed("key", "k_b").drop("at"), F.expr("k_a = k_b") & apart & self.near() & F.expr(before) & F.expr(here))
+        return self.links(both.select("a", "b").distinct(), "links")
+
+    def inside(self, hubs: DataFrame, found: DataFrame) -> DataFrame:
+        """Links among the nodes around one hub, where these are of several components: all pairs, in tiles of blocks.
+
+        A tile tells which of its nodes hang together, not every pair.
+        """
+        groups = hubs.select("hub", "node").unionAll(hubs.select("hub", F.col("hub").alias("node"))).distinct()
+        placed = groups.join(found, "node", "left").join(self.nodes.select("node", "n_shingles"), "node").withColumn("component", F.coalesce("component", "node"))
+        sizes = placed.groupBy("hub").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
+        blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("size") / BLOCK_SHINGLES))
+        several = written(sizes.where("low < high").select("hub", blocks.alias("blocks")), "several")
+        dealt = groups.join(several, "hub").withColumn("block", F.expr("pmod(xxhash64(node), blocks)"))
+        each = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        each = each.select("hub", "node", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+        tiles = each.join(self.sets, "node").groupBy("hub", "low", "high").agg(F.collect_list(F.struct("node", "members")).alias("sets"))
+        return written(tiles.select("sets").mapInArrow(_tile_links(self.percent), "a long, b long").distinct(), "links")
+
+
+def _tile_links(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = [], []
+            for row in batch.column("sets"):
+                node = row.values.field("node").to_numpy()
+                members = row.values.field("members")
+                label = hang_together(members.flatten().to_numpy(), pa.compute.list_value_length(members).to_numpy(zero_copy_only=False).astype(np.int64), percent)
+                other = np.flatnonzero(label != np.arange(len(node)))
+                a.append(node[other])
+                b.append(node[label[other]])
+            if a:
+                one, two = np.concatenate(a), np.concatenate(b)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], names=["a", "b"])
+
+    return run
+
+
+def hang_together(flat: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """For each of some sets the first one that it reaches by links, from the exact sizes of all intersections."""
+    n = len(sizes)
+    row = np.repeat(np.arange(n), sizes)
+    _, column, counts = np.unique(flat, return_inverse=True, return_counts=True)
+    common = counts[column] > 1
+    row, column = row[common], column[common]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], np.unique(column[order], return_inverse=True)[1]
+    inter = np.zeros((n, n))
+    at = 0
+    while at < len(column):
+        to = int(np.searchsorted(column, column[at] + COLUMNS, "left"))
+        part = np.zeros((n, COLUMNS), np.float32)
+        part[row[at:to], column[at:to] - column[at]] = 1
+        inter += part @ part.T
+        at = to
+    inter = np.rint(inter).astype(np.int64)
+    np.fill_diagonal(inter, sizes)
+    linked = inter * 100 >= (sizes[:, None] + sizes - inter) * percent
+    np.fill_diagonal(linked, True)
+    label = np.arange(n)
+    while True:
+        new = np.where(linked, label, n).min(axis=1)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs; a doc_id is taken as a long."""
@@ -141,33 +231,28 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     # Equal sets are one node.
     whole = ["n_shingles", "s1", "s2"]
     full = signed.where("n_shingles > 0 and doc_id is not null")
-    reps = full.groupBy(*whole).agg(F.min("doc_id").cast("long").alias("node"))
+    reps = written(full.groupBy(*whole).agg(F.min("doc_id").cast("long").alias("node")), "reps")
     own = written(full.join(reps, whole).select("doc_id", "node", "n_shingles", "sig"), "classes")
-    nodes = own.where("doc_id = node").dropDuplicates(["node"]).select("node", "n_shingles", "sig")
+    nodes = written(own.where("doc_id = node").dropDuplicates(["node"]).select("node", "n_shingles", "sig"), "nodes")
 
-    # Keys that several nodes have.
+    # Keys that several nodes have, and in each bucket the node that meets most others.
     keys = keys_of(nodes, chunks)
-    shared = keys.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head < last")
+    shared = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
     members = written(keys.join(shared, "key"), "buckets")
-    judge = _Judge(docs, nodes, members.select("node").distinct(), words, percent, chunks)
+    degrees = members.groupBy("node").agg(F.sum(F.col("n") - 1).alias("degree"))
+    members = written(members.drop("n").join(written(degrees, "degrees"), "node"), "buckets")
+    heads = members.groupBy("key").agg(F.max(F.struct("degree", (-F.col("node")).alias("less"))).alias("x"))
+    heads = written(heads.select("key", (-F.col("x.less")).alias("head"), F.col("x.degree").alias("most")), "heads")
+    stars = members.join(heads, "key").where("node <> head").groupBy("node", "head", "most").agg(F.count(F.lit(1)).alias("n"))
+    best = stars.groupBy("node").agg(F.max(F.struct("n", "most", (-F.col("head")).alias("less"))).alias("x"))
+    hubs = written(best.select("node", (-F.col("x.less")).alias("hub")), "hubs")
 
-    # First the head that a node shares most keys with, and no other.
-    stars = members.where("node <> head").groupBy("node", "head").agg(F.count(F.lit(1)).alias("n"))
-    best = stars.groupBy("node").agg(F.max(F.struct("n", (-F.col("head")).alias("head"))).alias("x"))
-    links = judge.links(_ordered(best.select(F.col("node").alias("a"), (-F.col("x.head")).alias("b"))), "links")
+    judge = _Judge(docs, nodes, members.select("node").distinct(), words, percent, chunks)
+    links = judge.to_hubs(hubs)
     found = written(components(links), "components")
-
-    for end in ("min", "max"):
-        mixed = _mixed(members, found)
-        ends = mixed.groupBy("key").agg(getattr(F, end)(F.struct("component", "node")).alias("end"))
-        pairs = mixed.join(ends, "key").where(F.col("component") != F.col("end.component")).select(F.col("node").alias("a"), F.col("end.node").alias("b"))
-        links = links.unionAll(judge.links(_ordered(pairs), "links"))
-        found = written(components(links), "components")
-
-    mixed = written(_mixed(members, found), "mixed")
-    one, two = (mixed.select("key", F.col("node").alias(k), F.col("component").alias(f"c_{k}")) for k in "ab")
-    pairs = one.join(two, "key").where("c_a < c_b").select("a", "b")
-    links = links.unionAll(judge.links(_ordered(pairs), "links"))
+    links = links.unionAll(judge.inside(hubs, found))
+    found = written(components(links), "components")
+    links = links.unionAll(judge.across(members, hubs, found))
     found = written(components(links), "components")
 
     result = own.select("doc_id", "node").distinct().join(found, "node", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "node")).alias("component_id"))
@@ -176,13 +261,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"))
 
 
-def _mixed(members: DataFrame, found: DataFrame) -> DataFrame:
-    """Members of the buckets in which nodes of several components meet: (key, node, component)."""
-    placed = members.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    several = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    return placed.join(several, "key")
-
-
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The documents without those that have a smaller near copy, directly or through others."""
     gone = near_duplicates(docs, words, percent).where(~F.col("kept")).select("doc_id").distinct()
