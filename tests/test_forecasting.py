@@ -159,9 +159,26 @@ def test_wilcoxon(spark, shift):
     assert (got["n"], got["w_plus"]) == (n, w_plus) and got["p_value"] == pytest.approx(p, rel=1e-5)
 
 
-def test_wilcoxon_small_has_no_p(spark):
-    df = spark.createDataFrame(pd.DataFrame({"a": np.arange(20.0), "b": np.arange(20.0) ** 1.1}))
-    assert ev.wilcoxon_less(df, "a", "b").first()["p_value"] is None
+@pytest.mark.parametrize("digits", [1, 6])
+def test_wilcoxon_small_is_exact(spark, digits):
+    """Few pairs, with ties and a zero: the share of all sign patterns whose rank sum is as low."""
+    rng = np.random.default_rng(6)
+    a, b = np.round(rng.normal(-0.3, 1, 13), digits), np.round(rng.normal(0, 1, 13), digits)
+    a[0] = b[0]
+    got = ev.wilcoxon_less(spark.createDataFrame(pd.DataFrame({"a": a, "b": b})), "a", "b").first()
+    d = (a - b)[np.round(a - b, 9) != 0]
+    ranks = pd.Series(np.round(np.abs(d), 9)).rank().to_numpy()
+    w = ranks[d > 0].sum()
+    sums = [sum(r for k, r in enumerate(ranks) if signs >> k & 1) for signs in range(2 ** len(d))]
+    assert (got["n"], got["w_plus"]) == (len(d), w) and got["p_value"] == pytest.approx(np.mean([s <= w for s in sums]))
+
+
+def test_wilcoxon_keeps_small_differences(spark):
+    df = spark.createDataFrame(pd.DataFrame({"a": np.arange(1, 41) * 1e-10, "b": np.zeros(40)}))
+    assert ev.wilcoxon_less(df, "a", "b").first()["n"] == 40
+    clear = ev.wilcoxon_less(spark.createDataFrame(pd.DataFrame({"a": np.zeros(40), "b": np.arange(1.0, 41)})), "a", "b").first()
+    assert clear["p_value"] == pytest.approx(2.0**-40)
+    assert ev.wilcoxon_less(df.where("a > 1"), "a", "b").first()["p_value"] is None
 
 
 def test_promote(spark):

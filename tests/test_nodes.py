@@ -43,6 +43,23 @@ def test_nearest_equals_brute_force(spark, metric, spread):
         assert got[i][0] == pytest.approx(km, rel=1e-9) and got[i][1] == site
 
 
+def test_nearest_around_the_globe(spark):
+    """Places next to +-180 degrees and to the poles, and one site for half of the globe."""
+    rng = np.random.default_rng(4)
+    pts = np.column_stack([rng.uniform(-89, 89, 200), rng.uniform(-180, 180, 200)])
+    pts[:60, 1] = rng.choice([-1, 1], 60) * rng.uniform(179, 180, 60)
+    sites = np.column_stack([rng.uniform(-85, 85, 40), rng.uniform(-180, 180, 40)])
+    sites[:20, 1] = rng.choice([-1, 1], 20) * rng.uniform(170, 180, 20)
+    for own in (sites, sites[:1], np.array([[10.0, 170.0], [10.0, -179.9]])):
+        p = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate([*pts, (10, 179.95)])], "id int, lat double, lon double")
+        s = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(own)], "site int, lat double, lon double")
+        got = {r["id"]: (r["km"], r["site"]["site"]) for r in sp.nearest(p, s, "site").collect()}
+        want = brute([*pts, (10, 179.95)], own, "haversine")
+        assert len(got) == len(want)
+        for i, (km, site) in enumerate(want):
+            assert got[i][0] == pytest.approx(km, rel=1e-9) and got[i][1] == site
+
+
 def test_nearest_node_limit(spark):
     node = spark.createDataFrame([("h", "x", 20.0, 75.0)], "location_hash string, location_name string, lat double, lon double")
     near, far = 20.0 + 149 / 111.32, 20.0 + 151 / 111.32

@@ -55,6 +55,82 @@ def test_prune_with_nothing_left_of_the_day(spark):
     assert content(spark, path, df.schema) == [("a", at(50), 1.0)]
 
 
+def test_prune_twice_and_of_nothing(spark):
+    path = run_dir(spark, "t")
+    assert tb.prune(spark, path, "timestamp", "obs_date", at(34), 1) == {"dropped": 0, "kept": 0}
+    rows(spark, ("a", at(0), 0.0, 1), ("a", at(3), 1.0, 1)).write.partitionBy("obs_date").parquet(path)
+    assert tb.prune(spark, path, "timestamp", "obs_date", at(200), 1) == {"dropped": 2, "kept": 0}
+    assert tb.prune(spark, path, "timestamp", "obs_date", at(200), 1) == {"dropped": 0, "kept": 0}
+
+
+def test_upsert_reads_only_the_days_it_touches(spark):
+    path = run_dir(spark, "t")
+    old = rows(spark, *[("a", at(24 * d), float(d), 1) for d in range(30)])
+    tb.upsert(spark, path, old, K, ["ingested_at"], "obs_date")
+    new = rows(spark, ("a", at(24 * 7), 70.0, 2))
+    plan = tb.only(tb.read_table(spark, path, old.schema), new, "obs_date")._jdf.queryExecution().toString()
+    filters = plan.split("PartitionFilters: [", 1)[1].split("]", 1)[0]
+    day = new.first()["obs_date"]
+    assert "obs_date" in filters and (str(day) in filters or str((day - type(day)(1970, 1, 1)).days) in filters), filters
+    tb.upsert(spark, path, new, K, ["ingested_at"], "obs_date")
+    assert [r[2] for r in content(spark, path, old.schema)] == [70.0 if d == 7 else float(d) for d in range(30)]
+
+
+@pytest.mark.parametrize("dies_at", [1, 2])
+def test_a_swap_that_dies_loses_nothing(spark, monkeypatch, dies_at):
+    path = run_dir(spark, "t")
+    old = rows(spark, *[("a", at(24 * d + h), float(d), 1) for d in range(3) for h in (0, 5)])
+    tb.upsert(spark, path, old, K, ["ingested_at"], "obs_date")
+    move, calls = tb._Folder.move, []
+
+    def dying(self, source, target):
+        calls.append(target)
+        if len(calls) == dies_at:
+            raise RuntimeError("gone")
+        move(self, source, target)
+
+    monkeypatch.setattr(tb._Folder, "move", dying)
+    new = rows(spark, *[("a", at(24 * d), 10.0 + d, 2) for d in range(3)])
+    with pytest.raises(RuntimeError):
+        tb.upsert(spark, path, new, K, ["ingested_at"], "obs_date")
+    monkeypatch.undo()
+    want = sorted([("a", at(24 * d), 10.0 + d) for d in range(3)] + [("a", at(24 * d + 5), float(d)) for d in range(3)])
+    tb.recover(spark, path)
+    assert content(spark, path, old.schema) == want
+    tb.upsert(spark, path, new, K, ["ingested_at"], "obs_date")
+    assert content(spark, path, old.schema) == want
+
+
+def test_an_unfinished_stage_is_dropped(spark, monkeypatch):
+    path = run_dir(spark, "t")
+    old = rows(spark, ("a", at(0), 1.0, 1))
+    tb.upsert(spark, path, old, K, ["ingested_at"], "obs_date")
+    with monkeypatch.context() as m:
+        m.setattr(tb._Folder, "mark", lambda self, *names: (_ for _ in ()).throw(RuntimeError("gone")))
+        with pytest.raises(RuntimeError):
+            tb.upsert(spark, path, rows(spark, ("a", at(0), 2.0, 2)), K, ["ingested_at"], "obs_date")
+    assert [r[2] for r in tb.read_table(spark, path, old.schema).collect()] == [1.0]
+
+
+def test_backfill_goes_on_where_it_stopped(spark, monkeypatch):
+    path = run_dir(spark, "t")
+    df = spark.createDataFrame([(b, "x") for b in range(4)], "batch int, v string")
+    mark = tb._Folder.mark
+
+    def dying(self, *names):
+        if names[-1] == "batch=2":
+            raise RuntimeError("gone")
+        mark(self, *names)
+
+    with monkeypatch.context() as m:
+        m.setattr(tb._Folder, "mark", dying)
+        with pytest.raises(RuntimeError):
+            tb.backfill_write(spark, df, path)
+    assert tb.backfill_write(spark, df.withColumn("v", F.lit("y")), path) == 2
+    got = sorted(tuple(r) for r in spark.read.schema(df.schema).parquet(path).select("batch", "v").collect())
+    assert got == [(0, "x"), (1, "x"), (2, "y"), (3, "y")]
+
+
 def test_backfill_skips_finished_batches(spark):
     path = run_dir(spark, "t")
     df = spark.createDataFrame([(1, "x"), (2, "y")], "batch int, v string")

@@ -60,9 +60,10 @@ def running_before(
     ).drop("_bucket", "_weight", "_offset")
 
 
-def order_bucket(x: Column, fineness: int = 256) -> Column:
-    """A bucket number that never falls as the number rises: fine near 0, relative far from it."""
-    return F.floor(F.signum(x) * F.log1p(F.abs(x)) * fineness).cast("long")
+def order_bucket(x: Column, fineness: int = 177) -> Column:
+    """A bucket number that never falls as the number rises: relative at every magnitude, 0 for 0."""
+    size = F.floor(F.log2(F.abs(x.cast("double"))) * fineness) + 1100 * fineness
+    return F.when(x == 0, F.lit(0)).otherwise(F.signum(x.cast("double")) * size).cast("long")
 
 
 def exact_quantiles(df: DataFrame, groups: list[str], value: str, quantiles: list[float], names: list[str]) -> DataFrame:

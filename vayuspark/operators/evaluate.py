@@ -234,13 +234,24 @@ def normal_below(z: Column) -> Column:
     return F.when(z <= 0, tail).otherwise(1 - tail)
 
 
+def _exact_below(ranks: Column, w2: Column, n: Column) -> Column:
+    """Chance that the signed ranks (given doubled, as an array) sum to at most w2 if every sign is a fair coin."""
+    top = F.aggregate(ranks, F.lit(0).cast("long"), lambda a, r: a + r)
+    start = F.transform(F.sequence(F.lit(0).cast("long"), top), lambda s: F.when(s == 0, 1.0).otherwise(0.0))
+    # ways[s]: subsets of the ranks so far with sum s
+    ways = F.aggregate(ranks, start, lambda ways, r: F.transform(ways, lambda x, s: x + F.when(s >= r, F.get(ways, (s - r).cast("int"))).otherwise(0.0)))
+    below = F.aggregate(F.slice(ways, F.lit(1), (w2 + 1).cast("int")), F.lit(0.0), lambda a, x: a + x)
+    return below / F.pow(F.lit(2.0), n)
+
+
 def wilcoxon_less(errors: DataFrame, a: str, b: str, exact_below: int = 50) -> DataFrame:
-    """Signed-rank test that `a` is less than `b` over paired rows, by the normal law with tie correction.
+    """Signed-rank test that `a` is less than `b` over paired rows.
 
-    Equal differences are counted before they are ranked. Up to 50 pairs have no p value here.
+    By the normal law with tie correction; for up to `exact_below` pairs by the exact law of the ranks (ties included).
+    Equal differences (to 9 digits) share a rank and are counted before they are ranked; only differences of 0 drop out.
     """
     d = F.col(a) - F.col(b)
-    pairs = errors.select(d.alias("d"), F.round(F.abs(d), 9).alias("size")).where("size > 0")
+    pairs = errors.select(d.alias("d"), F.round(F.abs(d), 9).alias("size")).where("d <> 0")
     sizes = pairs.groupBy("size").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("d") > 0).alias("up"))
     ranked = running_before(sizes, [], order_bucket(F.col("size")), ["size"], F.col("n"), "before")
     rank = F.col("before") + (F.col("n") + 1) / 2
@@ -249,12 +260,17 @@ def wilcoxon_less(errors: DataFrame, a: str, b: str, exact_below: int = 50) -> D
         F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sum(F.col("up") * rank).alias("w_plus"),
         F.sum(n3 - F.col("n")).alias("_ties"),
     )
+    few = pairs.limit(exact_below + 1).groupBy("size").agg(F.count(F.lit(1)).alias("n"))
+    few = running_before(few, [], order_bucket(F.col("size")), ["size"], F.col("n"), "before")
+    # ranks of at most exact_below + 1 pairs, used only if these are all pairs
+    doubled = F.array_repeat((2 * F.col("before") + F.col("n") + 1).cast("long"), F.col("n").cast("int"))
+    ranks = few.agg(F.flatten(F.collect_list(doubled)).alias("_ranks")).select(F.coalesce("_ranks", F.array().cast("array<bigint>")))
     n = F.col("n").cast("double")
     var = n * (n + 1) * (2 * n + 1) / 24 - F.col("_ties") / 48
     z = (F.col("w_plus") - n * (n + 1) / 4) / F.sqrt(F.when(var > 0, var))
-    return total.withColumn("z", z).select(
-        "n", "w_plus", "z", F.when(F.col("n") > exact_below, normal_below(F.col("z"))).alias("p_value")
-    )
+    exact = _exact_below(F.col("_ranks"), F.round(F.col("w_plus") * 2).cast("long"), n)
+    p = F.when(F.col("n") > exact_below, normal_below(F.col("z"))).when(F.col("n") > 0, exact)
+    return total.withColumn("z", z).withColumn("_ranks", ranks.scalar()).select("n", "w_plus", "z", p.alias("p_value"))
 
 
 def sample_errors(paths: DataFrame, names: list[str]) -> DataFrame:

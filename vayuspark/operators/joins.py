@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from vayuspark.functions.calendar import floor_hour
 from vayuspark.functions.geo import in_box
-from vayuspark.operators.blocks import exact_quantiles
 from vayuspark.vocab import LOOKBACK, SATELLITE
 
 KEYS = ["location_hash", "timestamp"]
@@ -22,9 +21,9 @@ def join_weather_air(weather: DataFrame, air: DataFrame) -> DataFrame:
 
 
 def hourly_median(series: DataFrame, value: str = "value") -> DataFrame:
-    """Median per series and hour; overpasses of one hour are never gathered in one row."""
-    hourly = series.withColumn("timestamp", floor_hour(F.col("timestamp")))
-    return exact_quantiles(hourly, ["location_hash", "variable", "timestamp"], value, [0.5], [value])
+    """Median per series and hour. A group is one hour of one place: what is kept of it are its distinct values and their counts."""
+    hourly = series.withColumn("timestamp", floor_hour(F.col("timestamp"))).where(F.col(value).isNotNull())
+    return hourly.groupBy("location_hash", "variable", "timestamp").agg(F.percentile(value, 0.5).alias(value))
 
 
 def merge_satellite(series: DataFrame, variables: list[str] = SATELLITE) -> DataFrame:

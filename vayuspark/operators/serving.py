@@ -36,10 +36,14 @@ def latest_forecast(forecasts: DataFrame, as_of) -> DataFrame:
     return recent.withColumn("_run", newest).where(F.col("_run") == F.col(RUN)).drop("_run")
 
 
-def history(aqi: DataFrame, as_of, last_hours: int = 72, hashes: list[str] | None = None) -> DataFrame:
+def history(aqi: DataFrame, as_of, last_hours: int = 72, hashes: list[str] | DataFrame | None = None) -> DataFrame:
+    """Hours of all nodes (None), of a list of hashes (an empty one has none) or of a table of them."""
     as_of = as_ts(as_of)
     rows = aqi.where((F.col("timestamp") >= as_of - hours(last_hours)) & (F.col("timestamp") <= as_of))
-    rows = rows.where(F.col("location_hash").isin(hashes)) if hashes else rows
+    if isinstance(hashes, DataFrame):
+        rows = rows.join(hashes.select("location_hash"), "location_hash", "left_semi")
+    elif hashes is not None:
+        rows = rows.where(F.col("location_hash").isin(list(hashes)))
     return rows.select(
         "location_hash", "timestamp", "aqi", "aqi_category", AVERAGES["pm25"], AVERAGES["pm10"]
     )

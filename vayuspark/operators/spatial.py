@@ -11,6 +11,7 @@ from vayuspark.vocab import DEDUPE_KM, GRID_BOX, NEAREST_KM
 
 CELL = 1 / 64      # degrees of the finest cell: at most a few hundred places at three decimals
 LEVELS = 16        # every level doubles the cell; the last holds the whole globe
+ROUND = 360 * 64   # cells of one way round
 
 
 def _ix(x: Column) -> Column:
@@ -45,7 +46,9 @@ def _bounds(metric: str, pi, pj, si, sj) -> tuple[Column, Column]:
         a1 = half(lat1) + pc1 * sc1 * half(lon1)
         km = lambda a: 2 * EARTH_KM * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
         around = lon1 > 180
-        low, high = F.when(around, F.lit(0.0)).otherwise(km(a0)), F.when(around, F.lit(math.pi * EARTH_KM)).otherwise(km(a1))
+        beyond = lon0 > 180     # the copy of the site on the other side is closer
+        low = F.when(beyond, F.lit(float("inf"))).when(around, F.lit(0.0)).otherwise(km(a0))
+        high = F.when(around, F.lit(math.pi * EARTH_KM)).otherwise(km(a1))
     return low * 0.999999 - 1e-6, high * 1.000001 + 1e-6
 
 
@@ -110,13 +113,16 @@ def nearest(
     at = sites.groupBy("lat", "lon").agg(F.min_by(F.struct(*others), F.col(order)).alias("_s")).select(
         F.col("lat").alias("slat"), F.col("lon").alias("slon"), "_s"
     )
+    left = where.withColumns({"pi": _ix(F.col("lat")), "pj": _ix(F.col("lon"))})
+    right = at.withColumns({"si": _ix(F.col("slat")), "sj": _ix(F.col("slon"))})
+    if metric == "haversine":   # each site once more, a way round further, so that +-180 degrees is no edge
+        shifted = F.when(F.col("slon") > 0, F.col("sj") - ROUND).otherwise(F.col("sj") + ROUND)
+        right = right.withColumn("sj", F.explode(F.array("sj", shifted)))
     cells = _candidates(
         where.select(_ix(F.col("lat")).alias("pi"), _ix(F.col("lon")).alias("pj")).distinct(),
-        at.select(_ix(F.col("slat")).alias("si"), _ix(F.col("slon")).alias("sj")).distinct(),
+        right.select("si", "sj").distinct(),
         metric, max_km,
     )
-    left = where.withColumns({"pi": _ix(F.col("lat")), "pj": _ix(F.col("lon"))})
-    right = at.withColumns({"si": _ix(F.col("slat")), "sj": _ix(F.col("slon"))})
     distance = equirect_km if metric == "equirect" else haversine_km
     km = distance(F.col("lat"), F.col("lon"), F.col("slat"), F.col("slon"))
     pairs = left.join(cells, ["pi", "pj"]).join(right, ["si", "sj"]).withColumn("km", km)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vayuspark.functions.calendar import as_ts, hour_number, hours
-from vayuspark.operators.blocks import block_window, core_rows, running_before, with_halo
+from vayuspark.operators.blocks import BLOCK, block_window, core_rows, running_before, with_halo
 from vayuspark.vocab import AVERAGES, FILL_HOURS, WINDOW_HOURS
 
 NODE, TIME = "location_hash", "timestamp"
@@ -135,12 +135,14 @@ def interpolate_time(df: DataFrame, cols: list[str], limit: int = 3) -> DataFram
     joined = out.join(later, [NODE, "_blk"], "left").drop("_blk")
     blocked = with_halo(joined, F.col("_pos"), BLOCK_HOURS, before=limit)
     w = block_window([NODE], "_pos")
-    back, fore = w.rowsBetween(-limit, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    # From the end backwards the frame only grows, so the next value costs one pass over a block.
+    back = w.rowsBetween(-limit, 0)
+    fore = Window.partitionBy(NODE, BLOCK).orderBy(F.col("_pos").desc()).rowsBetween(Window.unboundedPreceding, 0)
     knot = {c: F.when(F.col(c).isNotNull(), F.struct(F.col(TIME).alias("t"), F.col(c).alias("v"))) for c in cols}
     blocked = blocked.select(
         "*",
         *[F.last(knot[c], ignorenulls=True).over(back).alias(f"_left_{c}") for c in cols],
-        *[F.first(knot[c], ignorenulls=True).over(fore).alias(f"_here_{c}") for c in cols],
+        *[F.last(knot[c], ignorenulls=True).over(fore).alias(f"_here_{c}") for c in cols],
     )
     filled = {}
     for c in cols:

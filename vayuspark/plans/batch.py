@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from vayuspark.functions.calendar import as_ts, days
 from vayuspark.operators.serving import snapshot_lines
-from vayuspark.operators.skill import RUN, SKILL_COLUMNS, evaluate_forecast_skill
+from vayuspark.operators.skill import RUN, SKILL_COLUMNS, evaluate_forecast_skill, pending_runs
 from vayuspark.operators.windows import NODE, TIME
 from vayuspark.plans.aqi import AQI_COLUMNS, refresh_aqi
 from vayuspark.plans.forecast import forecast_all
@@ -119,9 +119,16 @@ def forecast_job(
 
 
 def skill_job(tables: Tables, as_of: datetime, rescore: bool = False) -> None:
-    """Score the runs whose day has passed."""
+    """Score the runs whose day has passed. Only the days from the first to the last of them are read of any table."""
+    forecasts, scored = tables.read("aqi_forecasts"), tables.read("forecast_skill")
+    past = forecasts.where(F.col("run_date") <= F.lit((as_of - timedelta(hours=25)).date()))
+    first, last = pending_runs(past, scored, as_of, rescore).agg(F.to_date(F.min(RUN)), F.to_date(F.max(RUN))).first()
+    if first is None:
+        return
+    runs = F.col("run_date").between(F.lit(first), F.lit(last))
+    observed = F.col("obs_date").between(F.lit(first), F.lit(last + timedelta(days=2)))  # 24 hours from an issue late on the last day
     new = evaluate_forecast_skill(
-        tables.read("aqi_forecasts"), tables.read("aqi_computed"), tables.read("raw_observations"), tables.read("forecast_skill"), as_of, rescore
+        forecasts.where(runs), tables.read("aqi_computed").where(observed), tables.read("raw_observations").where(observed), scored.where(runs), as_of, rescore
     )
     rows = shaped(new.select(*SKILL_COLUMNS, as_ts(as_of).alias("evaluated_at"), F.to_date(RUN).alias("run_date")), "forecast_skill")
     if rescore:
@@ -130,12 +137,15 @@ def skill_job(tables: Tables, as_of: datetime, rescore: bool = False) -> None:
         insert_if_absent(tables.spark, tables.path("forecast_skill"), rows, [RUN, "hours_ahead"], "run_date")
 
 
-def prune_job(tables: Tables, as_of: datetime, raw_days: int = RAW_DAYS, forecast_days: int = FORECAST_DAYS) -> None:
-    for name, column, partition, keep in (
-        ("raw_observations", TIME, "obs_date", raw_days), ("aqi_computed", TIME, "obs_date", raw_days),
-        ("aqi_forecasts", RUN, "run_date", forecast_days),
-    ):
-        prune(tables.spark, tables.path(name), column, partition, as_of, keep)
+def prune_job(tables: Tables, as_of: datetime, raw_days: int = RAW_DAYS, forecast_days: int = FORECAST_DAYS) -> dict[str, dict[str, int]]:
+    """Rows dropped and kept of each table; a table that was never written has none."""
+    return {
+        name: prune(tables.spark, tables.path(name), column, partition, as_of, keep)
+        for name, column, partition, keep in (
+            ("raw_observations", TIME, "obs_date", raw_days), ("aqi_computed", TIME, "obs_date", raw_days),
+            ("aqi_forecasts", RUN, "run_date", forecast_days),
+        )
+    }
 
 
 def export_job(tables: Tables, as_of: datetime, out: str) -> None:

@@ -1,12 +1,13 @@
 """Keyed Parquet tables: upsert, insert-if-absent, registry, backfill, retention.
 
-A table is a folder partitioned by a date column. A write first lands in the shared folder, then only
-the touched partitions are replaced, so a lost executor or a failed job leaves the table readable and
-the job can simply be run again.
+A table is a folder partitioned by a date column. Whole new partitions are written next to it, under `_staged` (which
+readers skip), and marked complete before the first old one goes. A job that dies in between loses nothing: the next
+call on the table finishes the swap of a complete set and drops an incomplete one. One writer at a time.
 """
 
 from __future__ import annotations
 
+import uuid
 from datetime import date, datetime, timedelta
 
 from pyspark.errors import AnalysisException
@@ -17,8 +18,63 @@ from vayuspark.operators.windows import keep_last
 from vayuspark.session import cut_lineage
 
 
+STAGED, FINISHED, COMPLETE = "_staged", "_finished", "_COMPLETE"
+#: Partition values that a filter names one by one; beyond, it names the range they span.
+MOST_VALUES = 1000
+
+
+class _Folder:
+    """The few file operations a swap needs, on whatever file system the path is on."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.path_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self.path = path
+        self.fs = self.path_of(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def at(self, *names: str):
+        return self.path_of("/".join([self.path, *names]))
+
+    def names(self, *below: str) -> list[str]:
+        at = self.at(*below)
+        return sorted(s.getPath().getName() for s in self.fs.listStatus(at)) if self.fs.exists(at) else []
+
+    def has(self, *names: str) -> bool:
+        return self.fs.exists(self.at(*names))
+
+    def mark(self, *names: str) -> None:
+        self.fs.create(self.at(*names), True).close()
+
+    def delete(self, *names: str) -> None:
+        self.fs.delete(self.at(*names), True)
+
+    def move(self, source: tuple, target: tuple) -> None:
+        self.fs.mkdirs(self.at(*target).getParent())
+        if not self.fs.rename(self.at(*source), self.at(*target)):
+            raise OSError(f"{self.at(*source)} could not become {self.at(*target)}")
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Finish swaps that were complete when their job died, drop the others."""
+    folder = _Folder(spark, path)
+    for run in folder.names(STAGED):
+        if folder.has(STAGED, run, COMPLETE):
+            _swap(folder, run)
+        else:
+            folder.delete(STAGED, run)
+
+
+def _swap(folder: _Folder, run: str) -> None:
+    """Each staged partition takes the place of the old one; can be repeated at any point."""
+    for name in folder.names(STAGED, run):
+        if "=" in name:
+            folder.delete(name)
+            folder.move((STAGED, run, name), (name,))
+    folder.delete(STAGED, run)
+
+
 def read_table(spark: SparkSession, path: str, schema) -> DataFrame:
     """The table, or an empty one with the schema when nothing was written yet."""
+    recover(spark, path)
     try:
         return spark.read.schema(schema).parquet(path)
     except AnalysisException:
@@ -27,10 +83,30 @@ def read_table(spark: SparkSession, path: str, schema) -> DataFrame:
 
 def replace_partitions(df: DataFrame, path: str, partition: str) -> None:
     """Swap in whole partitions. Spark sizes the files, splitting a partition too big for one task."""
-    (
-        df.hint("rebalance", partition)
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
-    )
+    spark, run = df.sparkSession, uuid.uuid4().hex
+    recover(spark, path)
+    df.hint("rebalance", partition).write.partitionBy(partition).parquet(f"{path}/{STAGED}/{run}")
+    folder = _Folder(spark, path)
+    folder.mark(STAGED, run, COMPLETE)
+    _swap(folder, run)
+    spark.catalog.refreshByPath(path)
+
+
+def only(existing: DataFrame, rows: DataFrame, partition: str) -> DataFrame:
+    """What `existing` has in the partitions of `rows`, named as values, so that no other folder is read.
+
+    There are as many values as the rows touch partitions; a batch over very many is read by their range.
+    """
+    values = [r[0] for r in rows.select(partition).distinct().collect()]
+    known = [v for v in values if v is not None]
+    column = F.col(partition)
+    if not known:
+        kept = F.lit(False)
+    elif len(known) <= MOST_VALUES:
+        kept = column.isin(known)
+    else:
+        kept = column.between(min(known), max(known))
+    return existing.where(kept | column.isNull() if None in values else kept)
 
 
 def merge_rows(existing: DataFrame, rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -40,18 +116,17 @@ def merge_rows(existing: DataFrame, rows: DataFrame, keys: list[str], order: lis
 
 def upsert(spark: SparkSession, path: str, rows: DataFrame, keys: list[str], order: list[str], partition: str) -> None:
     rows = cut_lineage(rows, "rows")        # read twice below, whatever it takes to work them out
-    existing = read_table(spark, path, rows.schema)
-    touched = rows.select(partition).distinct()
-    merged = merge_rows(existing.join(touched, partition, "left_semi").select(*rows.columns), rows, keys, order)
-    replace_partitions(cut_lineage(merged, "upsert"), path, partition)
+    existing = only(read_table(spark, path, rows.schema), rows, partition)
+    replace_partitions(merge_rows(existing.select(*rows.columns), rows, keys, order), path, partition)
 
 
 def insert_if_absent(spark: SparkSession, path: str, rows: DataFrame, keys: list[str], partition: str, order: list[str] | None = None) -> None:
     """Append rows with new keys; existing rows win. Only the partitions that `rows` has are looked at."""
     rows = cut_lineage(rows, "rows")
-    existing = read_table(spark, path, rows.schema).join(rows.select(partition).distinct(), partition, "left_semi")
+    existing = only(read_table(spark, path, rows.schema), rows, partition)
     fresh = keep_last(rows, keys, order).join(existing.select(*keys), keys, "left_anti").select(*rows.columns)
-    cut_lineage(fresh, "insert").hint("rebalance", partition).write.mode("append").partitionBy(partition).parquet(path)
+    fresh.hint("rebalance", partition).write.mode("append").partitionBy(partition).parquet(path)
+    spark.catalog.refreshByPath(path)
 
 
 def register_model(registry: DataFrame, cards: DataFrame, now) -> DataFrame:
@@ -83,15 +158,19 @@ def upsert_nodes(nodes: DataFrame, rows: DataFrame, now) -> DataFrame:
 
 
 def backfill_write(spark: SparkSession, rows: DataFrame, parts: str, batch: str = "batch") -> int:
-    """Write the batches that are not there yet, one folder each; returns how many folders there were before."""
-    try:
-        done = spark.read.parquet(parts).select(batch).distinct()
-    except AnalysisException:
-        done = None
-    todo = rows if done is None else rows.join(done, batch, "left_anti").select(*rows.columns)
-    before = 0 if done is None else done.count()
-    cut_lineage(todo, "backfill").hint("rebalance", batch).write.mode("append").partitionBy(batch).parquet(parts)
-    return before
+    """Write the batches that are not finished yet, one folder each; returns how many were finished before.
+
+    Each batch is a write of its own and gets a mark when it is whole, so a run that died goes on where it stopped.
+    """
+    folder = _Folder(spark, parts)
+    done = set(folder.names(FINISHED))
+    named = rows.select(batch, F.concat(F.lit(f"{batch}="), F.col(batch).cast("string")).alias("folder")).distinct()
+    for value, name in sorted((r[0], r[1]) for r in named.where(F.col(batch).isNotNull()).collect()):
+        if name not in done:
+            rows.where(F.col(batch) == F.lit(value)).drop(batch).write.mode("overwrite").parquet(f"{parts}/{name}")
+            folder.mark(FINISHED, name)
+    spark.catalog.refreshByPath(parts)
+    return len(done)
 
 
 def prune_counts(table: DataFrame, column: str, cutoff, name: str) -> DataFrame:
@@ -106,23 +185,28 @@ def prune_rows(table: DataFrame, column: str, cutoff) -> DataFrame:
     return table.where(F.col(column) >= as_ts(cutoff))
 
 
-def prune(spark: SparkSession, path: str, column: str, partition: str, as_of: datetime, keep_days: int) -> None:
-    """Drop rows strictly older than the cutoff from a table partitioned by the day of `column`.
+def prune(spark: SparkSession, path: str, column: str, partition: str, as_of: datetime, keep_days: int) -> dict[str, int]:
+    """Drop rows strictly older than the cutoff from a table partitioned by the day of `column`; how many went and stay.
 
-    Older days go as whole folders, only the day of the cutoff is rewritten.
+    Older days go as whole folders, only the day of the cutoff is rewritten. A table that is empty or not there stays so.
     """
     cutoff = as_of - timedelta(days=keep_days)
-    table = spark.read.parquet(path)
+    recover(spark, path)
+    try:
+        table = spark.read.parquet(path)
+    except AnalysisException:
+        return {"dropped": 0, "kept": 0}
+    counts = prune_counts(table, column, cutoff, path).first()
     edge = table.where(F.col(partition) == F.lit(cutoff.date()))
-    kept = cut_lineage(prune_rows(edge, column, cutoff), "prune")
-    replace_partitions(kept, path, partition)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    root = hadoop(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    kept = prune_rows(edge, column, cutoff)
     edge_is_empty = kept.isEmpty()
-    for status in fs.listStatus(root):
-        name = status.getPath().getName()
+    if not edge_is_empty and not edge.where(F.col(column) < as_ts(cutoff)).isEmpty():
+        replace_partitions(kept, path, partition)
+    folder = _Folder(spark, path)
+    for name in folder.names():
         if name.startswith(f"{partition}=") and not name.endswith("__HIVE_DEFAULT_PARTITION__"):
             day = date.fromisoformat(name.split("=", 1)[1])
             if day < cutoff.date() or (edge_is_empty and day == cutoff.date()):
-                fs.delete(status.getPath(), True)
+                folder.delete(name)
+    spark.catalog.refreshByPath(path)
+    return {"dropped": counts["dropped"], "kept": counts["kept"]}
