@@ -22,6 +22,7 @@ with each; repeated rows are scored each for itself.
 
 from __future__ import annotations
 
+import pickle
 from collections import Counter
 from collections.abc import Iterator
 
@@ -35,7 +36,7 @@ from vayuspark.llm import text as words_
 from vayuspark.llm.calibrate import isotonic, remainder
 from vayuspark.llm.tables import table, written
 
-FIT_DOCS, FIT_CHARS = 800, 1000
+FIT_DOCS, FIT_CHARS = 600, 1000
 LANDMARKS, PLAIN_LANDMARKS = 160, 40
 #: Standard errors by which a word must be commoner in toxic documents to be a landmark of the first kind.
 SURE = 4.0
@@ -94,32 +95,36 @@ class Letters:
         return np.where(size > 0, total / np.sqrt(np.maximum(size, 1e-12)) + bias, LOWEST)
 
 
-def own_weights(words: list[str]) -> np.ndarray:
-    """For each word the weights of its triples over its size: the kernel with it is their product with a word's."""
-    out = np.zeros((len(words), TRIPLES), np.float32)
+def own_weights(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The triples that some word has, and for each word their weights over its size: its kernel is their product with another word's."""
+    parts = []
     for k, word in enumerate(words):
-        size = 0.0
-        for _, triple, weight in Letters(pa.array([word])).triples():
-            np.add.at(out[k], triple, weight)
-            size += len(triple) * weight**2
-        out[k] /= np.sqrt(max(size, 1e-12))
-    return out
-
-
-def _kernel(words: list[str], tables: np.ndarray) -> np.ndarray:
-    """Of every word with every landmark; only triples that some landmark has are looked at."""
+        found = [(np.full(len(triple), k), triple, np.full(len(triple), weight)) for _, triple, weight in Letters(pa.array([word])).triples()]
+        row, triple, weight = (np.concatenate(x) for x in zip(*found, strict=True))
+        parts.append((row, triple, weight / np.sqrt(max((weight**2).sum(), 1e-12))))
+    row, triple, weight = (np.concatenate(x) for x in zip(*parts, strict=True))
+    used, place = np.unique(triple, return_inverse=True)
+    out = np.zeros((len(words), len(used)), np.float32)
+    np.add.at(out, (row, place), weight)
+    return used, out
+
+
+def _kernel(words: list[str], used: np.ndarray, tables: np.ndarray) -> np.ndarray:
+    """Of every word with every landmark."""
     own, n = Letters(pa.array(words)), len(words)
-    held, size, parts = tables.any(axis=0), np.zeros(n), []
+    place = np.full(TRIPLES, -1, np.int32)
+    place[used] = np.arange(len(used))
+    size, parts = np.zeros(n), []
     for word, triple, weight in own.triples():
         word = own.row[word]  # a word is one row here, but may have lost all letters
         size += np.bincount(word, minlength=n) * weight**2
-        some = held[triple]
-        parts.append((word[some], triple[some], np.full(int(some.sum()), weight)))
-    word, triple, weight = (np.concatenate(x) for x in zip(*parts, strict=True))
-    out = np.empty((n, len(tables)))
+        at = place[triple]
+        parts.append((word[at >= 0].astype(np.int32), at[at >= 0], np.full(int((at >= 0).sum()), weight, np.float32)))
+    word, at, weight = (np.concatenate(x) for x in zip(*parts, strict=True))
+    out = np.empty((n, len(tables)), np.float32)
     for k, table_ in enumerate(tables):
-        out[:, k] = np.bincount(word, weights=table_[triple] * weight, minlength=n)
-    return out / np.sqrt(np.maximum(size, 1e-12))[:, None]
+        out[:, k] = np.bincount(word, weights=table_[at] * weight, minlength=n)
+    return out / np.sqrt(np.maximum(size, 1e-12))[:, None].astype(np.float32)
 
 
 def train(sentences: list[tuple[int, int, str]]) -> tuple[np.ndarray, float]:
@@ -143,14 +148,17 @@ def train(sentences: list[tuple[int, int, str]]) -> tuple[np.ndarray, float]:
     telling = set(insults)
     plain = [w for w, _ in sorted(seen[0].items(), key=lambda x: (-x[1], x[0])) if w not in insults][:PLAIN_LANDMARKS]
     landmarks = insults + plain
-    tables = own_weights(landmarks)
+    if not landmarks:
+        return np.zeros(TRIPLES, np.float32), 0.0
+    used, tables = own_weights(landmarks)
     names = sorted({w for _, _, words in spelled for w in words})
     number = {w: k for k, w in enumerate(names)}
-    kernel = _kernel(names, tables)
+    kernel = _kernel(names, used, tables)
     among = kernel[[number[w] for w in landmarks]]
     value, vector = np.linalg.eigh((among + among.T) / 2)
     root = vector / np.sqrt(np.maximum(value, 1e-6)) * (value > 1e-6)  # Nystroem: kernel @ root are the features
-    x = np.column_stack([kernel @ root, np.ones(len(names))])
+    x = np.column_stack([kernel @ root.astype(np.float32), np.ones(len(names), np.float32)])
+    del kernel
     whole: dict[int, list[int]] = {}
     marked: dict[int, list[list[int]]] = {}
     plain_bags = []
@@ -175,10 +183,12 @@ def train(sentences: list[tuple[int, int, str]]) -> tuple[np.ndarray, float]:
         n = np.array([*yes.values(), *no.values()], float)
         n[y > 0] /= n[y > 0].sum()
         n[y < 0] /= max(n[y < 0].sum(), 1)
-        weights = _squared_hinge(x[rows], y, n)
+        weights = _squared_hinge(x[rows].astype(float), y, n)
         score = x @ weights
     alpha = root @ weights[:-1]
-    return (alpha.astype(np.float32) @ tables).astype(np.float32), float(weights[-1])
+    out = np.zeros(TRIPLES, np.float32)
+    out[used] = alpha @ tables
+    return out, float(weights[-1])
 
 
 def _squared_hinge(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -242,9 +252,11 @@ class Machine:
         place = {doc: k for k, (doc, _) in enumerate(docs)}
         labels = np.array([y for _, y in docs], float)
         apart = np.zeros((len(docs), EVIDENCE))
+        # Half of each class.
+        half = np.where(labels > 0, np.cumsum(labels > 0), np.cumsum(labels <= 0)) % 2
         for fold in (0, 1):
-            theirs = [x for x in sentences if place[x[0]] % 2 != fold]
-            own = [x for x in sentences if place[x[0]] % 2 == fold]
+            theirs = [x for x in sentences if half[place[x[0]]] != fold]
+            own = [x for x in sentences if half[place[x[0]]] == fold]
             if own:
                 weights, bias = train(theirs)
                 found = Letters(pa.array([sentence for _, _, sentence in own], pa.string()))
@@ -253,7 +265,7 @@ class Machine:
                 scores = found.scores(weights.astype(float), bias)[order]
                 found.row = found.row[order]
                 seen = evidence(found, scores, len(docs))
-                mine = np.arange(len(docs)) % 2 == fold
+                mine = half == fold
                 apart[mine] = seen[mine]
         self.weights, self.bias = train(sentences)
         self.weights = self.weights.astype(float)
@@ -269,6 +281,11 @@ class Machine:
         return self._raw(evidence(found, found.scores(self.weights, self.bias), len(column)))
 
 
+def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = [(r["doc_id"], r["y"], r["sentence"]) for batch in batches for r in batch.to_pylist()]
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(Machine(sorted(rows)))], pa.binary())], names=["machine"])
+
+
 def raw_scores(docs: DataFrame, machine: Machine) -> DataFrame:
     """The columns of docs but `text`, with `raw`: the decision for the whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(machine)
@@ -294,7 +311,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, held_out: int | None = 2
     share = F.when(F.col("y") == 1, min(1.0, FIT_DOCS / max(1, counts.get(1, 0)))).otherwise(min(1.0, FIT_DOCS / max(1, counts.get(0, 0))))
     drawn = F.broadcast(known.where(draw < share).dropDuplicates(["own"]))  # 2 x FIT_DOCS rows in the mean
     sentences = docs.join(drawn, F.col("doc_id") == F.col("own")).select("doc_id", "y", F.explode(F.split("text", r"[.!?\n]+")).alias("sentence")).where(F.length("sentence").between(3, FIT_CHARS))
-    machine = Machine([(r.doc_id, r.y, r.sentence) for r in sentences.collect()])
+    learnt = sentences.repartition(1).mapInArrow(_learn, "machine binary").first()  # a bounded sample
+    machine = pickle.loads(learnt[0]) if learnt else Machine([])
     apart = spark.createDataFrame(list(machine.apart.items()) or [(0, 0.0)], "fitted long, apart double").where(F.lit(bool(machine.apart)))
     machine.apart = {}
     scored = written(raw_scores(docs, machine), "raw")
