@@ -115,6 +115,23 @@ def test_training_run(spark):
 
     card = json.loads(run.card.first()["card"])
     assert card["model_version"] == "t1" and card["data"]["train_windows"] == 60 and len(card["test"]["models"]) == 6
+    stored_run_is_the_same(spark, run, raw, settings)
+
+
+def stored_run_is_the_same(spark, run, raw, settings):
+    from vayuspark.operators import features as ft
+    from vayuspark.plans import artefacts
+    from vayuspark.session import run_dir
+
+    path = run_dir(spark, "trained")
+    assert artefacts.load_run(spark, path) is None
+    artefacts.save_run(run, path)
+    again = artefacts.load_run(spark, path)
+    frame = ft.hour_frame(to_spark(spark, raw), nodes2(spark))
+    leads = ft.all_horizons(run.test.orderBy("location_hash", "timestamp").limit(3))
+    rows = lambda r: sorted(map(str, tr.predictor(r.models, r.spec, r.stds)(leads, frame).collect()))
+    assert len(rows(run)) == 72 and rows(again) == rows(run)
+    assert again.card.collect() == run.card.collect() and sorted(again.weights.collect()) == sorted(run.weights.collect())
 
 
 def test_ingestion_pass(spark):

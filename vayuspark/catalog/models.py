@@ -12,6 +12,7 @@ from vayuspark.functions import calendar as cal
 from vayuspark.operators import skill as sk
 from vayuspark.plans import ingest as ing, proxy as px, training as tr
 from vayuspark.plans.aqi import refresh_aqi
+from vayuspark.plans.artefacts import trained_once
 from vayuspark.plans.forecast import forecast_all
 from vayuspark.session import run_dir
 from vayuspark.streaming import jobs
@@ -19,20 +20,15 @@ from vayuspark.vocab import AIR_NAMES, AVERAGES, POLLUTANTS, RAW, SUB_INDICES, W
 
 K = ["location_hash", "timestamp"]
 KEYS = "location_hash, timestamp"
-QUICK = tr.Settings(
-    val_days=VAL_DAYS, test_days=TEST_DAYS, stride=1, train_draws=2, val_draws=2,
-    gbt={"maxIter": 4, "maxDepth": 3, "stepSize": 0.3}, rf={"numTrees": 6, "maxDepth": 4}, huber={"maxIter": 15, "regParam": 0.01, "epsilon": 1.35},
-)
-TREES = {"maxIter": 5, "maxDepth": 4, "stepSize": 0.3}
-_RUNS: dict[str, tr.Run] = {}
+SETTINGS = tr.Settings(val_days=VAL_DAYS, test_days=TEST_DAYS)
 
 
 def trained(spark, sf) -> tr.Run:
-    """One training run per data folder and session: the fits serve all queries on learnt members."""
-    key = f"{spark.sparkContext.applicationId}|{sf}"
-    if key not in _RUNS:
-        _RUNS[key] = tr.run_training(b.observations(spark, sf, "node8"), b.nodes8(spark, sf), QUICK, "quick")
-    return _RUNS[key]
+    """A training run with the settings of `tr.Settings`, stored under its settings and data and read from there.
+
+    The split into days follows the span of the given tables.
+    """
+    return trained_once(b.observations(spark, sf, "node8"), b.nodes8(spark, sf), SETTINGS, "ensemble")
 
 
 @query("m6_train_members")
@@ -60,7 +56,7 @@ def m12m(spark, sf):
     run = trained(spark, sf)
     fr = tr.cut_lineage(tr.ft.hour_frame(b.observations(spark, sf, "node8"), b.nodes8(spark, sf)), "frame")
     as_of = b.last_hour(spark, sf) - cal.hours(30)
-    return rounded(forecast_all(fr, as_of, tr.predictor(run.models, run.spec, run.stds), tr.MEMBERS, run.weights, run.quantiles, "quick"))
+    return rounded(forecast_all(fr, as_of, tr.predictor(run.models, run.spec, run.stds), tr.MEMBERS, run.weights, run.quantiles, "ensemble"))
 
 
 @query("m14_model_card")
@@ -75,18 +71,18 @@ def holed(df):
 
 @query("m16_train_proxy")
 def m16(spark, sf):
-    return rounded(px.train_proxy(b.observations(spark, sf), TREES)[1])
+    return rounded(px.train_proxy(b.observations(spark, sf))[1])
 
 
 @query("m17_cross_validate")
 def m17(spark, sf):
-    return px.cross_validate(b.observations(spark, sf), "pm25", 3, {"maxIter": 2, "maxDepth": 3})
+    return px.cross_validate(b.observations(spark, sf), "pm25")
 
 
 @query("m18_fill_pm_gaps")
 def m18(spark, sf):
     obs = holed(b.observations(spark, sf)).select(*K, "aod", *px.WEATHER, "pm25", "pm10")
-    models, _ = px.train_proxy(obs, TREES)
+    models, _ = px.train_proxy(obs)
     return rounded(px.fill_pm_gaps(obs, models).select(*K, "pm25", "pm10", "pm_gap_filled"))
 
 
@@ -99,7 +95,7 @@ def m18n(spark, sf):
 @query("m19_proxy_estimates")
 def m19(spark, sf):
     obs = b.observations(spark, sf).select(*K, "aod", *px.WEATHER, "pm25", "pm10")
-    models, _ = px.train_proxy(obs, TREES)
+    models, _ = px.train_proxy(obs)
     return rounded(px.proxy_estimates(obs, models).select(*K, "pm25", "pm25_proxy", "pm10_proxy"))
 
 
