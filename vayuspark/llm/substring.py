@@ -173,6 +173,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     lists = keyed.mapInArrow(_half_hashes(window), schema)
     each = lists.select(*of, F.explode("halves").alias("half"))
     repeated = each.groupBy("half").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("half")
+    repeated = written(repeated, "repeated")  # as a table, so that a half of very many documents can be split in the join
     candidates = each.join(repeated, "half").groupBy(*of).agg(F.collect_set("half").alias("halves"))
     candidates = written(candidates.join(copies, of, "left_anti"), "halves")
 
@@ -181,6 +182,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     extended = keyed.join(candidates, of).select("doc_id", "text_key", "text", "halves").mapInArrow(_wide_hashes(window), wide)
     spans = written(extended, "windows").select(*of, F.inline(F.arrays_zip("w", "c")))
     first = spans.groupBy("w", "c").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last").drop("last")
+    first = written(first, "first")
     later = spans.join(first, ["w", "c"]).where("doc_id > source")
     gone = written(later.groupBy(*of).agg(F.collect_list("w").alias("w"), F.collect_list("c").alias("c")), "gone")
 
