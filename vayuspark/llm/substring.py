@@ -166,6 +166,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     whole = ["text_key", "text_md5"]
     plain = keyed.select("doc_id", "text_key", F.md5("text").alias("text_md5"))
     sources = plain.groupBy(*whole).agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last").drop("last")
+    sources = written(sources, "sources")
     copies = written(plain.join(sources, whole).where("doc_id > source").select(*of).distinct(), "copies")
 
     # Halves that start in two documents.
