@@ -230,6 +230,47 @@ def test_embeddings(spark):
     assert embeddings.near_duplicates(table.limit(0)).count() == 0
 
 
+def _directed(x):
+    """Links of each row by brute force."""
+    x = x / np.sqrt((x * x).sum(axis=1))[:, None]
+    linked = x @ x.T >= 0.93
+    np.fill_diagonal(linked, False)
+    return linked
+
+
+def test_embeddings_between_full_lists(spark):
+    """Two groups, each tighter inside than the other is away, so that no list of the closest holds a link between them."""
+    from vayuspark.llm import embeddings
+
+    rnd = np.random.default_rng(12)
+    one, turn = np.linalg.qr(rnd.normal(size=(64, 2)))[0].T
+    two = 0.945 * one + (1 - 0.945**2) ** 0.5 * turn
+    x = np.concatenate([c + rnd.normal(size=(300, 64)) * 0.004 for c in (one, two)] + [rnd.normal(size=(40, 64))])
+    table = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    linked = _directed(x)
+    top = cases.grouped(np.argwhere(linked).tolist(), range(len(x)))
+    assert linked[:300, 300:600].sum() > 80_000
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(table).collect()}
+    assert got == {i: (int(linked[i].sum()), top[i]) for i in range(len(x))}
+
+
+def test_embeddings_joined_whole(spark):
+    """Balls of several blocks and tiles, single nodes, unequal labels, no components yet: the same as brute force."""
+    from vayuspark.llm import embeddings
+
+    rnd = np.random.default_rng(13)
+    base = rnd.normal(size=(60, 8))
+    x = np.concatenate([b + rnd.normal(size=(12, 8)) * rnd.choice([0.1, 0.3]) for b in base])
+    rows = [(i, i % 2, 8, 1, v.tolist()) for i, v in enumerate(x)]
+    nodes = spark.createDataFrame(rows, "node long, label int, size int, weight long, vector array<double>")
+    linked = _directed(x) & (np.arange(len(x))[:, None] % 2 == np.arange(len(x)) % 2)
+    top = cases.grouped(np.argwhere(linked).tolist(), range(len(x)))
+    some = {i: c for i, c in top.items() if c % 3 == 0 and linked[i].any()}
+    for found in ({}, some):
+        got = embeddings.joined(nodes, spark.createDataFrame(list(found.items()), "node long, component long"))
+        assert {r.node: r.component for r in got.collect()} == {i: top[i] for i in top if linked[i].any()}
+
+
 def test_chat(spark):
     from vayuspark.llm.chat import documents_of, rotate
 

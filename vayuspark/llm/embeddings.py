@@ -10,8 +10,10 @@ Equal vectors are one node with a weight. Nodes are held as one byte a dimension
   too many of their links are missing, the lists are enlarged and the rounds go on.
 
 Edges near the threshold are confirmed in double precision. A list whose entries are all over the threshold is saturated
-and may hide links, so it is enlarged to its whole component: inside a component all pairs are compared, in tiles of
-blocks of a bounded number of nodes. So a group of any size loses none of its links, and no task holds a whole group.
+and may hide links, to nodes of its own component and of others. Saturated nodes of different components are held against
+each other in balls, of which the triangle inequality leaves out only what cannot be linked, and components with a link
+are joined. Inside a component all pairs are compared, in tiles of blocks of a bounded number of nodes. So a group of any
+size loses none of its links, and no task holds a whole group.
 
 Defined results: a vector that is null, of no length, zero, or holds a null, NaN or infinite component, or that has no label, has
 no links and is a component of its own, and so is a row without vec_id (component null, kept); vectors of unequal length
@@ -37,7 +39,7 @@ SLACK = 0.03
 NEIGHBOURS, STARTS, BUCKET, BEST = 12, 4, 48, 4
 ROUNDS, CHANGED = 8, 0.01
 AUDIT, RECALL, ENLARGED = 256, 0.99, 3
-BLOCK = 128
+BLOCK, CENTRES = 128, 1024
 _GROUP = ["label", "size"]
 
 
@@ -214,6 +216,105 @@ def count_links(nodes: DataFrame, found: DataFrame) -> DataFrame:
     return packed.select("low", "high", "members").mapInArrow(_tiles, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
 
 
+def _blocked(batch: pa.RecordBatch, row: int, column: str) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """The members of a group without their vectors, and the vectors as unit rows."""
+    own = batch.column(column)[row].values
+    x = _flat(own.field("vector"), float).reshape(len(own), -1)
+    rest = [k.name for k in own.type if k.name != "vector"]
+    return {k: own.field(k).to_numpy(zero_copy_only=False) for k in rest}, x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def _balls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(ball, component, label, size, vector, radius): the mean direction of each ball's nodes and the largest angle to it."""
+    for batch in batches:
+        centres, radii = [], []
+        for k in range(batch.num_rows):
+            x = _blocked(batch, k, "members")[1]
+            centre = x.sum(axis=0)
+            if not np.abs(centre).max() > 1e-9:
+                centre = x[0]
+            centre = centre / np.sqrt(centre @ centre)
+            centres.append(centre)
+            radii.append(float(np.arccos(np.clip(x @ centre, -1, 1)).max()))
+        same = ["ball", "component", *_GROUP]
+        vectors = pa.array([c.tolist() for c in centres], pa.list_(pa.float64()))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in same), vectors, pa.array(radii, pa.float64())], names=[*same, "vector", "radius"])
+
+
+def _close_balls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of balls of different components, one of each block of a tile, that can hold a link by the triangle inequality."""
+    reach = np.arccos(THRESHOLD) + 1e-6
+    for batch in batches:
+        one, two = [], []
+        for k in range(batch.num_rows):
+            have, x = _blocked(batch, k, "members")
+            low, high = batch.column("low")[k].as_py(), batch.column("high")[k].as_py()
+            a, b = np.flatnonzero(have["block"] == low), np.flatnonzero(have["block"] == high)
+            angle = np.arccos(np.clip(x[a] @ x[b].T, -1, 1))
+            radius, component, ball = have["radius"], have["component"], have["ball"]
+            near = (angle <= reach + radius[a][:, None] + radius[b]) & (component[a][:, None] != component[b])
+            i, j = np.nonzero(near)
+            i, j = a[i], b[j]
+            if low == high:
+                i, j = i[ball[i] < ball[j]], j[ball[i] < ball[j]]
+            one.append(ball[i])
+            two.append(ball[j])
+        if one:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(one), pa.int64()), pa.array(np.concatenate(two), pa.int64())], names=["a", "b"])
+
+
+def _bridges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between two balls: each node of the one with the first of the other that it is linked with, and the reverse."""
+    for batch in batches:
+        one, two = [], []
+        for k in range(batch.num_rows):
+            (a, x), (b, y) = _blocked(batch, k, "members_a"), _blocked(batch, k, "members_b")
+            linked = x @ y.T >= THRESHOLD
+            i, j = np.flatnonzero(linked.any(axis=1)), np.flatnonzero(linked.any(axis=0))
+            one += [a["node"][i], a["node"][linked[:, j].argmax(axis=0)]]
+            two += [b["node"][linked[i].argmax(axis=1)], b["node"][j]]
+        if one:
+            a, b = np.concatenate(one), np.concatenate(two)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], names=["a", "b"])
+
+
+def joined(nodes: DataFrame, found: DataFrame, some: DataFrame | None = None) -> DataFrame:
+    """The components, those joined between which nodes of `some` (else any nodes) have a link.
+
+    Nothing is guessed: nodes of one component are dealt into balls of at most about `BLOCK`, pairs of balls of different
+    components that can be close enough by the triangle inequality are compared whole, in double precision.
+    """
+    placed = nodes if some is None else nodes.join(some.select("node").distinct(), "node", "left_semi")
+    placed = placed.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")).select("node", "component", *_GROUP, "vector")
+    placed = written(placed, "placed")
+    if placed.select("component").distinct().limit(2).count() < 2:
+        return found
+    blocks = placed.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    dealt = placed.join(blocks, "component").withColumn("block", F.expr("pmod(xxhash64(node), blocks)"))
+    balls = dealt.groupBy("component", "block").agg(F.min("node").alias("ball"), F.first("label").alias("label"), F.first("size").alias("size"), F.collect_list(F.struct("node", "vector")).alias("members"))
+    balls = written(balls.select("ball", "component", *_GROUP, "members"), "balls")
+    kept = [balls.schema[c] for c in ("ball", "component", *_GROUP)]
+    schema = St.StructType([*kept, St.StructField("vector", St.ArrayType(St.DoubleType())), St.StructField("radius", St.DoubleType())])
+    centres = written(balls.mapInArrow(_balls, schema), "centres")
+
+    sizes = centres.groupBy(*_GROUP).agg(F.ceil(F.count(F.lit(1)) / CENTRES).alias("blocks"))
+    each = centres.join(sizes, _GROUP).withColumn("block", F.expr("pmod(xxhash64(ball), blocks)"))
+    each = each.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    each = each.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+    packed = each.groupBy(*_GROUP, "low", "high").agg(F.collect_list(F.struct("ball", "component", "block", "radius", "vector")).alias("members"))
+    pairs = written(packed.select("low", "high", "members").mapInArrow(_close_balls, "a long, b long"), "near-balls")
+
+    one, two = (balls.select(F.col("ball").alias(k), F.col("members").alias(f"members_{k}")) for k in "ab")
+    bridges = pairs.join(one, "a").join(two, "b").select("members_a", "members_b").mapInArrow(_bridges, "a long, b long").distinct()
+    return written(components(bridges.unionAll(found.select(F.col("node").alias("a"), F.col("component").alias("b")))), "components")
+
+
+def saturated(graph: DataFrame, k: int) -> DataFrame:
+    """Nodes whose whole list is as close as a link. Only between two of these can the lists have dropped a link: a node
+    that is missing from a list stands behind k closer ones."""
+    return graph.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("low")).where((F.col("n") >= k) & (F.col("low") >= THRESHOLD - SLACK)).select(F.col("u").alias("node"))
+
+
 def audit(nodes: DataFrame, found: DataFrame, most: int = AUDIT, seed: int = 11) -> tuple[int, int]:
     """Links of at most `most` random nodes by brute force over all nodes, and how many of them the components hold."""
     spark = nodes.sparkSession
@@ -263,6 +364,7 @@ def near_duplicates(embeddings: DataFrame, seed: int = 5) -> DataFrame:
         graph = neighbour_graph(codes, k, turn * STARTS, graph)
         close = graph.where(F.col("s") >= THRESHOLD - SLACK).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
         found = written(components(_confirmed(close, nodes)), "components")
+        found = joined(nodes, found, saturated(graph, k))
         there, have = audit(nodes, found)
         if have >= RECALL * there:
             break
