@@ -271,6 +271,31 @@ def test_embeddings_joined_whole(spark):
         assert {r.node: r.component for r in got.collect()} == {i: top[i] for i in top if linked[i].any()}
 
 
+def test_embeddings_audit(spark, monkeypatch):
+    """Lists without the links of all small groups beside a hot group: the audit tells, and the result is whole all the same."""
+    from vayuspark.llm import embeddings
+
+    rnd = np.random.default_rng(14)
+    hot = rnd.normal(size=16)
+    x = np.concatenate([hot + rnd.normal(size=(300, 16)) * 0.03] + [b + rnd.normal(size=(3, 16)) * 0.05 for b in rnd.normal(size=(200, 16))])
+    table = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    linked = _directed(x)
+    top = cases.grouped(np.argwhere(linked).tolist(), range(len(x)))
+    assert linked[300:, 300:].sum() > 1000
+    nodes = table.select(F.col("vec_id").alias("node"), "label", F.lit(16).alias("size"), F.lit(1).alias("weight"), F.col("embedding").alias("vector"))
+    held = lambda keep: spark.createDataFrame([(i, c) for i, c in top.items() if linked[i].any() and keep(i)], "node long, component long")
+    assert embeddings.audit(nodes, held(lambda i: True)) == 1
+    assert embeddings.audit(nodes, held(lambda i: i < 300)) < 0.1
+    # A few nodes of small groups missing weigh as much as if there were no hot group.
+    assert embeddings.audit(nodes, held(lambda i: i < 300 or i % 9)) < 0.99
+
+    graph = embeddings.neighbour_graph
+    monkeypatch.setattr(embeddings, "ENLARGED", 1)
+    monkeypatch.setattr(embeddings, "neighbour_graph", lambda *args: graph(*args).where("u < 300 and v < 300"))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(table).collect()}
+    assert got == {i: (int(linked[i].sum()), top[i]) for i in range(len(x))}
+
+
 def test_chat(spark):
     from vayuspark.llm.chat import documents_of, rotate
 

@@ -6,8 +6,9 @@ Equal vectors are one node with a weight. Nodes are held as one byte a dimension
   that is too large is dealt into parts at random);
 * in each round every node brings its neighbours, and those it is a neighbour of, together; whichever of them are closer to
   each other than what their lists hold go into the lists (a neighbour's neighbours become neighbours);
-* the rounds end when few lists change. A random set of at most `AUDIT` vectors is then held against all others; while
-  too many of their links are missing, the lists are enlarged and the rounds go on.
+* the rounds end when few lists change. Random vectors (see `audit`) are then held against all others; while too many of
+  their links are missing, the lists are enlarged and the rounds go on. Where that does not do in `ENLARGED` turns, all
+  vectors are compared in balls, which misses nothing.
 
 Edges near the threshold are confirmed in double precision. A list whose entries are all over the threshold is saturated
 and may hide links, to nodes of its own component and of others. Saturated nodes of different components are held against
@@ -315,13 +316,20 @@ def saturated(graph: DataFrame, k: int) -> DataFrame:
     return graph.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("low")).where((F.col("n") >= k) & (F.col("low") >= THRESHOLD - SLACK)).select(F.col("u").alias("node"))
 
 
-def audit(nodes: DataFrame, found: DataFrame, most: int = AUDIT, seed: int = 11) -> tuple[int, int]:
-    """Links of at most `most` random nodes by brute force over all nodes, and how many of them the components hold."""
+def audit(nodes: DataFrame, found: DataFrame, most: int = AUDIT, seed: int = 11) -> float:
+    """Share of the links of random nodes, by brute force over all nodes, that the components hold.
+
+    Every audited node with links counts the same, however many it has. Nodes in components of more than `BLOCK` nodes are
+    drawn and judged apart from the others (at most a quarter of `most`, as each has many links); the lower mean counts.
+    """
     spark = nodes.sparkSession
-    total = nodes.count()
-    drawn = nodes.where(F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, most / 2 / max(1, total)))).limit(most)
-    rows = drawn.select("node", "label", "size", "vector").collect()
-    shared = spark.sparkContext.broadcast(rows)
+    large = found.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).select("component")
+    inside = written(found.join(large, "component", "left_semi").select("node"), "inside")
+    drawn = []
+    for how, n in (("left_anti", most), ("left_semi", max(1, most // 4))):
+        drawn.append(nodes.join(inside, "node", how).select("node", "label", "size", "vector").orderBy(F.xxhash64("node", F.lit(seed)), "node").limit(n).collect())
+    crowd = {r["node"] for r in drawn[1]}
+    shared = spark.sparkContext.broadcast(drawn[0] + drawn[1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups: dict = {}
@@ -346,8 +354,11 @@ def audit(nodes: DataFrame, found: DataFrame, most: int = AUDIT, seed: int = 11)
 
     pairs = nodes.mapInArrow(run, "a long, b long").where("a <> b")
     one, two = (found.select(F.col("node").alias(k), F.col("component").alias(f"c_{k}")) for k in "ab")
-    held = pairs.join(one, "a", "left").join(two, "b", "left").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("c_a") == F.col("c_b"), 1).otherwise(0)).alias("have")).first()
-    return held.n, held.have or 0
+    held = pairs.join(one, "a", "left").join(two, "b", "left").groupBy("a").agg(F.avg(F.when(F.col("c_a") == F.col("c_b"), 1.0).otherwise(0.0)).alias("share")).collect()
+    shares: dict[bool, list[float]] = {}
+    for r in held:  # as many rows as nodes were drawn
+        shares.setdefault(r.a in crowd, []).append(r.share)
+    return min((sum(own) / len(own) for own in shares.values()), default=1.0)
 
 
 def near_duplicates(embeddings: DataFrame, seed: int = 5) -> DataFrame:
@@ -365,10 +376,11 @@ def near_duplicates(embeddings: DataFrame, seed: int = 5) -> DataFrame:
         close = graph.where(F.col("s") >= THRESHOLD - SLACK).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
         found = written(components(_confirmed(close, nodes)), "components")
         found = joined(nodes, found, saturated(graph, k))
-        there, have = audit(nodes, found)
-        if have >= RECALL * there:
+        if audit(nodes, found) >= RECALL:
             break
         k *= 2
+    else:
+        found = joined(nodes, found)  # the lists do not do: all nodes, exactly
     links = count_links(nodes, found)
     known = nodes.join(found, "node", "left").join(links, "node", "left").select(*whole, (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
     result = usable.join(known, whole).select(F.col("vec_id").alias("own"), "n_links", "component_id")
