@@ -83,6 +83,24 @@ def test_minhash_around_a_hub(spark):
     assert len(set(top.values())) > 20 and got == top
 
 
+def test_minhash_pairs_with_unequal_signatures(spark):
+    """Pairs at the threshold around different hubs that share a key, though more than 15 of their 40 values differ."""
+    from vayuspark.llm import minhash
+
+    rows = []
+    for k, seed in enumerate([18126, 19413, 23490, 37942, 38136, 40105, 41915, 60696, 75643, 76351, 78664, 104339, 106729, 110744, 114998, 116887]):
+        rnd = random.Random(seed)
+        a = ["w%d" % rnd.randrange(10**9) for _ in range(26)]
+        # The first two are linked; around each stand longer copies, linked with that one only, the first of which is its hub.
+        more = [["y%d.%d" % (k, j), *a[:21]] for j in range(3)] + [[*a[2:26], "z%d.%d" % (k, j)] for j in range(3)]
+        rows += [(10 * k + i, " ".join(own)) for i, own in enumerate([a[2:21], a[2:24], a[:21], a[2:26], *more])]
+    sets = {i: {tuple(t.split()[k : k + 3]) for k in range(len(t.split()) - 2)} for i, t in rows}
+    links = [(a, b) for a, b in itertools.combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    assert sum((10 * k, 10 * k + 1) in links for k in range(16)) == 16 and not any(a % 10 in (0, 2, 4, 5, 6) and b % 10 in (1, 3, 7, 8, 9) for a, b in links if (a % 10, b % 10) != (0, 1))
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
+    assert got == cases.grouped(links, sets)
+
+
 def test_tile_columns(monkeypatch):
     from vayuspark.llm import minhash
 

@@ -109,19 +109,18 @@ def keys_of(nodes: DataFrame, chunks: int) -> DataFrame:
 
 
 class _Judge:
-    """Confirms pairs: signatures within the distance first, then the full sets."""
+    """Confirms pairs on the full sets; only sizes that allow no link are left out before."""
 
-    def __init__(self, docs: DataFrame, nodes: DataFrame, involved: DataFrame, words: int, percent: int, chunks: int):
-        self.percent, self.distance = percent, chunks * (ERRORS + 1) - 1
+    def __init__(self, docs: DataFrame, nodes: DataFrame, involved: DataFrame, words: int, percent: int):
+        self.percent = percent
         self.nodes = nodes.select("node", "n_shingles", "sig")
         schema = St.StructType([St.StructField("node", St.LongType()), St.StructField("members", St.ArrayType(St.LongType()))])
         texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(involved.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
         self.sets = written(texts.mapInArrow(_sets(words), schema), "sets")
 
     def near(self) -> Column:
-        """Whether the columns n_a, n_b, s_a, s_b allow a link: sizes and signatures are close enough."""
-        differ = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.when(x == y, 0).otherwise(1)), F.lit(0), lambda x, y: x + y)
-        return (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * self.percent) & (differ <= self.distance)
+        """Whether the sizes n_a, n_b allow a link."""
+        return F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * self.percent
 
     def links(self, pairs: DataFrame, name: str) -> DataFrame:
         """The pairs (a, b) whose full sets are similar enough."""
@@ -134,7 +133,7 @@ class _Judge:
     def to_hubs(self, hubs: DataFrame) -> DataFrame:
         """Links of nodes with their hubs."""
         pairs = hubs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-        one, two = (self.nodes.select(F.col("node").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("sig").alias(f"s_{k}")) for k in "ab")
+        one, two = (self.nodes.select(F.col("node").alias(k), F.col("n_shingles").alias(f"n_{k}")) for k in "ab")
         near = pairs.join(one, "a").join(two, "b")
         return self.links(near.where(self.near()).select("a", "b"), "links")
 
@@ -247,7 +246,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     best = stars.groupBy("node").agg(F.max(F.struct("n", "most", (-F.col("head")).alias("less"))).alias("x"))
     hubs = written(best.select("node", (-F.col("x.less")).alias("hub")), "hubs")
 
-    judge = _Judge(docs, nodes, members.select("node").distinct(), words, percent, chunks)
+    judge = _Judge(docs, nodes, members.select("node").distinct(), words, percent)
     links = judge.to_hubs(hubs)
     found = written(components(links), "components")
     links = links.unionAll(judge.inside(hubs, found))
