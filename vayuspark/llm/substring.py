@@ -1,11 +1,12 @@
-"""Substring dedup: repeated windows of words, found length by length.
+"""Substring dedup: repeated windows of words, found by their halves.
 
 A window of `window` consecutive words is removed from a document if it also starts in a document with a smaller doc_id.
 Windows of half the length come first: only where such a half is repeated in another document can the whole be, so only
-those are extended to the double length and looked up again. The lengths double until the asked one is reached or no
-candidate survives.
+those are extended to the whole length and looked up again. This is one level, the last, of a doubling that starts at a
+short length: the result is the same, as whatever repeats at the asked length repeats at its half, and levels below would
+only find candidates that this one looks up by itself.
 
-At the first length not every half needs a look-up. A window holds several halves; the one with the smallest hash stands
+Not every half needs a look-up. A window holds several halves; the one with the smallest hash stands
 for it, in every document alike, so a repeated window always has a repeated smallest half (nothing is missed, a quarter
 of the positions are shuffled for 13 words). Hashes are summed up before the shuffle as (smallest, largest doc_id), so a
 passage that a third of the documents share is one row for each task. Documents whose whole text is that of a smaller
