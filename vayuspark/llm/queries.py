@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from vayuspark.llm.align import op11_token_alignment
 from vayuspark.llm.bpe import op5_byte_bpe
 from vayuspark.llm.chat import OP9_SQL, op9_perspectives
 from vayuspark.llm.decontaminate import OP10_SQL, op10_decontaminate
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_perspectives": op9_perspectives,
     "op10_decontaminate": op10_decontaminate,
+    "op11_token_alignment": op11_token_alignment,
 }
 ORACLES = {
     "op1_minhash_neardup": OP1_SQL,
