@@ -119,3 +119,141 @@ def test_alignment_of_the_table(spark):
     want, _ = plain.alignments([t for _, t in given])
     got = {tuple(r) for r in op11_token_alignment(spark, SF).collect()}
     assert got == {(i, *w) for (i, _), w in zip(given, want, strict=True)}
+
+
+def _fewest(lengths, capacity):
+    """The fewest sequences, by trying everything."""
+    lengths = sorted(lengths, reverse=True)
+    best = [len(lengths)]
+
+    def place(i, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if i == len(lengths):
+            best[0] = len(rooms)
+            return
+        for at in {r: k for k, r in enumerate(rooms) if r >= lengths[i]}.values():
+            place(i + 1, [*rooms[:at], rooms[at] - lengths[i], *rooms[at + 1 :]])
+        place(i + 1, [*rooms, capacity - lengths[i]])
+
+    place(0, [])
+    return best[0] if lengths else 0
+
+
+def _check_plan(plan, counts, capacity):
+    taken = defaultdict(list)
+    ranks = Counter()
+    for length, low, high, first, each, offset in sorted(plan.rows):
+        assert ranks[length] == low < high
+        ranks[length] = high
+        for r in range(high - low):
+            taken[first + r // each].append((offset + r % each * length, length))
+    assert ranks == Counter(counts) and set(taken) == set(range(plan.sequences))
+    for parts in taken.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= capacity
+
+
+def test_reduction_keeps_the_optimum():
+    from vayuspark.llm.packing import Plan
+
+    rnd, reduced, exact = random.Random(7), 0, 0
+    for _ in range(1500):
+        capacity = rnd.choice([10, 20, 50])
+        lengths = [rnd.randint(rnd.choice([1, capacity // 5, capacity // 4]), capacity) for _ in range(rnd.randint(0, 11))]
+        plan = Plan(Counter(lengths), capacity)
+        _check_plan(plan, Counter(lengths), capacity)
+        rest = Counter(lengths)
+        for length, low, high, first, *_ in plan.rows:
+            if first < plan.fixed:
+                rest[length] -= high - low
+        best = _fewest(lengths, capacity)
+        assert plan.fixed + _fewest(list(rest.elements()), capacity) == best
+        reduced += plan.fixed
+        exact += plan.sequences == best
+        assert plain.lower_bound(lengths, capacity) <= best or not lengths
+    assert reduced > 2000 and exact > 1450
+
+
+def test_plan_of_many():
+    from vayuspark.llm.packing import Plan
+
+    rnd = random.Random(8)
+    for shape in (lambda: min(4096, int(rnd.lognormvariate(6, 1.2)) + 1), lambda: rnd.choice([4096, 4096, 1500, 700, 699, 3]), lambda: rnd.randint(1400, 2700)):
+        counts = Counter(shape() for _ in range(30_000))
+        plan = Plan(counts, 4096)
+        _check_plan(plan, counts, 4096)
+        bound = plain.lower_bound(list(counts.elements()), 4096) if len(counts) < 10 else -(-sum(x * n for x, n in counts.items()) // 4096)
+        assert plan.sequences <= (1.001 * bound + 1 if len(counts) > 3000 else 1.2 * bound)
+        assert len(plan.rows) < 60_000
+    huge = Plan({3: 10**12, 4096: 10**12, 1000: 10**12, 3096: 10**12 + 1}, 4096)
+    assert len(huge.rows) < 100 and huge.sequences >= 2 * 10**12
+
+
+def test_packing(spark, docs):
+    from tokenizers import Tokenizer
+
+    from vayuspark.llm.packing import pack, sequences, token_pieces, word_tokens
+
+    words = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    capacity = 64
+    rows = docs.collect()
+    want = Counter()
+    for r in rows:
+        ids = words.encode(r.text or "", add_special_tokens=False).ids + [1]
+        for k, low in enumerate(range(0, len(ids), capacity)):
+            want[(r.doc_id, k, low, tuple(ids[low : low + capacity]))] += 1
+    packed = pack(token_pieces(docs, word_tokens(), capacity), capacity).cache()
+    got = packed.collect()
+    ids = lambda r: tuple(np.frombuffer(bytes(r), "<u4").tolist())
+    assert Counter((r.doc_id, r.piece, r.start, ids(r.ids)) for r in got) == want and all(len(ids(r.ids)) == r.length for r in got)
+    by = defaultdict(list)
+    for r in got:
+        by[r.sequence_id].append(r)
+    whole = {r.sequence_id: ids(r.ids) for r in sequences(packed).collect()}
+    assert set(whole) == set(by)
+    for k, parts in by.items():
+        parts.sort(key=lambda r: r.offset)
+        assert [p.offset for p in parts] == np.cumsum([0, *(p.length for p in parts)])[:-1].tolist()
+        assert whole[k] == sum((ids(p.ids) for p in parts), ()) and len(whole[k]) <= capacity
+    assert len(by) <= 1.02 * plain.lower_bound([r.length for r in got], capacity) + 1
+    assert set(docs.columns) - {"text"} <= set(packed.columns)
+    assert pack(token_pieces(docs.limit(0), word_tokens())).count() == 0
+
+
+def test_packing_of_given_lengths(spark):
+    from vayuspark.llm.packing import pack
+
+    rows = [(i, x) for i, x in enumerate([5, 5, None, 0, -1, 3, 2, 8, 8, 10, 1, 1, 1])]
+    got = pack(spark.createDataFrame(rows, "doc_id long, length int").repartition(3), 10).collect()
+    assert {r.doc_id for r in got if r.sequence_id is None} == {2, 3, 4} and len({r.sequence_id for r in got} - {None}) == 5
+    many = spark.range(20_000).select(F_length())
+    got = pack(many, 10).groupBy("sequence_id").sum("length").collect()
+    assert len(got) == 12_000 and max(r[1] for r in got) <= 10
+    with pytest.raises(ValueError):
+        pack(spark.createDataFrame(rows, "doc_id long, length int"), 9)
+
+
+def F_length():
+    from pyspark.sql import functions as F
+
+    return F.when(F.col("id") % 2 == 0, 7).when(F.col("id") % 5 == 0, 10).otherwise(3).alias("length")
+
+
+@needs_tables
+def test_packing_of_the_table(spark):
+    from tokenizers import Tokenizer
+
+    from vayuspark.llm.packing import op13_best_fit_packing
+
+    words = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    got = op13_best_fit_packing(spark, SF).collect()
+    want = set()
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        ids = words.encode(r.text or "", add_special_tokens=False).ids + [1]
+        want |= {(r.doc_id, k, low, len(ids[low : low + 4096]), zlib.crc32(np.array(ids[low : low + 4096], "<u4").tobytes())) for k, low in enumerate(range(0, len(ids), 4096))}
+    assert {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got} == want and len(got) == len(want)
+    assert len({r.sequence_id for r in got}) <= plain.lower_bound([r.length for r in got], 4096) + 1
