@@ -1,5 +1,6 @@
 """Plain versions of the operators on tokens and phrases."""
 
+import bisect
 import hashlib
 import math
 import re
@@ -54,8 +55,7 @@ def alignments(texts):
                 links.append((i, k, min(high, two[k][2]) - max(low, two[k][1])))
                 k += 1
         cuts = sorted({x[2] for x in one} & {x[2] for x in two})
-        group = lambda side: [sum(c < x[2] for c in cuts) for x in side] if len(cuts) < 300 else [__import__("bisect").bisect_left(cuts, x[2]) for x in side]
-        groups = [group(one), group(two)]
+        groups = [[bisect.bisect_left(cuts, x[2]) for x in side] for side in (one, two)]
         count.update((one[i][0], two[k][0]) for i, k, _ in links)
         done.append((one, two, links, groups, len(cuts)))
     most = {}

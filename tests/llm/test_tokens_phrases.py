@@ -104,11 +104,11 @@ def test_alignment(spark, docs):
         assert np.repeat(np.arange(n), r.a_groups).tolist() == groups[0] and np.repeat(np.arange(n), r.b_groups).tolist() == groups[1]
         row = np.repeat(np.arange(len(one)), r.shared_counts)
         assert list(zip(row.tolist(), r.shared, strict=True)) == [(x, y) for x, g in enumerate(groups[0]) for y, h in enumerate(groups[1]) if g == h]
-    out = summaries(found)
+    out = summaries(docs, *tokenizers())
     assert set(out.columns) >= {"doc_id", "lang", "n_chars"} and "text" not in out.columns
     names = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
     assert Counter((r.doc_id, *(r[c] for c in names)) for r in out.collect()) == Counter((i, *w) for (i, _), w in zip(given, want, strict=True))
-    assert summaries(align(docs.limit(0), *tokenizers())).count() == 0
+    assert summaries(docs.limit(0), *tokenizers()).count() == 0 and align(docs.limit(0), *tokenizers()).count() == 0
 
 
 @needs_tables
@@ -257,3 +257,66 @@ def test_packing_of_the_table(spark):
         want |= {(r.doc_id, k, low, len(ids[low : low + 4096]), zlib.crc32(np.array(ids[low : low + 4096], "<u4").tobytes())) for k, low in enumerate(range(0, len(ids), 4096))}
     assert {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got} == want and len(got) == len(want)
     assert len({r.sequence_id for r in got}) <= plain.lower_bound([r.length for r in got], 4096) + 1
+
+
+def _phrase_rows(seed=9):
+    rnd = random.Random(seed)
+    words = ["Alpha", "beta", "gamma", "delta", "naïve", "日本", "x-y", "it's", "(b)", "nul\x00l", "thin sp"] + ["w%d" % i for i in range(30)]
+    gaps = [" "] * 12 + ["  ", "\t", ", ", ".", "!\n", "\r\n", " ; ", "?"]
+    rows = [("".join(rnd.choice(words[: rnd.choice([4, 12, 41])]) + rnd.choice(gaps) for _ in range(rnd.randint(0, 60))), rnd.choice(["en", "de", None, "und", ""])) for _ in range(250)]
+    return rows + [(None, "en"), ("", "fr"), (".,;", "fr"), ("alone", "it"), ("same " * 500, "en"), ("same. " * 50, "en"), ("New York City. " * 30 + "New York. " * 5, "de")] + [rows[0]] * 20
+
+
+@pytest.mark.parametrize("most,support,limit,shards", [(3, 10, 2000, 4), (3, 3, 7, 1), (4, 5, 2000, 7), (2, 10, 50, 3)])
+def test_phrases(spark, monkeypatch, most, support, limit, shards):
+    from vayuspark.llm import phrases
+
+    rows = _phrase_rows()
+    docs = spark.createDataFrame([(i if i % 5 else None, t, x, "7") for i, (t, x) in enumerate(rows)], "doc_id long, text string, lang string, phrase string").repartition(6)
+    want = plain.phrases(rows, most, support, 50, limit)
+    assert len(want) > 20
+    assert sorted(map(tuple, phrases.collocations(docs, most, support, 50, limit, shards).collect())) == sorted(want)
+    assert phrases.collocations(docs.limit(0), most, support, 50, limit, shards).count() == 0
+
+
+def test_phrases_pass_a_full_field(spark, monkeypatch):
+    """With far more candidates than bits all phrases are counted, and none comes out wrong."""
+    from vayuspark.llm import phrases
+
+    monkeypatch.setattr(phrases, "bit_field", lambda hashes: np.full(1 << (phrases.BITS - 3), 255, np.uint8))
+    rows = _phrase_rows(11)
+    docs = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate(rows)], "doc_id long, text string, lang string")
+    assert sorted(map(tuple, phrases.collocations(docs).collect())) == sorted(plain.phrases(rows, 3, 10, 50, 2000))
+
+
+def test_shards_lose_no_phrase(spark):
+    """Each phrase that is frequent in all is a candidate, and few others are."""
+    from pyspark.sql import functions as F
+
+    from vayuspark.llm import phrases
+
+    rows = _phrase_rows(12)
+    texts = spark.createDataFrame([(x or "und", t or "", i * i % 5 % 4) for i, (t, x) in enumerate(rows)], "lang string, text string, shard int")
+    found = {r.hash for r in phrases.candidates(texts, 3, 10, 4).collect()}
+    whole = {r.hash for r in phrases.candidates(texts.withColumn("shard", F.lit(0)), 3, 10, 1).select((F.col("hash") / 4).cast("long").alias("hash")).collect()}
+    assert {r.hash for r in phrases.candidates(texts.withColumn("shard", F.lit(0)), 3, 10, 4).collect()} <= found and len(whole) <= len(found) < 3 * len(whole)
+
+
+def test_scores_beyond_64_bits(spark):
+    from vayuspark.llm import phrases
+
+    f = {"a": 10**13, "b": 10**13 + 7, "a b": 10**13 - 1, "c": 3 * 10**12 + 1, "b c": 10**12 + 1, "a b c": 10**12}
+    table = spark.createDataFrame([("en", len(p.split()), p, n) for p, n in f.items()], "lang string, size int, phrase string, f long")
+    got = {r.phrase: (r.score, r.l, r.r) for r in phrases.scored(table).collect()}
+    cut = lambda a, x, y: (1000000 * f[a] ** 2 // (f[x] * f[y]), f[x], f[y])
+    assert got == {"a b": cut("a b", "a", "b"), "b c": cut("b c", "b", "c"), "a b c": min(cut("a b c", "a", "b c"), cut("a b c", "a b", "c"), key=lambda x: x[0])}
+
+
+@needs_tables
+def test_phrases_of_the_table(spark):
+    duckdb = pytest.importorskip("duckdb")
+    from vayuspark.llm.phrases import OP12_SQL, op12_collocations
+
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{SF}/documents.parquet'")
+    assert sorted(map(tuple, op12_collocations(spark, SF).collect())) == sorted(con.sql(OP12_SQL).fetchall())

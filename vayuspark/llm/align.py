@@ -34,7 +34,7 @@ from vayuspark.llm.bpe import gather, pack, unpack
 from vayuspark.llm.tables import prepared, table, written
 from vayuspark.llm.units import ByteBpe, Pieces, Tokens
 
-PIECE = 1 << 20
+PIECE = 1 << 19
 CHUNK_BYTES = 16 << 20
 
 
@@ -207,60 +207,47 @@ _COUNTED = ("n_a", "n_b", "n_groups", "n_links")
 _OWN = (*_COUNTED, "n_best", "count_sum", "groups_sha256")
 
 
-def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Values and lengths of a list column."""
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-
-
-def _summed(rest: list[St.StructField]):
-    """Aligned rows to their counts and digests, with the distinct id pairs as numbers in a list that each chunk has once.
+def _summed(both, rest: list[str]):
+    """Texts to their counts and digests, with the distinct id pairs as numbers in a list that each chunk has once.
 
     A row is a text (codes null) or the list of a chunk: codes (id of a * 2^32 + id of b) and how often each one is linked there.
     """
-    names = ["chunk", *(f.name for f in rest), *_COUNTED, "groups_sha256", "numbers", "times", "codes", "linked"]
+    names = ["chunk", *rest, *_COUNTED, "groups_sha256", "numbers", "times", "codes", "linked"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, chunk, size, kept = TaskContext.get().partitionId() << 32, 0, 0, []
 
         def full() -> Iterator[pa.RecordBatch]:
-            codes, times = (np.concatenate([k[i] for k in kept]) if kept else np.zeros(0, np.int64) for i in (0, 1))
-            known, number = np.unique(codes, return_inverse=True)
-            at = 0
-            for _, _, counts, columns in kept:
-                numbers, often = [], []
-                for count in counts.tolist():
-                    own = number[at : at + count]
-                    numbers.append(pack(np.diff(own, prepend=0)))
-                    often.append(times[at : at + count])
-                    at += count
-                n = len(counts)
-                nothing = [pa.nulls(n, pa.list_(pa.int64()))] * 2
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, base + chunk)), *columns, pa.array(numbers, pa.binary()), pa.array([pack(o) for o in often], pa.binary()), *nothing], names=names)
+            known, number = np.unique(np.concatenate([k[0] for k in kept]), return_inverse=True)
+            weights, at = np.zeros(len(known), np.int64), 0
+            for codes, times, counts, columns in kept:
+                own, ends = number[at : at + len(codes)], np.cumsum(counts).tolist()
+                at += len(codes)
+                np.add.at(weights, own, times)
+                parts = list(zip([0, *ends[:-1]], ends, strict=True))
+                packed = [[pack(np.diff(own[x:y], prepend=0)) for x, y in parts], [pack(times[x:y]) for x, y in parts]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(parts), base + chunk)), *columns, *(pa.array(p, pa.binary()) for p in packed), *[pa.nulls(len(parts), pa.list_(pa.int64()))] * 2], names=names)
             if len(known):
-                weights = np.bincount(number, weights=times).astype(np.int64)
-                gone = [pa.nulls(1, c.type) for c in kept[0][3]]
-                yield pa.RecordBatch.from_arrays([pa.array([base + chunk]), *gone, pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), words_.lists(known, np.array([len(known)]), pa.int64()), words_.lists(weights, np.array([len(known)]), pa.int64())], names=names)
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            (ids_a, n_a), (ids_b, n_b), (in_a, groups), (in_b, _), (per_token, _), (links, n_links) = (_flat(batch.column(c)) for c in _LISTS[:-1])
-            n = batch.num_rows
-            number = np.arange(len(in_a))
-            texts = group_texts((ids_a, ids_b), (np.repeat(number, in_a), np.repeat(number, in_b)), np.repeat(np.arange(n), groups), n)
-            digest = [hashlib.sha256(t).hexdigest() if t else "" for t in texts]
-            to_b = links + np.repeat(np.cumsum(n_b) - n_b, n_links)
-            code = (np.repeat(ids_a, per_token) << 32) | ids_b[to_b]
-            known, place = np.unique(code, return_inverse=True)
-            both, times = np.unique(np.repeat(np.arange(n), n_links) * max(1, len(known)) + place, return_counts=True)
-            counts = np.bincount(both // max(1, len(known)), minlength=n)
-            columns = [batch.column(f.name) for f in rest] + [pa.array(v, pa.int64()) for v in (n_a, n_b, groups, n_links)] + [pa.array(digest, pa.string())]
-            kept.append((known[both % max(1, len(known))], times, counts, columns))
-            size += 4 * int(n_a.sum() + n_b.sum()) // 2
+                gone = [pa.nulls(1, c.type) for c in [*kept[0][3], pa.array([], pa.binary()), pa.array([], pa.binary())]]
+                yield pa.RecordBatch.from_arrays([pa.array([base + chunk]), *gone, *(words_.lists(v, np.array([len(v)]), pa.int64()) for v in (known, weights))], names=names)
+
+        for piece in words_.pieces(batches, "text", PIECE):
+            x, n = aligned(piece.column("text"), *both.value), piece.num_rows
+            texts = group_texts(x.ids, x.group, x.group_row, n)
+            per_token = x.links.sizes()
+            of_row = np.repeat(x.row[0], per_token)
+            known, place = np.unique((np.repeat(x.ids[0], per_token) << 32) | x.ids[1][x.links.columns], return_inverse=True)
+            width = max(1, len(known))
+            pairs, times = np.unique(of_row * width + place, return_counts=True)
+            counted = [np.bincount(r, minlength=n) for r in (*x.row, x.group_row, of_row)]
+            columns = [piece.column(c) for c in rest] + [pa.array(v, pa.int64()) for v in counted] + [pa.array([hashlib.sha256(t).hexdigest() if t else "" for t in texts], pa.string())]
+            kept.append((known[pairs % width] if len(known) else pairs, times, np.bincount(pairs // width, minlength=n), columns))
+            size += int(words_.buffer_of(piece.column("text"))[1][-1])
             if size > CHUNK_BYTES:
                 yield from full()
                 chunk, size, kept = chunk + 1, 0, []
-        yield from full()
+        if kept:
+            yield from full()
 
     return run
 
@@ -276,17 +263,21 @@ def link_counts(links: DataFrame) -> DataFrame:
     return written(pairs.join(best, "b").select("code", "count", (F.col("count") == F.col("most")).alias("is_best")), "counts")
 
 
-def summaries(found: DataFrame) -> DataFrame:
-    """What `align` found, as counts and digests: its columns without the lists, and `_OWN`."""
-    found = found.drop(*_OWN)
-    rest = [f for f in found.schema.fields if f.name not in (*_LISTS, "shared_counts", "shared")]
+def summaries(docs: DataFrame, a: Tokens, b: Tokens) -> DataFrame:
+    """The columns of docs but `text`, with counts and a digest of what `align` gives for each text, and `n_best`, `count_sum`.
+
+    n_best: links whose id pair is the most frequent one of its id of b; count_sum: the sum of all links' pair counts.
+    """
+    both = prepared(docs.sparkSession).sparkContext.broadcast((a, b))
+    docs = docs.drop(*_OWN).withColumn("text", F.col("text").cast("string"))
+    rest = [f for f in docs.schema.fields if f.name != "text"]
     hidden = [St.StructField(f"own_{i}", f.dataType) for i, f in enumerate(rest)]
-    found = found.select(*(F.col(f"`{f.name}`").alias(h.name) for f, h in zip(rest, hidden, strict=True)), *_LISTS[:-1])
+    docs = docs.select(*(F.col(f"`{f.name}`").alias(h.name) for f, h in zip(rest, hidden, strict=True)), "text")
     longs, binary = St.ArrayType(St.LongType()), St.BinaryType()
     counted = [St.StructField(c, St.LongType()) for c in _COUNTED]
     digest = St.StructField("groups_sha256", St.StringType())
     schema = St.StructType([St.StructField("chunk", St.LongType()), *hidden, *counted, digest, St.StructField("numbers", binary), St.StructField("times", binary), St.StructField("codes", longs), St.StructField("linked", longs)])
-    stored = written(found.mapInArrow(_summed(hidden), schema), "aligned")
+    stored = written(docs.mapInArrow(_summed(both, [h.name for h in hidden]), schema), "aligned")
 
     lists = stored.where("codes is not null").select(F.col("chunk").alias("home"), F.posexplode(F.arrays_zip("codes", "linked")).alias("number", "x"))
     local = lists.select("home", "number", F.col("x.codes").alias("code"), F.col("x.linked").alias("n"))
@@ -318,4 +309,5 @@ def tokenizers(a: str | None = None, b: str | None = None) -> tuple[Tokens, Toke
 
 
 def op11_token_alignment(spark, sf_dir: str) -> DataFrame:
-    return summaries(align(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), *tokenizers())).select("doc_id", *_OWN)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return summaries(docs, *tokenizers()).select("doc_id", *_OWN)

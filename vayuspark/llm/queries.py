@@ -10,6 +10,7 @@ from vayuspark.llm.embeddings import OP7_SQL, op7_embedding_neardup
 from vayuspark.llm.licenses import OP3_SQL, op3_license_scan
 from vayuspark.llm.minhash import OP1_SQL, op1_minhash_neardup
 from vayuspark.llm.packing import op13_best_fit_packing
+from vayuspark.llm.phrases import OP12_SQL, op12_collocations
 from vayuspark.llm.quality import op2_quality
 from vayuspark.llm.shard import op6_virtual_slots
 from vayuspark.llm.substring import OP4_SQL, op4_substring_dedup
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_perspectives": op9_perspectives,
     "op10_decontaminate": op10_decontaminate,
     "op11_token_alignment": op11_token_alignment,
+    "op12_collocations": op12_collocations,
     "op13_best_fit_packing": op13_best_fit_packing,
 }
 ORACLES = {
@@ -36,4 +38,5 @@ ORACLES = {
     "op7_embedding_neardup": OP7_SQL,
     "op9_perspectives": OP9_SQL,
     "op10_decontaminate": OP10_SQL,
+    "op12_collocations": OP12_SQL,
 }

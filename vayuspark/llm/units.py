@@ -29,7 +29,7 @@ from vayuspark.llm.text import LOWER, buffer_of
 
 MAX_FILE_BYTES = 32 << 20
 #: Units and bytes of units that a worker remembers.
-KNOWN, KNOWN_BYTES = 400_000, 8 << 20
+KNOWN, KNOWN_BYTES = 200_000, 4 << 20
 #: Units handed to a library at once.
 AT_ONCE = 2048
 
