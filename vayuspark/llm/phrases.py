@@ -1,9 +1,10 @@
 """Collocations of consecutive words, mined in shards (SON partitioning).
 
-1. Every document belongs to one of `SHARDS` shards by its number. Each shard is mined completely: all phrases of up to the
-   longest length are counted in it by 64-bit hash, summed by chunk (a run of texts of one task) before the shuffle. A phrase
-   is locally frequent if it reaches its shard's part of the support: support * bytes of the shard / bytes of all shards,
-   rounded up. If a phrase misses its part in every shard it misses the support in the corpus, so none is lost.
+1. Every document belongs to one of `SHARDS` shards by its number. Each shard is mined completely, level by level: words and
+   pairs first, then phrases with one word more whose parts are candidates, counted by 64-bit hash and summed by chunk (a run
+   of texts of one task) before the shuffle. A phrase is locally frequent if it reaches its shard's part of the support:
+   support * bytes of the shard / bytes of all shards, rounded up. If a phrase misses its part in every shard it misses the
+   support in the corpus, and what is locally frequent has locally frequent parts, so none is lost.
 2. The locally frequent hashes of all shards together are the candidates. They go to every task as a bit field of fixed size
    (`BITS`): a bit set by another hash lets more phrases through, never fewer. With many more candidates than bits everything
    passes, and the next step is only slower.
@@ -32,7 +33,7 @@ from vayuspark.llm.tables import prepared, table, written
 SHARDS = 4
 #: Bits of the field of candidates, as a power of two: 16 MB.
 BITS = 27
-PIECE, CHUNK_WORDS = 2 << 20, 2_500_000
+PIECE, CHUNK_WORDS = 2 << 20, 2_000_000
 #: Of this many groups of a language the first phrases are taken before they are ranked together.
 RANK_GROUPS = 32
 
@@ -91,15 +92,34 @@ def _seed(lang: str) -> np.uint64:
     return words_.words_of(pa.array([lang.encode()], pa.binary()), b"").hash[0] if lang else np.uint64(1)
 
 
-def _mined(most: int, shards: int):
-    """(key, n): hashes of phrases, their last digit to the base `shards` replaced by the shard, and their number in a chunk."""
+def _keys(wide: np.ndarray, seed: np.uint64) -> np.ndarray:
+    return (words_.mix(wide ^ seed) >> np.uint64(1)).astype(np.int64)
+
+
+def _set(field: np.ndarray, key: np.ndarray, shards: int) -> np.ndarray:
+    """Whether the field has the bits of these keys."""
+    place = key // shards & ((1 << BITS) - 1)
+    return (field[place >> 3] >> (place & 7)) & 1 == 1
+
+
+def _mined(sizes: range, shards: int, field):
+    """(key, n): hashes of phrases, their last digit to the base `shards` replaced by the shard, and their number in a chunk.
+
+    From the third word on only phrases whose parts without the last and without the first word are candidates.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, chunk in _chunks(batches, False):
             seed, of_word = _seed(lang), np.concatenate(chunk.shard)
-            for k in range(1, most + 1):
+            for k in sizes:
                 at, wide = chunk.windows(k)
-                key = (words_.mix(wide ^ seed) >> np.uint64(1)).astype(np.int64)
+                if field is not None:
+                    passed = np.zeros(chunk.n + 1, bool)
+                    before, parts = chunk.windows(k - 1)
+                    passed[before] = _set(field.value, _keys(parts, seed), shards)
+                    good = passed[at] & passed[at + 1]
+                    at, wide = at[good], wide[good]
+                key = _keys(wide, seed)
                 key, n = np.unique(key - key % shards + of_word[at], return_counts=True)
                 for low in range(0, len(key), 1 << 16):
                     yield pa.RecordBatch.from_arrays([pa.array(key[low : low + (1 << 16)]), pa.array(n[low : low + (1 << 16)])], names=["key", "n"])
@@ -122,8 +142,7 @@ def _counted(most: int, shards: int, field):
             width, passed, number = len(spelled), np.ones(chunk.n, bool), np.zeros(chunk.n, np.int64)
             for k in range(1, most + 1):
                 at, wide = chunk.windows(k)
-                key = ((words_.mix(wide ^ seed) >> np.uint64(1)) // np.uint64(shards)).astype(np.int64) & ((1 << BITS) - 1)
-                good = (bits[key >> 3] >> (key & 7)) & 1 == 1
+                good = _set(bits, _keys(wide, seed), shards)
                 if k > 1:  # the parts without the last and without the first word
                     good &= passed[at] & passed[at + 1]
                 at = at[good]
@@ -143,16 +162,20 @@ def _phrases(lang: str, size: int, phrases: list[str], n) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([lang] * rows, pa.string()), pa.array(np.full(rows, size, np.int32)), pa.array(phrases, pa.string()), pa.array(n, pa.int64())], names=["lang", "size", "phrase", "n"])
 
 
-def candidates(texts: DataFrame, most: int, support: int, shards: int) -> DataFrame:
-    """(hash): of every phrase that is frequent in a shard at that shard's part of the support."""
+def shares(texts: DataFrame, support: int) -> dict[int, int]:
+    """The part of the support that a phrase must reach in each shard that has any text: one of them, if it reaches the whole."""
     weights = {r["shard"]: r["weight"] for r in texts.groupBy("shard").agg(F.sum(F.octet_length("text") + 1).alias("weight")).collect()}
-    whole = sum(weights.values())
-    key, n = F.col("key"), F.col("n")
+    return {shard: max(1, -(-support * weight // sum(weights.values()))) for shard, weight in weights.items()}
+
+
+def candidates(texts: DataFrame, sizes: range, least: dict[int, int], shards: int, field=None) -> DataFrame:
+    """(hash): of every phrase of these sizes that is frequent in a shard at that shard's part of the support."""
     enough = F.lit(False)
-    for shard, weight in weights.items():
-        enough = enough | (F.expr(f"key % {shards} = {shard}") & (n >= max(1, -(-support * weight // whole))))
-    mined = texts.select("lang", "text", "shard").mapInArrow(_mined(most, shards), "key long, n long")
-    return mined.groupBy("key").agg(F.sum("n").alias("n")).where(enough).select(F.expr(f"key div {shards}").alias("hash"))
+    for shard, part in least.items():
+        enough = enough | (F.expr(f"key % {shards} = {shard}") & (F.col("n") >= part))
+    mined = texts.select("lang", "text", "shard").mapInArrow(_mined(sizes, shards, field), "key long, n long")
+    # Chunks have summed up already: rows go straight to their key's partition, without a second table of sums on the way.
+    return mined.repartition("key").groupBy("key").agg(F.sum("n").alias("n")).where(enough).select(F.expr(f"key div {shards}").alias("hash"))
 
 
 def bit_field(hashes: DataFrame) -> np.ndarray:
@@ -170,7 +193,11 @@ def frequent(docs: DataFrame, most: int = 3, support: int = 10, shards: int = SH
     spark = prepared(docs.sparkSession)
     shard = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(shards)).cast("int")
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), shard.alias("shard"))
-    field = spark.sparkContext.broadcast(bit_field(candidates(texts, most, support, shards)))
+    least, field = shares(texts, support), None
+    # Level by level: words and pairs together, then a word more each time.
+    for sizes in [range(1, min(most, 2) + 1), *(range(k, k + 1) for k in range(3, most + 1))]:
+        more = bit_field(candidates(texts, sizes, least, shards, field))
+        field = spark.sparkContext.broadcast(more if field is None else more | field.value)
     counted = texts.mapInArrow(_counted(most, shards, field), "lang string, size int, phrase string, n long")
     summed = written(counted.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("f")).where((F.col("size") == 0) | (F.col("f") >= support)), "phrases")
     return summed.where("size > 0"), summed.where("size = 0").select("lang", F.col("f").alias("n"))
