@@ -487,3 +487,39 @@ def test_empty_tables(spark, nothing):
 
 def test_digests():
     assert cases.sha("") == hashlib.sha256(b"").hexdigest()
+
+
+def test_minhash_one_document_with_two_texts(spark):
+    """What is similar to either text hangs together with the document."""
+    from vayuspark.llm import minhash
+
+    rnd = random.Random(13)
+    one, two, three = ([f"w{rnd.randrange(10**6)}" for _ in range(60)] for _ in range(3))
+    near = lambda own: " ".join([*own[:-1], "end"])
+    rows = [(1, " ".join(one)), (1, " ".join(two)), (3, near(two)), (4, near(one)), (5, " ".join(two)), (6, " ".join(three)), (6, ""), (7, near(three)), (1, " ".join(two))]
+    got = Counter(tuple(r) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id int, text string"), 3, 85).select("doc_id", "component_id", "kept").collect())
+    assert got == Counter([(1, 1, True)] * 3 + [(3, 1, False), (4, 1, False), (5, 1, False), (6, 6, True), (6, 6, True), (7, 6, False)])
+
+
+def test_minhash_tiles_of_a_stray_node(spark):
+    """A node that hangs together with none of 5,000 is held against each of them once; they are not compared again."""
+    from vayuspark.llm import minhash
+
+    judge = minhash._Judge.__new__(minhash._Judge)
+    judge.nodes = spark.range(5_001).select(F.col("id").alias("node"), F.lit(100).cast("long").alias("n_shingles"))
+    groups = spark.range(5_001).select(F.lit(7).alias("group"), F.col("id").alias("node"), F.when(F.col("id") == 5_000, 5_000).otherwise(0).alias("component"))
+    tiles = judge.tiles(groups.cache()).collect()
+    assert len(tiles) <= 5_000 + 42 and len({(t.home, t.low, t.high) for t in tiles}) <= 42
+    met = defaultdict(set)
+    for t in tiles:
+        met[t.home, t.low, t.high].add(t.node)
+    assert set().union(*(m for m in met.values() if 5_000 in m)) == set(range(5_001))
+    assert judge.tiles(groups.withColumn("component", F.lit(0))).count() == 0
+    spread = judge.tiles(groups.withColumn("component", F.col("node") % 3 + 10 * (F.col("node") % 7 == 0).cast("int"))).collect()
+    met = defaultdict(set)
+    for t in spread:
+        met[t.home, t.low, t.high].add(t.node)
+    component = {n: n % 3 + 10 * (n % 7 == 0) for n in range(5_001)}
+    rnd = random.Random(1)
+    for a, b in ((rnd.randrange(5_001), rnd.randrange(5_001)) for _ in range(300)):
+        assert component[a] == component[b] or any(a in m and b in m for m in met.values())

@@ -18,10 +18,11 @@ def components(links: DataFrame) -> DataFrame:
     edges = written(_oriented(links), "links")
     mark = _mark(edges)
     while mark[0]:
-        larger = _both(edges).groupBy("u").agg(F.min("v").alias("m"))
+        # Minima are tables before links are joined with them, so that a node with many links can be split.
+        larger = written(_both(edges).groupBy("u").agg(F.min("v").alias("m")), "least")
         wide = _both(edges).join(larger, "u").where("v > u").select(F.col("v").alias("a"), F.least("m", "u").alias("b"))
-        wide = _oriented(wide)
-        least = wide.groupBy("a").agg(F.min("b").alias("m"))
+        wide = written(_oriented(wide), "links")
+        least = written(wide.groupBy("a").agg(F.min("b").alias("m")), "least")
         # The node and its smaller neighbours all go to the smallest of these.
         close = wide.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*")
         edges = written(_oriented(close), "links")

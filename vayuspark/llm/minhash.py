@@ -6,15 +6,20 @@ pigeonhole principle two signatures that differ in at most chunks * (ERRORS + 1)
 The number of chunks follows from the similarity: a pair at the threshold fails to share a key with a chance below `MISS`.
 Links are confirmed on the full shingle sets (64-bit hashes of the shingles).
 
-Groups of copies cost no pairs: equal sets are one node (the smallest doc_id). Each node is first held against one hub alone,
-the node that meets most others in its buckets (the text that copies were made from shares most keys with all of them).
-Where the nodes around a hub are not all linked by that, they are compared in tiles of bounded blocks, and a tile returns what
-hangs together in it, not its pairs. What is left are nodes with a common key around different hubs and of different
-components: these are held against each other pair by pair.
+Groups of copies cost no pairs: equal sets are one node. Each node is first held against one hub alone, the node that meets most
+others in its buckets (the text that copies were made from shares most keys with all of them). What remains are nodes of
+different components, around one hub or with a common key. They are compared in tiles: the component that has most nodes of a
+group is cut into blocks, and so are the other nodes; every two blocks of the others meet, and every block of the others meets
+every block of the large component, which is not compared with itself. A tile returns what hangs together in it, not its pairs.
+
+Nodes with a common key around different hubs are grouped by shingle: of two sets that are similar enough, with shingles from
+rare to common, the first ones (as many as a set may lack of the other, and one more) have one in common. This holds for every
+link, so it leaves none out; nodes whose rare shingles are all their own drop out without any comparison.
 
 Defined results: null and empty texts and texts without words have no shingles and are linked with nothing; fewer words
 than a shingle are one shingle, the whole sequence; a row without doc_id is its own class, component null, kept; rows
-with the same doc_id count as one document; further columns stay (the operator's own replace columns of the same name).
+with the same doc_id count as one document, and what is similar to any of its texts is linked with it; further columns stay (the
+operator's own replace columns of the same name).
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyspark.sql.types as St
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vayuspark.llm import text as words_
@@ -72,13 +77,11 @@ _SIGNED = [St.StructField("n_shingles", St.LongType()), St.StructField("s1", St.
 
 def _signatures(words: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        other = np.uint64(0xA5A5A5A5A5A5A5A5)
         for piece in words_.pieces(batches, "text"):
             n, s1, s2, sig = [], [], [], []
             for h in shingles(words_.words_of(piece.column("text"), lower=True), words):
-                n.append(len(h))
-                s1.append(words_.mix(h).sum(dtype=np.uint64))
-                s2.append(words_.mix(h ^ other).sum(dtype=np.uint64))
+                for column, value in zip((n, s1, s2), _sums(h), strict=True):
+                    column.append(value)
                 sig.append(signature(h, size))
             yield pa.RecordBatch.from_arrays(
                 [piece.column("doc_id"), pa.array(n, pa.int64()), pa.array(words_.signed(np.array(s1, np.uint64))), pa.array(words_.signed(np.array(s2, np.uint64))), words_.lists(np.concatenate(sig) if sig else np.zeros(0, np.int32), np.full(len(n), size), pa.int32())],
@@ -88,12 +91,23 @@ def _signatures(words: int, size: int):
     return run
 
 
+_OTHER = np.uint64(0xA5A5A5A5A5A5A5A5)
+
+
+def _sums(h: np.ndarray) -> tuple[int, np.uint64, np.uint64]:
+    """Size and two sums that stand for a set."""
+    return len(h), words_.mix(h).sum(dtype=np.uint64), words_.mix(h ^ _OTHER).sum(dtype=np.uint64)
+
+
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in words_.pieces(batches, "text"):
             own = list(shingles(words_.words_of(piece.column("text"), lower=True), words))
-            flat = np.concatenate(own) if own else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), words_.lists(words_.signed(flat), np.array([len(h) for h in own], np.int64), pa.int64())], names=["node", "members"])
+            n, s1, s2 = zip(*map(_sums, own), strict=True)
+            flat = np.concatenate(own)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(n, pa.int64()), *(pa.array(words_.signed(np.array(x, np.uint64))) for x in (s1, s2)), words_.lists(words_.signed(flat), np.array(n, np.int64), pa.int64())], names=["n_shingles", "s1", "s2", "members"]
+            )
 
     return run
 
@@ -108,70 +122,90 @@ def keys_of(nodes: DataFrame, chunks: int) -> DataFrame:
     return nodes.select("node", F.posexplode(F.array(*keys)).alias("at", "key"))
 
 
-class _Judge:
-    """Confirms pairs on the full sets; only sizes that allow no link are left out before."""
+_WHOLE = ["n_shingles", "s1", "s2"]
 
-    def __init__(self, docs: DataFrame, nodes: DataFrame, involved: DataFrame, words: int, percent: int):
-        self.percent = percent
-        self.nodes = nodes.select("node", "n_shingles", "sig")
-        schema = St.StructType([St.StructField("node", St.LongType()), St.StructField("members", St.ArrayType(St.LongType()))])
-        texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(involved.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
-        self.sets = written(texts.mapInArrow(_sets(words), schema), "sets")
 
-    def near(self) -> Column:
-        """Whether the sizes n_a, n_b allow a link."""
-        return F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * self.percent
+class _Judge:
+    """Confirms links on the full sets; only sizes and shingles that allow no link are left out before."""
 
-    def links(self, pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs (a, b) whose full sets are similar enough."""
-        left, right = (self.sets.select(F.col("node").alias(k), F.col("members").alias(f"m_{k}")) for k in "ab")
-        shared = F.size(F.array_intersect("m_a", "m_b"))
-        full = pairs.join(left, "a").join(right, "b").withColumn("shared", shared)
-        union = F.size("m_a") + F.size("m_b") - F.col("shared")
-        return written(full.where(F.col("shared") * 100 >= union * self.percent).select("a", "b"), name)
+    def __init__(self, docs: DataFrame, classes: DataFrame, nodes: DataFrame, involved: DataFrame, words: int, percent: int):
+        """classes: n_shingles, s1, s2, node, least (the doc_id whose text is read for it)."""
+        self.percent = percent
+        self.nodes = nodes.select("node", "n_shingles")
+        classes = classes.join(involved, "node", "left_semi")
+        texts = docs.where("doc_id is not null").join(classes.select(F.col("least").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
+            texts = texts.dropDuplicates(["doc_id", "text"])
+        found = texts.select("text").mapInArrow(_sets(words), St.StructType([*_SIGNED[:3], St.StructField("members", St.ArrayType(St.LongType()))]))
+        self.sets = written(found.join(classes, _WHOLE).select("node", "members"), "sets")
 
     def to_hubs(self, hubs: DataFrame) -> DataFrame:
         """Links of nodes with their hubs."""
         pairs = hubs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
         one, two = (self.nodes.select(F.col("node").alias(k), F.col("n_shingles").alias(f"n_{k}")) for k in "ab")
-        near = pairs.join(one, "a").join(two, "b")
-        return self.links(near.where(self.near()).select("a", "b"), "links")
-
-    def across(self, members: DataFrame, hubs: DataFrame, found: DataFrame) -> DataFrame:
-        """Links of nodes that share a key, are of different components and stand around different hubs."""
-        placed = members.select("key", "at", "node").join(found, "node", "left").join(hubs, "node", "left")
-        placed = placed.select("key", "at", "node", F.coalesce("component", "node").alias("component"), F.coalesce("hub", "node").alias("hub"))
-        several = placed.groupBy("key").agg(*(f(c).alias(f"{k}_{c}") for c in ("component", "hub") for k, f in (("low", F.min), ("high", F.max))))
-        several = written(several.where("low_component < high_component and low_hub < high_hub").select("key"), "several")
-        mixed = written(placed.join(several, "key").join(self.nodes, "node"), "mixed")
-        names = {"node": "{}", "component": "c_{}", "hub": "h_{}", "n_shingles": "n_{}", "sig": "s_{}"}
-        one, two = (mixed.select("key", "at", *(F.col(c).alias(n.format(k)) for c, n in names.items())) for k in "ab")
-        apart = F.expr("a < b and c_a <> c_b and h_a <> h_b and h_a <> b and h_b <> a")
-        # A pair counts in the first bucket it shares: no chunk before has few enough differences, and the value left out is the differing one, or the first.
-        differ = f"transform(sequence(0, {SYMBOLS - 1}), i -> int(s_a[{SYMBOLS} * {{}} + i] <> s_b[{SYMBOLS} * {{}} + i]))"
-        chunk = f"int(floor(at / {SYMBOLS}))"
-        before = f"not exists(sequence(0, {chunk}), k -> k < {chunk} and aggregate({differ.format('k', 'k')}, 0, (x, y) -> x + y) <= {ERRORS})"
-        here = f"at % {SYMBOLS} = greatest(0, array_position({differ.format(chunk, chunk)}, 1) - 1)"
-        both = one.withColumnRenamed("key", "k_a").join(two.withColumnRenamed("key", "k_b").drop("at"), F.expr("k_a = k_b") & apart & self.near() & F.expr(before) & F.expr(here))
-        return self.links(both.select("a", "b").distinct(), "links")
+        near = pairs.join(one, "a").join(two, "b").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * self.percent)
+        left, right = (self.sets.select(F.col("node").alias(k), F.col("members").alias(f"m_{k}")) for k in "ab")
+        full = near.select("a", "b").join(left, "a").join(right, "b").withColumn("shared", F.size(F.array_intersect("m_a", "m_b")))
+        union = F.size("m_a") + F.size("m_b") - F.col("shared")
+        return written(full.where(F.col("shared") * 100 >= union * self.percent).select("a", "b"), "links")
 
     def inside(self, hubs: DataFrame, found: DataFrame) -> DataFrame:
-        """Links among the nodes around one hub, where these are of several components: all pairs, in tiles of blocks.
+        """Links among the nodes around one hub that are of different components."""
+        groups = hubs.select(F.col("hub").alias("group"), "node").unionAll(hubs.select(F.col("hub").alias("group"), F.col("hub").alias("node"))).distinct()
+        placed = groups.join(found, "node", "left").select("group", "node", F.coalesce("component", "node").alias("component"))
+        return self.links(written(placed, "around"))
 
-        A tile tells which of its nodes hang together, not every pair.
+    def across(self, members: DataFrame, hubs: DataFrame, found: DataFrame) -> DataFrame:
+        """Links of nodes that share a key, are of different components and stand around different hubs."""
+        placed = members.select("key", "node").join(found, "node", "left").join(hubs, "node", "left")
+        placed = written(placed.select("key", "node", F.coalesce("component", "node").alias("component"), F.coalesce("hub", "node").alias("hub")), "placed")
+        mixed = written(_mixed(placed, "key").select("key"), "several")
+        nodes = written(placed.join(mixed, "key", "left_semi").select("node", "component", "hub").distinct(), "involved")
+        first = written(self.first_shingles(nodes), "first")
+        groups = written(_mixed(first, "group").select("group"), "several")
+        return self.links(written(first.join(groups, "group", "left_semi").select("group", "node", "component"), "alike"))
+
+    def first_shingles(self, nodes: DataFrame) -> DataFrame:
+        """(group, node, component, hub): the shingles of each node, rare ones first, of which two similar nodes share one.
+
+        Rare: in few of the given nodes. Shingles of one node alone come first and make no group.
         """
-        groups = hubs.select("hub", "node").unionAll(hubs.select("hub", F.col("hub").alias("node"))).distinct()
-        placed = groups.join(found, "node", "left").join(self.nodes.select("node", "n_shingles"), "node").withColumn("component", F.coalesce("component", "node"))
-        sizes = placed.groupBy("hub").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
-        blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("size") / BLOCK_SHINGLES))
-        several = written(sizes.where("low < high").select("hub", blocks.alias("blocks")), "several")
-        dealt = groups.join(several, "hub").withColumn("block", F.expr("pmod(xxhash64(node), blocks)"))
-        each = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        each = each.select("hub", "node", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-        tiles = each.join(self.sets, "node").groupBy("hub", "low", "high").agg(F.collect_list(F.struct("node", "members")).alias("sets"))
+        each = written(self.sets.join(nodes, "node").select("node", F.explode("members").alias("group")), "shingles")
+        common = written(each.groupBy("group").agg(F.count(F.lit(1)).alias("often")).where("often > 1"), "common")
+        shared = each.join(common, "group").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("often", "group"))).alias("common"))
+        # A link has ceil(percent of either set) shingles in common: a set has so many others, and the next one is shared.
+        others = F.col("n_shingles") - F.ceil(F.col("n_shingles") * self.percent / 100).cast("long") + 1
+        left = (others - (F.col("n_shingles") - F.size("common"))).cast("int")
+        known = shared.join(self.nodes, "node").withColumn("left", left).where("left > 0")
+        return known.join(nodes, "node").select("node", "component", "hub", F.explode(F.slice("common", F.lit(1), F.col("left"))).alias("x")).select(F.col("x.group").alias("group"), "node", "component", "hub")
+
+    def tiles(self, groups: DataFrame) -> DataFrame:
+        """(group, kind, low, high, node): the blocks of nodes that meet, for stored rows (group, node, component)."""
+        sized = groups.join(self.nodes, "node")
+        parts = written(sized.groupBy("group", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("size")), "parts")
+        whole = parts.groupBy("group").agg(F.max(F.struct("n", "size", "component")).alias("home"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+        blocks = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_SHINGLES), F.lit(1)).cast("long")
+        home = F.col("home")
+        several = written(whole.select("group", home["component"].alias("home"), blocks(home["n"], home["size"]).alias("at_home"), blocks(F.col("n") - home["n"], F.col("size") - home["size"]).alias("strays")), "several")
+        dealt = groups.join(several, "group").withColumn("is_home", F.col("component") == F.col("home"))
+        dealt = dealt.withColumn("block", F.expr("pmod(xxhash64(node), if(is_home, at_home, strays))"))
+        meets = F.when(F.col("is_home"), F.expr("transform(sequence(0L, strays - 1), i -> struct(true as home, i as low, block as high))")).otherwise(
+            F.expr("concat(transform(sequence(0L, strays - 1), i -> struct(false as home, least(i, block) as low, greatest(i, block) as high)), transform(sequence(0L, at_home - 1), i -> struct(true as home, block as low, i as high)))")
+        )
+        return dealt.select("group", "node", F.explode(meets).alias("t")).select("group", "node", "t.home", "t.low", "t.high")
+
+    def links(self, groups: DataFrame) -> DataFrame:
+        """What hangs together in each tile, as pairs (a, b)."""
+        tiles = self.tiles(groups).join(self.sets, "node").groupBy("group", "home", "low", "high").agg(F.collect_list(F.struct("node", "members")).alias("sets"))
         return written(tiles.select("sets").mapInArrow(_tile_links(self.percent), "a long, b long").distinct(), "links")
 
 
+def _mixed(placed: DataFrame, key: str) -> DataFrame:
+    """The keys that nodes of different components around different hubs have."""
+    ends = placed.groupBy(key).agg(*(f(c).alias(f"{k}_{c}") for c in ("component", "hub") for k, f in (("low", F.min), ("high", F.max))))
+    return ends.where("low_component < high_component and low_hub < high_hub")
+
+
 def _tile_links(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,12 +261,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     schema = St.StructType([docs.schema["doc_id"], *_SIGNED])
     signed = written(docs.mapInArrow(_signatures(words, chunks * SYMBOLS), schema), "signatures")
 
-    # Equal sets are one node.
-    whole = ["n_shingles", "s1", "s2"]
-    full = signed.where("n_shingles > 0 and doc_id is not null")
-    reps = written(full.groupBy(*whole).agg(F.min("doc_id").cast("long").alias("node")), "reps")
-    own = written(full.join(reps, whole).select("doc_id", "node", "n_shingles", "sig"), "classes")
-    nodes = written(own.where("doc_id = node").dropDuplicates(["node"]).select("node", "n_shingles", "sig"), "nodes")
+    # Equal sets are one node. A doc_id with several texts has several nodes, which are linked.
+    full = signed.where("n_shingles > 0 and doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("long"))
+    classes = written(full.groupBy(*_WHOLE).agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id()), "classes")
+    own = written(full.join(classes, _WHOLE).select("doc_id", "least", "node", "n_shingles", "sig"), "own")
+    nodes = written(own.where("doc_id = least").dropDuplicates(["node"]).select("node", "n_shingles", "sig"), "nodes")
+    whose = own.select("doc_id", "least", "node").distinct()
+    ends = whose.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("last")).where("b < last")
+    same = written(whose.join(ends, "doc_id").where("node > b").select(F.col("node").alias("a"), "b").distinct(), "same")
 
     # Keys that several nodes have, and in each bucket the node that meets most others.
     keys = keys_of(nodes, chunks)
@@ -246,18 +282,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     best = stars.groupBy("node").agg(F.max(F.struct("n", "most", (-F.col("head")).alias("less"))).alias("x"))
     hubs = written(best.select("node", (-F.col("x.less")).alias("hub")), "hubs")
 
-    judge = _Judge(docs, nodes, members.select("node").distinct(), words, percent)
-    links = judge.to_hubs(hubs)
+    judge = _Judge(docs.withColumn("doc_id", F.col("doc_id").cast("long")), classes, nodes, members.select("node").distinct(), words, percent)
+    links = same.unionAll(judge.to_hubs(hubs))
     found = written(components(links), "components")
     links = links.unionAll(judge.inside(hubs, found))
     found = written(components(links), "components")
     links = links.unionAll(judge.across(members, hubs, found))
     found = written(components(links), "components")
 
-    result = own.select("doc_id", "node").distinct().join(found, "node", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "node")).alias("component_id"))
-    out = signed.select("doc_id", "n_shingles").join(result.withColumnRenamed("doc_id", "own"), F.col("doc_id") == F.col("own"), "left")
+    named = found.join(classes.select("node", "least"), "node")
+    least = written(named.groupBy("component").agg(F.min("least").alias("component_id")), "least")
+    known = written(found.join(least, "component").select("node", "component_id"), "named")
+    result = whose.join(known, "node", "left").groupBy("doc_id").agg(F.min(F.coalesce("component_id", "least")).alias("component_id"))
+    out = signed.select("doc_id", "n_shingles").join(result.withColumnRenamed("doc_id", "own"), F.col("doc_id").cast("long") == F.col("own"), "left")
     component = F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component_id")), F.col("doc_id").cast("long"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id").cast("long") == component)).alias("kept"))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
