@@ -108,5 +108,9 @@ def test_wide_path_guards_short_windows(spark):
     steps = steps.withColumn("step", F.col("step") - F.lit(first + 30)).withColumn("timestamp", F.lit(at(30)))
     history = steps.where("step between -22 and 0").withColumn("pm25", F.when(F.col("step") != -3, F.col("pm25")))
     ahead = steps.where("step between 1 and 24").select("location_hash", "timestamp", "step", *[F.col(p).alias(f"truth_{p}") for p in POLLUTANTS])
-    got = ev.path_index(history, ahead, ["truth"]).orderBy("step").collect()
+    known = {p: [r[p] for r in history.orderBy(F.desc("step")).collect()] for p in POLLUTANTS}
+    seen = lambda p, k: None if None in known[p][:k] else float(sum(known[p][:k]))
+    rows = [(h, *[seen(p, max(0, WINDOW_HOURS[p] - h)) for p in POLLUTANTS]) for h in range(1, 25)]
+    sums = spark.createDataFrame(rows, "step int, " + ", ".join(f"seen_{p} double" for p in POLLUTANTS))
+    got = ev.path_index(ahead.join(sums, "step").withColumn("_block", F.lit(0)), ["truth"]).orderBy("step").collect()
     assert len(got) == 24 and all(r["truth_prominent"] != "PM2.5" for r in got if r["step"] <= 20)

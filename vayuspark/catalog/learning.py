@@ -9,6 +9,7 @@ from vayuspark.catalog.base import query, r, rounded
 from vayuspark.catalog.ctes import category_index_sql, category_sql, half_even_sql, paths_sql
 from vayuspark.functions import calendar as cal
 from vayuspark.operators import evaluate as ev, features as ft
+from vayuspark.operators.blocks import BLOCK
 from vayuspark.plans.forecast import forecast_all
 from vayuspark.session import cut_lineage
 from vayuspark.vocab import FUTURE_FEATURES, PAST_FEATURES, POLLUTANTS, TABULAR_FEATURES
@@ -43,8 +44,8 @@ def candidates(fr, part):
 
 def paths(spark, sf):
     fr = stored_frame(spark, sf)
-    samples, rows = candidates(fr, "test")
-    return ev.scored_paths(rows, samples, fr, NAMES)
+    _, rows = candidates(fr, "test")
+    return ev.scored_paths(rows, NAMES)
 
 
 # ---- features ----------------------------------------------------------------------------------
@@ -86,7 +87,7 @@ D = [f"d_yday_{p}" for p in POLLUTANTS]
 @query("w11_horizon_rows", f"select {KEYS}, horizon, target, {r(*[f'last_{p}' for p in POLLUTANTS])}, {r(*Y)}, {r(*[f'fut_{c}' for c in FUTURE_FEATURES])} from t_test8")
 def w11(spark, sf):
     fr = stored_frame(spark, sf)
-    return rounded(ft.horizon_rows(ft.all_horizons(split(fr, "test")), fr).drop(*D))
+    return rounded(ft.horizon_rows(ft.all_horizons(split(fr, "test")), fr).drop(*D, *ft.SEEN, BLOCK))
 
 
 @query("w9_seasonal_delta", f"select {KEYS}, horizon, {r(*D)} from t_test8")
@@ -128,7 +129,7 @@ TABULAR_SQL = f"""(select s.location_hash, s.timestamp, cast(h.h as int) as lead
 def m4(spark, sf):
     fr = stored_frame(spark, sf)
     tab = ft.tabular_features(ft.all_horizons(split(fr, "val")), fr)
-    return rounded(tab.drop(*[f"last_{p}" for p in POLLUTANTS]))
+    return rounded(tab.drop(*[f"last_{p}" for p in POLLUTANTS], *ft.SEEN, BLOCK))
 
 
 @query(
@@ -142,25 +143,23 @@ def f16(spark, sf):
     return rounded(ft.standardise_frame(fr, spec).select(*K, *PAST_FEATURES), 5)
 
 
-_ALL = " + ".join(f"x.{c}" for c in PAST_FEATURES)
+_SUM = " + ".join(f"coalesce(x.{c}, 0)" for c in PAST_FEATURES)
+_PLACED = " + ".join(f"(((b.b + 167) % 4) * {len(PAST_FEATURES)} + {i}) * coalesce(x.{c}, 0)" for i, c in enumerate(PAST_FEATURES, 1))
 
 
 @query(
     "w15_past_matrix",
-    f"""select s.location_hash, s.timestamp, cast(count(*) / 4 as int) as patches, cast(4 * {len(PAST_FEATURES)} as int) as values,
-      {r(f'sum({_ALL}) filter (b.b <= -164) as first_sum', f'sum({_ALL}) filter (b.b >= -3) as last_sum', digits=5)}
+    f"""select s.location_hash, s.timestamp, cast((b.b + 167) // 4 as int) as patch, cast(count(*) * {len(PAST_FEATURES)} as int) as values, {r(f'sum({_SUM}) as total', f'sum({_PLACED}) as by_place', digits=5)}
     from t_split8 s cross join (select unnest(range(-167,1)) as b) b join t_frame8 x on x.location_hash = s.location_hash and x.timestamp = s.timestamp + to_hours(b.b)
-    where split = 'test' group by 1, 2""",
+    where split = 'test' group by 1, 2, 3""",
 )
 def w15(spark, sf):
-    """Windows of the test samples: their size and the sums of their first and last patch."""
+    """All 42 patches of the windows of the test samples: size, sum, and sum of each value times its place."""
     fr = stored_frame(spark, sf)
-    m = ft.past_matrix(split(fr, "test"), fr, patch=4)
+    m = ft.past_matrix(split(fr, "test"), fr, patch=4).select(*K, F.posexplode("past").alias("patch", "x"))
+    known = F.transform("x", lambda v: F.coalesce(v, F.lit(0.0)))
     total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
-    return rounded(m.select(
-        *K, F.size("past").alias("patches"), F.size(F.col("past")[0]).alias("values"),
-        total(F.col("past")[0]).alias("first_sum"), total(F.col("past")[41]).alias("last_sum"),
-    ), 5)
+    return rounded(m.select(*K, "patch", F.size("x").alias("values"), total(known).alias("total"), total(F.transform(known, lambda v, i: v * (i + 1))).alias("by_place")), 5)
 
 
 @query(
@@ -282,8 +281,8 @@ COVER = paths_sql(WITHQ, "(select * from t_split8 where split = 'test')", {"trut
 def g12(spark, sf):
     fr = stored_frame(spark, sf)
     q = ev.residual_quantiles(candidates(fr, "val")[1], "mean")
-    samples, rows = candidates(fr, "test")
-    return rounded(ev.interval_coverage(ev.scored_paths(ev.with_interval(rows, q, "mean"), samples, fr, ["lower", "upper"])))
+    _, rows = candidates(fr, "test")
+    return rounded(ev.interval_coverage(ev.scored_paths(ev.with_interval(rows, q, "mean"), ["lower", "upper"])))
 
 
 GRID = ev.simplex(3)

@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vayuspark.functions.cpcb import category_index, half_even, prominent, settle, settled_index
 from vayuspark.functions.values import delta_to_conc
-from vayuspark.operators.blocks import exact_quantiles, order_bucket, running_before
-from vayuspark.operators.features import history_conc
+from vayuspark.operators.blocks import BLOCK, exact_quantiles, order_bucket, running_before
+from vayuspark.operators.features import SEEN
 from vayuspark.operators.windows import NODE, TIME
 from vayuspark.vocab import CLOSE_AQI, INTERVAL, MEMBERS, POLLUTANTS, PROMOTION_TOLERANCE, WINDOW_HOURS
 
@@ -108,30 +108,29 @@ def with_interval(rows: DataFrame, quantiles: DataFrame, name: str = "ensemble")
 # ---- index along the path ----------------------------------------------------------------------
 
 def to_concentrations(rows: DataFrame, variants: list[str]) -> DataFrame:
-    """(keys, step, `<variant>_<pollutant>`) concentrations from log changes; `truth` stands for `y`."""
+    """(keys, step, `<variant>_<pollutant>`, `seen_<pollutant>`) concentrations from log changes; `truth` stands for `y`."""
     delta = lambda v, p: F.col(f"y_{p}" if v == "truth" else f"{v}_{p}")
     return rows.select(
-        *KEYS, F.col("horizon").cast("int").alias("step"),
+        *KEYS, BLOCK, F.col("horizon").cast("int").alias("step"), *SEEN,
         *[delta_to_conc(F.col(f"last_{p}"), delta(v, p)).alias(f"{v}_{p}") for v in variants for p in POLLUTANTS],
     )
 
 
-def path_index(history: DataFrame, forecast: DataFrame, variants: list[str]) -> DataFrame:
+def path_index(forecast: DataFrame, variants: list[str]) -> DataFrame:
     """Unrounded index and prominent pollutant per variant along observed and forecast hours.
 
-    One path of 23 + 24 rows per sample serves all variants. A mean needs every hour of its window.
+    A mean needs every hour of its window: the observed ones are `seen_<pollutant>`, the sum of those up to t that it covers,
+    the others are rows of the path. The rows of a path come from one block, so they are where the window needs them.
     """
-    past = history.select(*KEYS, "step", *[F.col(p).alias(f"{v}_{p}") for v in variants for p in POLLUTANTS])
-    path = past.unionByName(forecast.select(*past.columns))
-    w = Window.partitionBy(*KEYS).orderBy("step")
+    w = Window.partitionBy(NODE, BLOCK, TIME).orderBy("step")
 
-    def strict_mean(c: str, width: int) -> Column:
+    def strict_mean(v: str, p: str) -> Column:
+        width, c = WINDOW_HOURS[p], f"{v}_{p}"
         frame = w.rowsBetween(-(width - 1), 0)
-        return F.when(F.count(c).over(frame) == width, F.avg(c).over(frame))
+        whole = F.count(c).over(frame) == F.least(F.col("step"), F.lit(width))
+        return F.when(whole, (F.col(f"seen_{p}") + F.sum(c).over(frame)) / width)
 
-    means = path.select(
-        "*", *[strict_mean(f"{v}_{p}", WINDOW_HOURS[p]).alias(f"_m_{v}_{p}") for v in variants for p in POLLUTANTS]
-    ).where(F.col("step") >= 1)
+    means = forecast.select("*", *[strict_mean(v, p).alias(f"_m_{v}_{p}") for v in variants for p in POLLUTANTS]).drop(BLOCK, *SEEN)
     subs = {(v, p): settled_index(f"_m_{v}_{p}", p) for v in variants for p in POLLUTANTS}
     tops = means.withColumns({
         **{f"_s_{v}_{p}": x for (v, p), x in subs.items()},
@@ -145,10 +144,10 @@ def path_index(history: DataFrame, forecast: DataFrame, variants: list[str]) ->
     return named.drop(*[f"_{k}_{v}_{p}" for k in ("m", "s") for v in variants for p in POLLUTANTS])
 
 
-def scored_paths(rows: DataFrame, samples: DataFrame, frame: DataFrame, names: list[str]) -> DataFrame:
+def scored_paths(rows: DataFrame, names: list[str]) -> DataFrame:
     """Concentrations and index of the truth and of every candidate per (sample, step)."""
     variants = ["truth", *names]
-    return path_index(history_conc(samples, frame), to_concentrations(rows, variants), variants)
+    return path_index(to_concentrations(rows, variants), variants)
 
 
 # ---- scores ------------------------------------------------------------------------------------

@@ -13,13 +13,16 @@ from vayuspark.operators.windows import (
 )
 from vayuspark.vocab import (
     FILL_HOURS, FUTURE_FEATURES, HISTORY, HORIZON, LAGS, LOGGED, LOOKBACK, PAST_FEATURES, POLLUTANTS, RAW,
-    ROLLS, TABULAR_FEATURES,
+    ROLLS, TABULAR_FEATURES, WINDOW_HOURS,
 )
 
 LOGS = [f"log_{p}" for p in POLLUTANTS]
 LAG_COLUMNS = [f"d_lag{k}_{p}" for k in LAGS for p in POLLUTANTS]
 ROLL_COLUMNS = [f"d_roll{w}_{p}" for w in ROLLS for p in POLLUTANTS]
 YDAY = [f"yday_{p}" for p in POLLUTANTS]
+SEEN = [f"seen_{p}" for p in POLLUTANTS]
+#: Hours of a block in which samples meet the hours around them.
+SAMPLE_HOURS = 24 * 14
 FRAME_COLUMNS = [NODE, TIME, "t", *PAST_FEATURES, *LAG_COLUMNS, *ROLL_COLUMNS, *YDAY, "valid_issue", "valid_sample"]
 
 
@@ -140,28 +143,57 @@ def all_horizons(samples: DataFrame) -> DataFrame:
     return samples.withColumn("leads", F.sequence(F.lit(1), F.lit(HORIZON)))
 
 
+def _around(samples: DataFrame, frame: DataFrame, columns: list[str], before: int, after: int) -> DataFrame:
+    """The samples with `_hours`, the frame's rows around them as (_hour, columns...), and `_at`, their own place in it from 0.
+
+    Frame and samples go to blocks of hours in one exchange, the frame with the few hours that a neighbour's samples see. A
+    block's hours are one array of bounded length; what a sample sees is cut out of it in place, so that no row is joined or
+    moved for each hour seen. The frame has every hour of a node from its first to its last, as `hour_frame` gives it.
+    """
+    hour = hour_number(F.col(TIME))
+    rows = with_halo(frame.select(NODE, F.struct(hour.alias("_hour"), *columns).alias("_row"), hour.alias("_pos")), F.col("_pos"), SAMPLE_HOURS, before, after)
+    own = samples.select(NODE, F.floor(hour / SAMPLE_HOURS).alias(BLOCK), F.struct(hour.alias("_hour"), *[c for c in samples.columns if c != NODE]).alias("_sample"))
+    both = rows.select(NODE, BLOCK, "_row").unionByName(own, allowMissingColumns=True)
+    blocks = both.groupBy(NODE, BLOCK).agg(F.sort_array(F.collect_list("_row")).alias("_hours"), F.collect_list("_sample").alias("_samples"))
+    whole = F.col("_hours")[F.size("_hours") - 1]["_hour"] - F.col("_hours")[0]["_hour"] + 1 == F.size("_hours")
+    broken = F.raise_error(F.lit("the hours of a node in the frame must follow each other without gaps")).cast("boolean")
+    blocks = blocks.where((F.size("_hours") > 0) & (F.size("_samples") > 0)).where(F.when(whole, True).otherwise(broken))
+    each = blocks.select(NODE, BLOCK, "_hours", F.explode("_samples").alias("_s"))
+    return each.select(NODE, *[F.col(f"_s.{c}") for c in samples.columns if c != NODE], BLOCK, "_hours", (F.col("_s._hour") - F.col("_hours")[0]["_hour"]).cast("int").alias("_at"))
+
+
+def _seen(n: int) -> Column:
+    """The last n hours up to t, fewer where the node has fewer."""
+    first = F.greatest(F.col("_at") - (n - 1), F.lit(0))
+    return F.slice("_hours", first + 1, F.col("_at") - first + 1)
+
+
 def horizon_rows(samples: DataFrame, frame: DataFrame, base: list[str] | None = None) -> DataFrame:
     """(sample, horizon) with `last_p` at t, true log change `y_p`, `d_yday_p` and covariates at t+h.
 
-    Samples meet their issue hour before the `leads` are unfolded, so that join moves one row per sample.
+    `seen_p`: the sum of the concentrations up to t that a trailing mean at t+h still covers, null if one of them is unknown.
     """
     base = base or []
-    at_issue = frame.select(NODE, TIME, *[F.col(c).alias(f"last_{c[4:]}") for c in LOGS], *base)
-    at_target = frame.select(
-        NODE, F.col(TIME).alias("target"), *[F.col(c).alias(f"_then_{c[4:]}") for c in LOGS], *YDAY, *[F.col(c).alias(f"fut_{c}") for c in FUTURE_FEATURES]
-    )
-    rows = (
-        samples.select(NODE, TIME, "leads")
-        .join(at_issue, [NODE, TIME])
-        .withColumn("horizon", F.explode("leads")).drop("leads")
-        .withColumn("target", F.col(TIME) + hours(F.col("horizon")))
-        .join(at_target, [NODE, "target"])
-    )
-    return rows.select(
-        NODE, TIME, "horizon", "target", *base, *[f"last_{p}" for p in POLLUTANTS],
-        *[(F.col(f"_then_{p}") - F.col(f"last_{p}")).alias(f"y_{p}") for p in POLLUTANTS],
-        *[(F.col(f"yday_{p}") - F.col(f"last_{p}")).alias(f"d_yday_{p}") for p in POLLUTANTS],
-        *[f"fut_{c}" for c in FUTURE_FEATURES],
+    around = _around(samples.select(NODE, TIME, "leads"), frame, list(dict.fromkeys([*LOGS, *YDAY, *FUTURE_FEATURES, *base])), HISTORY - 1, HORIZON)
+
+    def sums(p: str) -> Column:
+        """At k the sum of the last k concentrations."""
+        longer = lambda acc, row: F.concat(acc, F.array(F.element_at(acc, -1) + F.expm1(row[f"log_{p}"])))
+        return F.aggregate(F.reverse(_seen(WINDOW_HOURS[p] - 1)), F.array(F.lit(0.0)), longer).alias(f"_sums_{p}")
+
+    at_issue = F.get("_hours", F.col("_at"))
+    wide = around.select(
+        NODE, TIME, BLOCK, at_issue.alias("_now"), *[sums(p) for p in POLLUTANTS],
+        F.explode(F.transform("leads", lambda h: F.struct(h.alias("horizon"), F.get("_hours", (F.col("_at") + h).cast("int")).alias("x")))).alias("_then"),
+    ).where(F.col("_now").isNotNull() & F.col("_then.x").isNotNull())
+    now, then, lead = F.col("_now"), F.col("_then.x"), F.col("_then.horizon")
+    return wide.select(
+        NODE, TIME, BLOCK, lead.alias("horizon"), (F.col(TIME) + hours(lead)).alias("target"), *[now[c].alias(c) for c in base],
+        *[now[f"log_{p}"].alias(f"last_{p}") for p in POLLUTANTS],
+        *[(then[f"log_{p}"] - now[f"log_{p}"]).alias(f"y_{p}") for p in POLLUTANTS],
+        *[(then[f"yday_{p}"] - now[f"log_{p}"]).alias(f"d_yday_{p}") for p in POLLUTANTS],
+        *[then[c].alias(f"fut_{c}") for c in FUTURE_FEATURES],
+        *[F.get(f"_sums_{p}", F.greatest(F.lit(WINDOW_HOURS[p]) - lead, F.lit(0)).cast("int")).alias(f"seen_{p}") for p in POLLUTANTS],
     )
 
 
@@ -175,7 +207,7 @@ def tabular_features(samples: DataFrame, frame: DataFrame, spec: DataFrame | Non
     features = [F.col("horizon_h" if c == "horizon" else c) for c in TABULAR_FEATURES]
     return rows.select(
         NODE, TIME, F.col("horizon").alias("lead"), *[c.alias(n) for c, n in zip(features, TABULAR_FEATURES)],
-        *[f"last_{p}" for p in POLLUTANTS], *[f"y_{p}" for p in POLLUTANTS],
+        *[f"last_{p}" for p in POLLUTANTS], *[f"y_{p}" for p in POLLUTANTS], BLOCK, *SEEN,
     )
 
 
@@ -222,21 +254,16 @@ def standardise_frame(rows: DataFrame, spec: DataFrame) -> DataFrame:
 
 def past_matrix(samples: DataFrame, frame: DataFrame, patch: int | None = None) -> DataFrame:
     """168 ordered rows of past features per sample, optionally cut into patches of some hours."""
-    steps = F.explode(F.sequence(F.lit(-(LOOKBACK - 1)), F.lit(0))).alias("step")
-    wanted = samples.select(NODE, F.col(TIME).alias("issue"), steps).withColumn(TIME, F.col("issue") + hours(F.col("step")))
-    rows = wanted.join(frame.select(NODE, TIME, F.array(*PAST_FEATURES).alias("x")), [NODE, TIME])
-    matrix = rows.groupBy(NODE, "issue").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("step", "x"))), lambda r: r["x"]).alias("past")
-    )
+    around = _around(samples.select(NODE, TIME), frame, PAST_FEATURES, LOOKBACK - 1, 0).where(F.get("_hours", F.col("_at")).isNotNull())
+    matrix = around.select(NODE, TIME, F.transform(_seen(LOOKBACK), lambda r: F.array(*[r[c] for c in PAST_FEATURES])).alias("past"))
     if patch:
         cut = lambda i: F.flatten(F.slice(F.col("past"), i * patch + 1, F.lit(patch)))
         matrix = matrix.withColumn("past", F.transform(F.sequence(F.lit(0), F.lit(LOOKBACK // patch - 1)), cut))
-    return matrix.withColumnRenamed("issue", TIME)
+    return matrix
 
 
 def history_conc(samples: DataFrame, frame: DataFrame, last_hours: int = HISTORY) -> DataFrame:
     """Concentrations of the last hours up to t: (node, issue time, step <= 0, six values)."""
-    steps = F.explode(F.sequence(F.lit(-(last_hours - 1)), F.lit(0))).alias("step")
-    wanted = samples.select(NODE, F.col(TIME).alias("issue"), steps).withColumn(TIME, F.col("issue") + hours(F.col("step")))
-    rows = wanted.join(frame.select(NODE, TIME, *LOGS), [NODE, TIME])
-    return rows.select(NODE, F.col("issue").alias(TIME), "step", *[F.expm1(f"log_{p}").alias(p) for p in POLLUTANTS])
+    around = _around(samples.select(NODE, TIME), frame, LOGS, last_hours - 1, 0).where(F.get("_hours", F.col("_at")).isNotNull())
+    rows = around.select(NODE, TIME, F.size(_seen(last_hours)).alias("_n"), F.posexplode(_seen(last_hours)).alias("_i", "_row"))
+    return rows.select(NODE, TIME, (F.col("_i") - F.col("_n") + 1).alias("step"), *[F.expm1(F.col("_row")[f"log_{p}"]).alias(p) for p in POLLUTANTS])

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, functions as F
 from vayuspark.functions.calendar import as_ts, floor_hour, hours
 from vayuspark.functions.cpcb import category, half_even
 from vayuspark.operators.evaluate import blend, path_index, to_concentrations, with_interval
-from vayuspark.operators.features import all_horizons, history_conc, sample_index
+from vayuspark.operators.features import all_horizons, sample_index
 from vayuspark.operators.windows import NODE, TIME
-from vayuspark.vocab import POLLUTANTS
+from vayuspark.vocab import HISTORY, HORIZON, POLLUTANTS
 
 
 def issue_samples(frame: DataFrame, as_of) -> DataFrame:
@@ -32,12 +32,14 @@ def forecast_all(
 
     `predict(leads, frame)` returns `horizon_rows` with a `<member>_<pollutant>` log change per member.
     """
+    now = floor_hour(as_ts(as_of))
+    frame = frame.where(F.col(TIME).between(now - hours(HISTORY - 1), now + hours(HORIZON)))
     samples = issue_samples(frame, as_of)
     rows = blend(predict(all_horizons(samples), frame), weights, members)
     variants = ["ensemble", *members]
     if quantiles is not None:
         rows, variants = with_interval(rows, quantiles), [*variants, "lower", "upper"]
-    paths = path_index(history_conc(samples, frame), to_concentrations(rows, variants), variants)
+    paths = path_index(to_concentrations(rows, variants), variants)
     whole = lambda v: half_even(F.col(f"{v}_raw")) if v in variants else F.lit(None).cast("int")
     return paths.select(
         F.col(TIME).alias("forecast_generated_at"), (F.col(TIME) + hours(F.col("step"))).alias("forecast_target_time"),

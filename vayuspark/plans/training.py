@@ -9,6 +9,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame, functions as F
 
 from vayuspark.operators import evaluate as ev, features as ft
+from vayuspark.operators.blocks import BLOCK
 from vayuspark.operators.windows import NODE, TIME
 from vayuspark.session import cut_lineage
 from vayuspark.vocab import FUTURE_FEATURES, HORIZON, LOOKBACK, MEMBERS, PAST_FEATURES, POLLUTANTS, TABULAR_FEATURES
@@ -46,7 +47,7 @@ def matrix(leads: DataFrame, frame: DataFrame, spec: DataFrame) -> DataFrame:
     rows = ft.tabular_features(leads, frame, spec).fillna(0.0, TABULAR_FEATURES)
     return VectorAssembler(inputCols=TABULAR_FEATURES, outputCol="features").transform(rows).select(
         NODE, TIME, "lead", "features", *[f"last_{p}" for p in POLLUTANTS], *[f"y_{p}" for p in POLLUTANTS],
-        *[f"d_yday_{p}" for p in POLLUTANTS],
+        *[f"d_yday_{p}" for p in POLLUTANTS], BLOCK, *ft.SEEN,
     )
 
 
@@ -132,7 +133,7 @@ def run_training(obs: DataFrame, nodes: DataFrame, settings: Settings | None = N
     test_rows = ev.with_baselines(ev.blend(predict(ft.all_horizons(test), frame), weights, members))
     names = [*ev.BASELINES, *members, "ensemble"]
     paths = cut_lineage(
-        ev.scored_paths(ev.with_interval(test_rows, quantiles), test, frame, [*names, "lower", "upper"]), "paths"
+        ev.scored_paths(ev.with_interval(test_rows, quantiles), [*names, "lower", "upper"]), "paths"
     )
     scores = ev.score_models(paths, names)
     errors = ev.sample_errors(paths, ["ensemble", *members])
