@@ -5,7 +5,8 @@
    of texts of one task) before the shuffle. A phrase is locally frequent if it reaches its shard's part of the support:
    support * bytes of the shard / bytes of all shards, rounded up. If a phrase misses its part in every shard it misses the
    support in the corpus, and what is locally frequent has locally frequent parts, so none is lost.
-2. The locally frequent hashes of all shards together are the candidates. They go to every task as a bit field of fixed size
+2. The locally frequent hashes of all shards together are the candidates, without those whose hash misses the support in
+   all shards together (a hash has no fewer occurrences than any of its phrases). They go to every task as a bit field of fixed size
    (`BITS`): a bit set by another hash lets more phrases through, never fewer. With many more candidates than bits everything
    passes, and the next step is only slower.
 3. All phrases that pass, and all of whose parts do, are counted over the whole corpus, by their words, exactly. What is
@@ -33,7 +34,7 @@ from vayuspark.llm.tables import prepared, table, written
 SHARDS = 4
 #: Bits of the field of candidates, as a power of two: 16 MB.
 BITS = 27
-PIECE, CHUNK_WORDS = 2 << 20, 2_000_000
+PIECE, CHUNK_WORDS = 2 << 20, 1_500_000
 #: Of this many groups of a language the first phrases are taken before they are ranked together.
 RANK_GROUPS = 32
 
@@ -98,12 +99,12 @@ def _keys(wide: np.ndarray, seed: np.uint64) -> np.ndarray:
 
 def _set(field: np.ndarray, key: np.ndarray, shards: int) -> np.ndarray:
     """Whether the field has the bits of these keys."""
-    place = key // shards & ((1 << BITS) - 1)
+    place = (key // shards) & ((1 << BITS) - 1)
     return (field[place >> 3] >> (place & 7)) & 1 == 1
 
 
 def _mined(sizes: range, shards: int, field):
-    """(key, n): hashes of phrases, their last digit to the base `shards` replaced by the shard, and their number in a chunk.
+    """(hash, part): phrases of a chunk and how often one shard has them there, n * shards + shard.
 
     From the third word on only phrases whose parts without the last and without the first word are candidates.
     """
@@ -121,8 +122,9 @@ def _mined(sizes: range, shards: int, field):
                     at, wide = at[good], wide[good]
                 key = _keys(wide, seed)
                 key, n = np.unique(key - key % shards + of_word[at], return_counts=True)
+                hashes, part = key // shards, n * shards + key % shards
                 for low in range(0, len(key), 1 << 16):
-                    yield pa.RecordBatch.from_arrays([pa.array(key[low : low + (1 << 16)]), pa.array(n[low : low + (1 << 16)])], names=["key", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(hashes[low : low + (1 << 16)]), pa.array(part[low : low + (1 << 16)])], names=["hash", "part"])
 
     return run
 
@@ -168,14 +170,19 @@ def shares(texts: DataFrame, support: int) -> dict[int, int]:
     return {shard: max(1, -(-support * weight // sum(weights.values()))) for shard, weight in weights.items()}
 
 
-def candidates(texts: DataFrame, sizes: range, least: dict[int, int], shards: int, field=None) -> DataFrame:
-    """(hash): of every phrase of these sizes that is frequent in a shard at that shard's part of the support."""
+def candidates(texts: DataFrame, sizes: range, support: int, least: dict[int, int], shards: int, field=None) -> DataFrame:
+    """(hash): of every phrase of these sizes that is frequent in a shard at that shard's part of the support.
+
+    A hash that misses the support in all shards together stands for no frequent phrase and is left out.
+    """
+    mined = texts.select("lang", "text", "shard").mapInArrow(_mined(sizes, shards, field), "hash long, part long")
+    n, shard = F.expr(f"part div {shards}"), F.expr(f"part % {shards}")
+    # Chunks have summed up already: rows go straight to their hash's partition, without a second table of sums on the way.
+    sums = mined.repartition("hash").groupBy("hash").agg(F.sum(n).alias("n"), *[F.sum(F.when(shard == k, n).otherwise(0)).alias(f"n{k}") for k in least])
     enough = F.lit(False)
-    for shard, part in least.items():
-        enough = enough | (F.expr(f"key % {shards} = {shard}") & (F.col("n") >= part))
-    mined = texts.select("lang", "text", "shard").mapInArrow(_mined(sizes, shards, field), "key long, n long")
-    # Chunks have summed up already: rows go straight to their key's partition, without a second table of sums on the way.
-    return mined.repartition("key").groupBy("key").agg(F.sum("n").alias("n")).where(enough).select(F.expr(f"key div {shards}").alias("hash"))
+    for k, part in least.items():
+        enough = enough | (F.col(f"n{k}") >= part)
+    return sums.where(enough & (F.col("n") >= support)).select("hash")
 
 
 def bit_field(hashes: DataFrame) -> np.ndarray:
@@ -196,7 +203,7 @@ def frequent(docs: DataFrame, most: int = 3, support: int = 10, shards: int = SH
     least, field = shares(texts, support), None
     # Level by level: words and pairs together, then a word more each time.
     for sizes in [range(1, min(most, 2) + 1), *(range(k, k + 1) for k in range(3, most + 1))]:
-        more = bit_field(candidates(texts, sizes, least, shards, field))
+        more = bit_field(candidates(texts, sizes, support, least, shards, field))
         field = spark.sparkContext.broadcast(more if field is None else more | field.value)
     counted = texts.mapInArrow(_counted(most, shards, field), "lang string, size int, phrase string, n long")
     summed = written(counted.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("f")).where((F.col("size") == 0) | (F.col("f") >= support)), "phrases")
