@@ -17,7 +17,7 @@ def rows(spark, *data):
 
 
 def content(spark, path, schema):
-    return sorted((r["location_hash"], r["timestamp"], r["x"]) for r in spark.read.schema(schema).parquet(path).collect())
+    return sorted((r["location_hash"], r["timestamp"], r["x"]) for r in tb.read_table(spark, path, schema).collect())
 
 
 def test_upsert_replaces_and_is_idempotent(spark):
@@ -41,7 +41,7 @@ def test_insert_if_absent_keeps_old_rows(spark):
 def test_prune_is_strict(spark, hour):
     path = run_dir(spark, "t")
     df = rows(spark, *[("a", at(h), float(h), 1) for h in range(240)])
-    df.write.partitionBy("obs_date").parquet(path)
+    tb.upsert(spark, path, df, K, ["ingested_at"], "obs_date")
     tb.prune(spark, path, "timestamp", "obs_date", at(120 + hour), 2)
     kept = [r[2] for r in content(spark, path, df.schema)]
     assert min(kept) == 72 + hour and len(kept) == 240 - 72 - hour
@@ -50,7 +50,7 @@ def test_prune_is_strict(spark, hour):
 def test_prune_with_nothing_left_of_the_day(spark):
     path = run_dir(spark, "t")
     df = rows(spark, ("a", at(0), 0.0, 1), ("a", at(50), 1.0, 1))
-    df.write.partitionBy("obs_date").parquet(path)
+    tb.upsert(spark, path, df, K, ["ingested_at"], "obs_date")
     tb.prune(spark, path, "timestamp", "obs_date", at(34), 1)
     assert content(spark, path, df.schema) == [("a", at(50), 1.0)]
 
@@ -58,7 +58,7 @@ def test_prune_with_nothing_left_of_the_day(spark):
 def test_prune_twice_and_of_nothing(spark):
     path = run_dir(spark, "t")
     assert tb.prune(spark, path, "timestamp", "obs_date", at(34), 1) == {"dropped": 0, "kept": 0}
-    rows(spark, ("a", at(0), 0.0, 1), ("a", at(3), 1.0, 1)).write.partitionBy("obs_date").parquet(path)
+    tb.upsert(spark, path, rows(spark, ("a", at(0), 0.0, 1), ("a", at(3), 1.0, 1)), K, ["ingested_at"], "obs_date")
     assert tb.prune(spark, path, "timestamp", "obs_date", at(200), 1) == {"dropped": 2, "kept": 0}
     assert tb.prune(spark, path, "timestamp", "obs_date", at(200), 1) == {"dropped": 0, "kept": 0}
 
@@ -68,75 +68,98 @@ def test_upsert_reads_only_the_days_it_touches(spark):
     old = rows(spark, *[("a", at(24 * d), float(d), 1) for d in range(30)])
     tb.upsert(spark, path, old, K, ["ingested_at"], "obs_date")
     new = rows(spark, ("a", at(24 * 7), 70.0, 2))
-    plan = tb.only(tb.read_table(spark, path, old.schema), new, "obs_date")._jdf.queryExecution().toString()
-    filters = plan.split("PartitionFilters: [", 1)[1].split("]", 1)[0]
+    spark.conf.set("spark.sql.maxMetadataStringLength", "100000")
+    plan = tb.only(tb.read_table(spark, path, old.schema), tb.touched(new, "obs_date"), "obs_date")._jdf.queryExecution().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    filters = plan.split("PartitionFilters: [", 1)[1].split("PushedFilters", 1)[0]
     day = new.first()["obs_date"]
     assert "obs_date" in filters and (str(day) in filters or str((day - type(day)(1970, 1, 1)).days) in filters), filters
     tb.upsert(spark, path, new, K, ["ingested_at"], "obs_date")
     assert [r[2] for r in content(spark, path, old.schema)] == [70.0 if d == 7 else float(d) for d in range(30)]
 
 
-@pytest.mark.parametrize("dies_at", [1, 2])
-def test_a_swap_that_dies_loses_nothing(spark, monkeypatch, dies_at):
+def test_a_write_that_dies_counts_for_nothing(spark, monkeypatch):
     path = run_dir(spark, "t")
     old = rows(spark, *[("a", at(24 * d + h), float(d), 1) for d in range(3) for h in (0, 5)])
     tb.upsert(spark, path, old, K, ["ingested_at"], "obs_date")
-    move, calls = tb._Folder.move, []
-
-    def dying(self, source, target):
-        calls.append(target)
-        if len(calls) == dies_at:
-            raise RuntimeError("gone")
-        move(self, source, target)
-
-    monkeypatch.setattr(tb._Folder, "move", dying)
+    before = content(spark, path, old.schema)
     new = rows(spark, *[("a", at(24 * d), 10.0 + d, 2) for d in range(3)])
-    with pytest.raises(RuntimeError):
-        tb.upsert(spark, path, new, K, ["ingested_at"], "obs_date")
-    monkeypatch.undo()
-    want = sorted([("a", at(24 * d), 10.0 + d) for d in range(3)] + [("a", at(24 * d + 5), float(d)) for d in range(3)])
-    tb.recover(spark, path)
-    assert content(spark, path, old.schema) == want
-    tb.upsert(spark, path, new, K, ["ingested_at"], "obs_date")
-    assert content(spark, path, old.schema) == want
+    with monkeypatch.context() as m:
+        m.setattr(type(spark.range(1)), "coalesce", lambda self, n: (_ for _ in ()).throw(RuntimeError("gone")))
+        with pytest.raises(RuntimeError):
+            tb.upsert(spark, path, new, K, ["ingested_at"], "obs_date")
+    assert content(spark, path, old.schema) == before
+    tb.upsert(spark, path, new.where("x > 11"), K, ["ingested_at"], "obs_date")
+    assert content(spark, path, old.schema) == sorted([("a", at(0), 0.0), ("a", at(24), 1.0), ("a", at(48), 12.0)] + [("a", at(24 * d + 5), float(d)) for d in range(3)])
 
 
-def test_an_unfinished_stage_is_dropped(spark, monkeypatch):
+def test_a_reader_between_data_and_commit_changes_nothing(spark, monkeypatch):
+    """The reader sees the old rows whole, and the write behind it is not lost."""
     path = run_dir(spark, "t")
-    old = rows(spark, ("a", at(0), 1.0, 1))
+    old = rows(spark, ("a", at(0), 1.0, 1), ("a", at(30), 2.0, 1))
     tb.upsert(spark, path, old, K, ["ingested_at"], "obs_date")
+    started = tb.read_table(spark, path, old.schema)
+    seen, frame = [], type(spark.range(1))
+    coalesce = frame.coalesce
+
+    def reading(self, n):
+        seen.append(content(spark, path, old.schema))
+        return coalesce(self, n)
+
     with monkeypatch.context() as m:
-        m.setattr(tb._Folder, "mark", lambda self, *names: (_ for _ in ()).throw(RuntimeError("gone")))
-        with pytest.raises(RuntimeError):
-            tb.upsert(spark, path, rows(spark, ("a", at(0), 2.0, 2)), K, ["ingested_at"], "obs_date")
-    assert [r[2] for r in tb.read_table(spark, path, old.schema).collect()] == [1.0]
+        m.setattr(frame, "coalesce", reading)
+        tb.upsert(spark, path, rows(spark, ("a", at(0), 11.0, 2), ("a", at(30), 12.0, 2)), K, ["ingested_at"], "obs_date")
+    assert seen == [[("a", at(0), 1.0), ("a", at(30), 2.0)]]
+    assert content(spark, path, old.schema) == [("a", at(0), 11.0), ("a", at(30), 12.0)]
+    assert sorted(r["x"] for r in started.collect()) == [1.0, 2.0]      # a plan made before the write keeps its state
+
+
+def test_clean_leaves_what_readers_see(spark):
+    path = run_dir(spark, "t")
+    for k in range(4):
+        tb.upsert(spark, path, rows(spark, ("a", at(0), float(k), k), ("a", at(24 * (1 + k % 2)), 5.0 + k, k)), K, ["ingested_at"], "obs_date")
+    want = content(spark, path, rows(spark, ("a", at(0), 0.0, 1)).schema)
+    assert tb.clean(spark, path, keep=1) == 2 and tb.clean(spark, path, keep=1) == 0
+    assert content(spark, path, rows(spark, ("a", at(0), 0.0, 1)).schema) == want == [("a", at(0), 3.0), ("a", at(24), 7.0), ("a", at(48), 8.0)]
+
+
+def test_rows_without_a_day_are_kept(spark):
+    path = run_dir(spark, "t")
+    df = spark.createDataFrame([("a", at(5), 1.0, 1), ("a", at(0), 2.0, 1)], "location_hash string, timestamp timestamp, x double, ingested_at int").withColumn("obs_date", F.when(F.col("x") > 1, F.to_date("timestamp")))
+    tb.upsert(spark, path, df, K, ["ingested_at"], "obs_date")
+    tb.upsert(spark, path, df.withColumn("x", F.col("x") + 5).withColumn("ingested_at", F.lit(2)).where("obs_date is null"), K, ["ingested_at"], "obs_date")
+    tb.insert_if_absent(spark, path, df, K, "obs_date")
+    assert sorted(r["x"] for r in tb.read_table(spark, path, df.schema).collect()) == [2.0, 6.0]
 
 
 def test_backfill_goes_on_where_it_stopped(spark, monkeypatch):
+    monkeypatch.setattr(tb, "BATCHES", 2)
     path = run_dir(spark, "t")
-    df = spark.createDataFrame([(b, "x") for b in range(4)], "batch int, v string")
-    mark = tb._Folder.mark
+    df = spark.createDataFrame([(b, "x") for b in (None, 0, 1, 2, 3)], "batch int, v string")
+    frame, writes = type(spark.range(1)), []
+    coalesce = frame.coalesce
 
-    def dying(self, *names):
-        if names[-1] == "batch=2":
+    def dying(self, n):
+        writes.append(1)
+        if len(writes) == 2:
             raise RuntimeError("gone")
-        mark(self, *names)
+        return coalesce(self, n)
 
     with monkeypatch.context() as m:
-        m.setattr(tb._Folder, "mark", dying)
+        m.setattr(frame, "coalesce", dying)
         with pytest.raises(RuntimeError):
             tb.backfill_write(spark, df, path)
     assert tb.backfill_write(spark, df.withColumn("v", F.lit("y")), path) == 2
-    got = sorted(tuple(r) for r in spark.read.schema(df.schema).parquet(path).select("batch", "v").collect())
-    assert got == [(0, "x"), (1, "x"), (2, "y"), (3, "y")]
+    got = {r["batch"]: r["v"] for r in tb.read_table(spark, path, df.schema).collect()}
+    assert got == {None: "x", 0: "x", 1: "y", 2: "y", 3: "y"}
 
 
 def test_backfill_skips_finished_batches(spark):
     path = run_dir(spark, "t")
-    df = spark.createDataFrame([(1, "x"), (2, "y")], "batch int, v string")
+    df = spark.createDataFrame([(1, "x"), (2, "y"), (None, "n")], "batch int, v string")
     assert tb.backfill_write(spark, df.where("batch = 1"), path) == 0
     assert tb.backfill_write(spark, df.withColumn("v", F.lit("z")), path) == 1
-    assert sorted(tuple(r) for r in spark.read.schema(df.schema).parquet(path).select("batch", "v").collect()) == [(1, "x"), (2, "z")]
+    assert {(r["batch"], r["v"]) for r in tb.read_table(spark, path, df.schema).collect()} == {(1, "x"), (2, "z"), (None, "z")}
 
 
 def test_registry(spark):

@@ -147,7 +147,7 @@ def snk1(spark, sf):
     )
     for rows in (first, late, late):
         tb.upsert(spark, path, rows, K, ["version"], "obs_date")
-    return rounded(spark.read.schema(first.schema).parquet(path).select(*K, "pm25", "no2", "version"))
+    return rounded(tb.read_table(spark, path, first.schema).select(*K, "pm25", "no2", "version"))
 
 
 @query("snk2_insert_if_absent", f"select {KEYS}, {r('case when hour(timestamp) < 12 then pm25 else pm25 + 100 end as pm25')} from t_obs")
@@ -158,7 +158,7 @@ def snk2(spark, sf):
     more = rows.withColumn("pm25", F.col("pm25") + 100)
     for _ in range(2):
         tb.insert_if_absent(spark, path, more, K, "obs_date")
-    return rounded(spark.read.schema(rows.schema).parquet(path).select(*K, "pm25"))
+    return rounded(tb.read_table(spark, path, rows.schema).select(*K, "pm25"))
 
 
 @query(
@@ -206,7 +206,7 @@ def snk5(spark, sf):
     tb.backfill_write(spark, rows.where("batch < 2"), path)
     again = rows.withColumn("pm25", F.when(F.col("batch") < 2, F.lit(-1.0)).otherwise(F.col("pm25")))
     tb.backfill_write(spark, again, path)
-    return rounded(spark.read.schema(rows.schema).parquet(path))
+    return rounded(tb.read_table(spark, path, rows.schema))
 
 
 @query(
@@ -216,10 +216,10 @@ def snk5(spark, sf):
 def snk6(spark, sf):
     path = run_dir(spark, "prune")
     rows = dated(obs(spark, sf).select(*K, "pm25"))
-    rows.write.partitionBy("obs_date").parquet(path)
+    tb.upsert(spark, path, rows, K, [], "obs_date")
     as_of = rows.agg(F.max("timestamp")).first()[0]
     tb.prune(spark, path, "timestamp", "obs_date", as_of, 10)
-    return rounded(spark.read.schema(rows.schema).parquet(path).select(*K, "pm25"))
+    return rounded(tb.read_table(spark, path, rows.schema).select(*K, "pm25"))
 
 
 @query(

@@ -1,6 +1,6 @@
 """A trained run as a folder: models, scales, weights, quantiles, scores and card, for a job in another session.
 
-The folder counts only with its mark, which is written last; a save that died is written anew.
+The folder counts only with its list of models, which is written last; a save that died is written anew.
 """
 
 from __future__ import annotations
@@ -8,16 +8,16 @@ from __future__ import annotations
 import hashlib
 from dataclasses import fields
 
+from pyspark.errors import AnalysisException
 from pyspark.ml.regression import GBTRegressionModel, LinearRegressionModel, RandomForestRegressionModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vayuspark.operators.windows import TIME
 from vayuspark.plans.training import Run, Settings, run_training
 from vayuspark.session import shared_dir
-from vayuspark.sources.tables import COMPLETE, _Folder
 from vayuspark.vocab import MEMBERS, POLLUTANTS
 
 KINDS = {"huber": LinearRegressionModel, "gbt": GBTRegressionModel, "rf": RandomForestRegressionModel}
+COMPLETE, MODELS = "complete", "member string, pollutant string"
 TABLES = [f.name for f in fields(Run) if f.name != "models"]
 
 
@@ -27,28 +27,37 @@ def save_run(run: Run, path: str) -> None:
         model.write().overwrite().save(f"{path}/models/{member}/{pollutant}")
     for name in TABLES:
         getattr(run, name).write.mode("overwrite").parquet(f"{path}/{name}")
-    _Folder(spark, path).mark(COMPLETE)
+    spark.createDataFrame(list(run.models), MODELS).coalesce(1).write.mode("overwrite").parquet(f"{path}/{COMPLETE}")
 
 
 def load_run(spark: SparkSession, path: str) -> Run | None:
     """The run, or None where no whole one is."""
-    folder = _Folder(spark, path)
-    if not folder.has(COMPLETE):
+    try:
+        names = [(r["member"], r["pollutant"]) for r in spark.read.schema(MODELS).parquet(f"{path}/{COMPLETE}").collect()]
+    except AnalysisException:
         return None
-    members = set(folder.names("models"))
-    models = {
-        (m, p): KINDS[m].load(f"{path}/models/{m}/{p}")
-        for p in POLLUTANTS for m in MEMBERS if m in members and folder.has("models", m, p)
-    }
+    models = {(m, p): KINDS[m].load(f"{path}/models/{m}/{p}") for p in POLLUTANTS for m in MEMBERS if (m, p) in names}
     return Run(models=models, **{name: spark.read.parquet(f"{path}/{name}") for name in TABLES})
 
 
+def _content(df: DataFrame) -> tuple:
+    """A few numbers that change with any row."""
+    return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*sorted(df.columns)).cast("decimal(38,0)"))).first())
+
+
+def run_path(obs: DataFrame, nodes: DataFrame, settings: Settings, version: str) -> str:
+    """The folder of a run: named by its settings and by the rows of both tables."""
+    key = hashlib.sha256(repr((settings, version, _content(obs), _content(nodes))).encode()).hexdigest()[:16]
+    return f"{shared_dir(obs.sparkSession)}/trained-{key}"
+
+
+def trained_anew(obs: DataFrame, nodes: DataFrame, settings: Settings, version: str) -> Run:
+    """Train and store, whatever is there."""
+    path = run_path(obs, nodes, settings, version)
+    save_run(run_training(obs, nodes, settings, version), path)
+    return load_run(obs.sparkSession, path)
+
+
 def trained_once(obs: DataFrame, nodes: DataFrame, settings: Settings, version: str) -> Run:
-    """The stored run of these settings over these hours; it is trained and stored if there is none."""
-    spark = obs.sparkSession
-    data = obs.agg(F.count(F.lit(1)), F.min(TIME), F.max(TIME), F.sum(F.xxhash64(*obs.columns).cast("decimal(38,0)"))).first()
-    key = hashlib.sha256(repr((settings, version, tuple(data))).encode()).hexdigest()[:16]
-    path = f"{shared_dir(spark)}/trained-{key}"
-    if load_run(spark, path) is None:
-        save_run(run_training(obs, nodes, settings, version), path)
-    return load_run(spark, path)
+    """The stored run of these settings over these rows; it is trained and stored if there is none."""
+    return load_run(obs.sparkSession, run_path(obs, nodes, settings, version)) or trained_anew(obs, nodes, settings, version)

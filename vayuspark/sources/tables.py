@@ -1,104 +1,103 @@
 """Keyed Parquet tables: upsert, insert-if-absent, registry, backfill, retention.
 
-A table is a folder partitioned by a date column. Whole new partitions are written next to it, under `_staged` (which
-readers skip), and marked complete before the first old one goes. A job that dies in between loses nothing: the next
-call on the table finishes the swap of a complete set and drops an incomplete one. One writer at a time.
+A table is a folder with two Parquet tables that are only ever added to. `data` has whole partitions, each below the number
+of the write that made it. `commits` has a row for each partition that a write replaced, added as one file when its data are
+whole. What a reader sees of a partition is its newest committed write, so a reader never writes, sees all partitions of a
+write or none, and a job that dies leaves nothing that counts: the next write takes its number and replaces its files. One
+writer at a time. `clean` removes what no reader sees any more.
 """
 
 from __future__ import annotations
 
-import uuid
 from datetime import date, datetime, timedelta
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from vayuspark.functions.calendar import as_ts
 from vayuspark.operators.windows import keep_last
 from vayuspark.session import cut_lineage
 
 
-STAGED, FINISHED, COMPLETE = "_staged", "_finished", "_COMPLETE"
+DATA, COMMITS, WRITE = "data", "commits", "write_number"
+_COMMIT = T.StructType().add(WRITE, T.LongType()).add("column", T.StringType()).add("part", T.StringType())
 #: Partition values that a filter names one by one; beyond, it names the range they span.
 MOST_VALUES = 1000
+#: Batches of a backfill in one pass over its input.
+BATCHES = 32
 
 
-class _Folder:
-    """The few file operations a swap needs, on whatever file system the path is on."""
+def _commits(spark: SparkSession, path: str) -> DataFrame:
+    try:
+        return spark.read.schema(_COMMIT).parquet(f"{path}/{COMMITS}")
+    except AnalysisException:
+        return spark.createDataFrame([], _COMMIT)
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.path_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        self.path = path
-        self.fs = self.path_of(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def at(self, *names: str):
-        return self.path_of("/".join([self.path, *names]))
+def _newest(spark: SparkSession, path: str) -> list:
+    """The newest write of each partition: as many rows as the table has had partitions."""
+    return _commits(spark, path).groupBy("column", "part").agg(F.max(WRITE).alias(WRITE)).collect()
 
-    def names(self, *below: str) -> list[str]:
-        at = self.at(*below)
-        return sorted(s.getPath().getName() for s in self.fs.listStatus(at)) if self.fs.exists(at) else []
 
-    def has(self, *names: str) -> bool:
-        return self.fs.exists(self.at(*names))
+def _place(column: str) -> Column:
+    return F.concat_ws("/", F.col(WRITE).cast("string"), F.coalesce(F.col(column).cast("string"), F.lit("")))
 
-    def mark(self, *names: str) -> None:
-        self.fs.create(self.at(*names), True).close()
 
-    def delete(self, *names: str) -> None:
-        self.fs.delete(self.at(*names), True)
+def _current(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame | None:
+    """What the newest writes have of each partition; only their folders are read. None before the first write."""
+    newest = _newest(spark, path)
+    if not newest:
+        return None
+    reader = spark.read if schema is None else spark.read.schema(T.StructType([*schema.fields, _COMMIT[WRITE]]))
+    data = reader.parquet(f"{path}/{DATA}")
+    kept = data.where(_place(newest[0]["column"]).isin([f"{r[WRITE]}/{r['part'] or ''}" for r in newest]))
+    return kept.drop(WRITE) if schema is None else kept.select(*schema.names)
 
-    def move(self, source: tuple, target: tuple) -> None:
-        self.fs.mkdirs(self.at(*target).getParent())
-        if not self.fs.rename(self.at(*source), self.at(*target)):
-            raise OSError(f"{self.at(*source)} could not become {self.at(*target)}")
 
+def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The table, or an empty one with the schema when nothing was written yet."""
+    found = _current(spark, path, schema)
+    return spark.createDataFrame([], schema) if found is None else found
 
-def recover(spark: SparkSession, path: str) -> None:
-    """Finish swaps that were complete when their job died, drop the others."""
-    folder = _Folder(spark, path)
-    for run in folder.names(STAGED):
-        if folder.has(STAGED, run, COMPLETE):
-            _swap(folder, run)
-        else:
-            folder.delete(STAGED, run)
 
+def touched(rows: DataFrame, partition: str) -> list:
+    """The partitions that rows have; there are as many as a batch has days."""
+    return [r[0] for r in rows.select(partition).distinct().collect()]
 
-def _swap(folder: _Folder, run: str) -> None:
-    """Each staged partition takes the place of the old one; can be repeated at any point."""
-    for name in folder.names(STAGED, run):
-        if "=" in name:
-            folder.delete(name)
-            folder.move((STAGED, run, name), (name,))
-    folder.delete(STAGED, run)
 
+def replace_partitions(rows: DataFrame, path: str, partition: str, parts: list) -> None:
+    """The given partitions are what `rows` has of them from now on; rows of no other may be given.
+
+    Spark sizes the files and splits a partition too big for one task.
+    """
+    if not parts:
+        return
+    spark = rows.sparkSession
+    number = _commits(spark, path).agg(F.coalesce(F.max(WRITE), F.lit(0)) + 1).first()[0]
+    rows.hint("rebalance", partition).write.mode("overwrite").partitionBy(partition).parquet(f"{path}/{DATA}/{WRITE}={number}")
+    done = spark.createDataFrame([(number, partition, None if p is None else str(p)) for p in parts], _COMMIT)
+    done.coalesce(1).write.mode("append").parquet(f"{path}/{COMMITS}")
 
-def read_table(spark: SparkSession, path: str, schema) -> DataFrame:
-    """The table, or an empty one with the schema when nothing was written yet."""
-    recover(spark, path)
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
 
+def clean(spark: SparkSession, path: str, keep: int = 2) -> int:
+    """Delete the data of writes that are no partition's newest, but for the last `keep`; returns how many writes went.
 
-def replace_partitions(df: DataFrame, path: str, partition: str) -> None:
-    """Swap in whole partitions. Spark sizes the files, splitting a partition too big for one task."""
-    spark, run = df.sparkSession, uuid.uuid4().hex
-    recover(spark, path)
-    df.hint("rebalance", partition).write.partitionBy(partition).parquet(f"{path}/{STAGED}/{run}")
-    folder = _Folder(spark, path)
-    folder.mark(STAGED, run, COMPLETE)
-    _swap(folder, run)
-    spark.catalog.refreshByPath(path)
+    For a time when no reader is at work on an older state.
+    """
+    newest = {r[WRITE] for r in _newest(spark, path)}
+    numbers = sorted(r[0] for r in _commits(spark, path).select(WRITE).distinct().collect())
+    file_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = file_path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    old = [n for n in numbers[: len(numbers) - keep] if n not in newest]
+    return sum(files.delete(file_path(f"{path}/{DATA}/{WRITE}={n}"), True) for n in old)
 
 
-def only(existing: DataFrame, rows: DataFrame, partition: str) -> DataFrame:
-    """What `existing` has in the partitions of `rows`, named as values, so that no other folder is read.
+def only(existing: DataFrame, parts: list, partition: str) -> DataFrame:
+    """What `existing` has in some partitions, named as values, so that no other folder is read.
 
-    There are as many values as the rows touch partitions; a batch over very many is read by their range.
+    A batch over very many is read by their range.
     """
-    values = [r[0] for r in rows.select(partition).distinct().collect()]
-    known = [v for v in values if v is not None]
+    known = [v for v in parts if v is not None]
     column = F.col(partition)
     if not known:
         kept = F.lit(False)
@@ -106,7 +105,7 @@ def only(existing: DataFrame, rows: DataFrame, partition: str) -> DataFrame:
         kept = column.isin(known)
     else:
         kept = column.between(min(known), max(known))
-    return existing.where(kept | column.isNull() if None in values else kept)
+    return existing.where(kept | column.isNull() if None in parts else kept)
 
 
 def merge_rows(existing: DataFrame, rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -116,17 +115,24 @@ def merge_rows(existing: DataFrame, rows: DataFrame, keys: list[str], order: lis
 
 def upsert(spark: SparkSession, path: str, rows: DataFrame, keys: list[str], order: list[str], partition: str) -> None:
     rows = cut_lineage(rows, "rows")        # read twice below, whatever it takes to work them out
-    existing = only(read_table(spark, path, rows.schema), rows, partition)
-    replace_partitions(merge_rows(existing.select(*rows.columns), rows, keys, order), path, partition)
+    parts = touched(rows, partition)
+    existing = only(read_table(spark, path, rows.schema), parts, partition)
+    if len([p for p in parts if p is not None]) > MOST_VALUES:      # read by a range: no other partition may be written
+        existing = existing.join(rows.select(partition).distinct(), existing[partition].eqNullSafe(rows[partition]), "left_semi")
+    replace_partitions(merge_rows(existing.select(*rows.columns), rows, keys, order), path, partition, parts)
 
 
 def insert_if_absent(spark: SparkSession, path: str, rows: DataFrame, keys: list[str], partition: str, order: list[str] | None = None) -> None:
-    """Append rows with new keys; existing rows win. Only the partitions that `rows` has are looked at."""
+    """Rows with new keys; existing rows win. Only the partitions that get rows are written again."""
     rows = cut_lineage(rows, "rows")
-    existing = only(read_table(spark, path, rows.schema), rows, partition)
-    fresh = keep_last(rows, keys, order).join(existing.select(*keys), keys, "left_anti").select(*rows.columns)
-    fresh.hint("rebalance", partition).write.mode("append").partitionBy(partition).parquet(path)
-    spark.catalog.refreshByPath(path)
+    table = read_table(spark, path, rows.schema)
+    existing = only(table, touched(rows, partition), partition)
+    fresh = cut_lineage(keep_last(rows, keys, order).join(existing.select(*keys), keys, "left_anti").select(*rows.columns), "fresh")
+    parts = touched(fresh, partition)
+    kept = only(table, parts, partition)
+    if len([p for p in parts if p is not None]) > MOST_VALUES:
+        kept = kept.join(fresh.select(partition).distinct(), kept[partition].eqNullSafe(fresh[partition]), "left_semi")
+    replace_partitions(kept.select(*rows.columns).unionByName(fresh), path, partition, parts)
 
 
 def register_model(registry: DataFrame, cards: DataFrame, now) -> DataFrame:
@@ -157,19 +163,18 @@ def upsert_nodes(nodes: DataFrame, rows: DataFrame, now) -> DataFrame:
     )
 
 
-def backfill_write(spark: SparkSession, rows: DataFrame, parts: str, batch: str = "batch") -> int:
-    """Write the batches that are not finished yet, one folder each; returns how many were finished before.
+def backfill_write(spark: SparkSession, rows: DataFrame, path: str, batch: str = "batch") -> int:
+    """Write the batches that are not there yet, a null batch like any other; returns how many were there before.
 
-    Each batch is a write of its own and gets a mark when it is whole, so a run that died goes on where it stopped.
+    `BATCHES` batches are one write, which counts when it is whole, so a run that died goes on where it stopped.
     """
-    folder = _Folder(spark, parts)
-    done = set(folder.names(FINISHED))
-    named = rows.select(batch, F.concat(F.lit(f"{batch}="), F.col(batch).cast("string")).alias("folder")).distinct()
-    for value, name in sorted((r[0], r[1]) for r in named.where(F.col(batch).isNotNull()).collect()):
-        if name not in done:
-            rows.where(F.col(batch) == F.lit(value)).drop(batch).write.mode("overwrite").parquet(f"{parts}/{name}")
-            folder.mark(FINISHED, name)
-    spark.catalog.refreshByPath(parts)
+    done = {r["part"] for r in _newest(spark, path)}
+    text = F.col(batch).cast("string")
+    missing = sorted((r[0] for r in rows.select(text).distinct().collect() if r[0] not in done), key=lambda x: (x is not None, x))
+    for low in range(0, len(missing), BATCHES):
+        some = missing[low : low + BATCHES]
+        known = [x for x in some if x is not None]
+        replace_partitions(rows.where(text.isin(known) | text.isNull() if None in some else text.isin(known)), path, batch, some)
     return len(done)
 
 
@@ -188,25 +193,20 @@ def prune_rows(table: DataFrame, column: str, cutoff) -> DataFrame:
 def prune(spark: SparkSession, path: str, column: str, partition: str, as_of: datetime, keep_days: int) -> dict[str, int]:
     """Drop rows strictly older than the cutoff from a table partitioned by the day of `column`; how many went and stay.
 
-    Older days go as whole folders, only the day of the cutoff is rewritten. A table that is empty or not there stays so.
+    Older days go as a whole and are only counted, the day of the cutoff is written again. A table that is empty or not
+    there stays so.
     """
     cutoff = as_of - timedelta(days=keep_days)
-    recover(spark, path)
-    try:
-        table = spark.read.parquet(path)
-    except AnalysisException:
+    table = _current(spark, path)
+    if table is None:
         return {"dropped": 0, "kept": 0}
-    counts = prune_counts(table, column, cutoff, path).first()
-    edge = table.where(F.col(partition) == F.lit(cutoff.date()))
-    kept = prune_rows(edge, column, cutoff)
-    edge_is_empty = kept.isEmpty()
-    if not edge_is_empty and not edge.where(F.col(column) < as_ts(cutoff)).isEmpty():
-        replace_partitions(kept, path, partition)
-    folder = _Folder(spark, path)
-    for name in folder.names():
-        if name.startswith(f"{partition}=") and not name.endswith("__HIVE_DEFAULT_PARTITION__"):
-            day = date.fromisoformat(name.split("=", 1)[1])
-            if day < cutoff.date() or (edge_is_empty and day == cutoff.date()):
-                folder.delete(name)
-    spark.catalog.refreshByPath(path)
-    return {"dropped": counts["dropped"], "kept": counts["kept"]}
+    sizes = {r[partition]: r["count"] for r in table.where(F.col(partition).isNotNull()).groupBy(partition).count().collect()}
+    sizes = {d if isinstance(d, date) else date.fromisoformat(d): n for d, n in sizes.items()}
+    day = table.where(F.col(partition) == F.lit(cutoff.date()))
+    edge = prune_counts(day, column, cutoff, path).first()
+    gone = [d for d in sizes if d < cutoff.date()]
+    if edge["dropped"]:
+        gone.append(cutoff.date())
+    replace_partitions(prune_rows(day, column, cutoff), path, partition, gone)
+    later = sum(n for d, n in sizes.items() if d > cutoff.date())
+    return {"dropped": edge["dropped"] + sum(n for d, n in sizes.items() if d < cutoff.date()), "kept": edge["kept"] + later}
