@@ -46,11 +46,74 @@ def test_whole_pass_twice(spark):
     out = run_dir(spark, "snapshot")
     batch.export_job(t, at(24 * 8 + 20), out)
     lines = [json.loads(r["value"]) for r in spark.read.text(out).collect()]
-    node = json.loads(next(x for x in lines if x["id"] == "aaaa0001")["value"])
+    node = next(x for x in lines if x["id"] == "aaaa0001")["value"]
     assert len(node["forecast"]) == 24 and node["map"]["name"] == "A" and node["forecast"][0]["hours_ahead"] == 1
-    assert next(x for x in lines if x["kind"] == "skill")["id"] == "v1"
+    head = next(x for x in lines if x["kind"] == "skill")
+    assert head["id"] == "v1" == head["value"]["skill"]["model_version"] and head["value"]["generated_at"] == "2026-01-09T20:00:00"
+    assert head["value"]["skill"]["trained_at"] is None and [x["hours_ahead"] for x in head["value"]["skill"]["live_by_horizon"]] == list(range(1, 25))
     batch.skill_job(t, later, rescore=True)
     assert t.read("forecast_skill").count() == 24
     batch.prune_job(t, later, 5, 1)
     assert t.read("raw_observations").agg(F.min("timestamp")).first()[0] == at(24 * 5)
     assert t.read("aqi_forecasts").count() == 0
+
+
+TINY = dict(
+    val_days=1, test_days=1, stride=6, train_draws=2, val_draws=1, train_samples=40, gbt={"maxIter": 2, "maxDepth": 2, "stepSize": 0.3},
+    rf={"numTrees": 3, "maxDepth": 3}, huber={"maxIter": 5, "regParam": 0.01, "epsilon": 1.35},
+)
+
+
+def test_jobs_from_nodes_to_forecast_twice(spark):
+    """nodes, backfill, proxy, train, all, all again: the tables of the second pass equal those of the first."""
+    from vayuspark.plans.promotion import champion
+    from vayuspark.plans.training import Settings
+
+    t = batch.Tables(spark, run_dir(spark, "tables"))
+    batch.nodes_job(t, at(0), 6.0)
+    known = t.read("grid_nodes")
+    assert known.where("kind = 'city'").count() == 112 and known.where("kind = 'grid'").count() > 5
+    two = [r["location_hash"] for r in known.orderBy("location_hash").limit(2).collect()]
+    rename = lambda df: df.withColumn("location_hash", F.when(F.col("location_hash") == "aaaa0001", two[0]).otherwise(two[1]))
+    weather, air = (rename(payloads(spark, n, i)).cache() for i, n in enumerate((WEATHER_NAMES, AIR_NAMES), 1))
+    issue = at(24 * 10 + 0)
+    assert batch.backfill_job(t, weather, air, issue, batches=4) == 0
+    assert batch.backfill_job(t, weather, air, issue, batches=4, to_tables=False) > 0
+    assert t.read("raw_observations").count() == 2 * (24 * 10 + 1)
+    batch.proxy_job(t)
+    obs = t.read("raw_observations")
+    assert batch.train_job(t, issue, Settings(**TINY), "one", obs, known).first()["promote"]
+    assert champion(spark, t.root)["model_version"] == "one"
+    state = []
+    for _ in range(2):
+        batch.all_job(t, weather, air, issue)
+        state.append([sorted(map(str, t.read(n).drop("computed_at", "ingested_at", "evaluated_at").collect())) for n in ("raw_observations", "aqi_computed", "aqi_forecasts", "forecast_skill")])
+    assert state[0] == state[1] and len(state[0][2]) == 48
+    assert t.read("model_registry").first()["model_version"] == "one"
+
+
+def test_champion_is_scored_on_the_candidates_hours(spark, monkeypatch):
+    """No champion, an equal one, a better one, one that is worse; the pointer moves only for the first, second and last."""
+    from helpers import nodes2, raw_frame, to_spark
+    from vayuspark.plans import artefacts, promotion
+    from vayuspark.plans.training import Settings, run_training
+
+    obs, nodes, registry = to_spark(spark, raw_frame(24 * 14)).cache(), nodes2(spark), run_dir(spark, "registry")
+    path = f"{registry}/runs/a"
+    run = run_training(obs, nodes, Settings(**TINY), "a", ["huber", "rf"], trained_at=at(5))
+    card = json.loads(run.card.first()["card"])
+    assert card["trained_at"].startswith("2026-01-01T05") and card["data"]["source"] == "table" and len(card["data"]["test_period"]) == 2 and card["architecture"]["train_minutes"] >= 0
+    artefacts.save_run(run, path)
+    again = promotion.score_run(artefacts.load_run(spark, path), run.test, ft.hour_frame(obs, nodes)).where("model = 'ensemble'").first()["aqi_mae"]
+    assert abs(again - run.scores.where("model = 'ensemble'").first()["aqi_mae"]) < 1e-6
+    first = promotion.challenge(spark, registry, path, obs, nodes, at(1)).first()
+    assert first["promote"] and first["champion"] is None
+    second = promotion.challenge(spark, registry, path, obs, nodes, at(2)).first()
+    assert second["promote"] and abs(second["champion"] - second["candidate"]) < 1e-6
+    score = promotion.score_run
+    for hour, factor, promoted in ((3, 0.5, False), (4, 2.0, True)):
+        monkeypatch.setattr(promotion, "score_run", lambda *a, f=factor: score(*a).withColumn("aqi_mae", F.col("aqi_mae") * f))
+        assert promotion.challenge(spark, registry, path, obs, nodes, at(hour)).first()["promote"] is promoted
+    rows = promotion.champions(spark, registry).orderBy("promoted_at").collect()
+    assert [r["promoted_at"] for r in rows] == [at(1), at(2), at(4)] and promotion.champion(spark, registry)["run"] == path
+    assert all(json.loads(r["card"])["model_version"] == "a" for r in rows)

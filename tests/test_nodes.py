@@ -127,7 +127,10 @@ def test_search(spark):
     ).withColumns({"lat": F.lit(1.0), "lon": F.lit(1.0)})
     got = [(r["query"], r["location_hash"]) for r in nd.search_nodes(n, [" AGRA ", "", "pu"], 12).orderBy("query", "place").collect()]
     assert got == [("agra", "1"), ("agra", "2"), ("pu", "3")]
-    assert nd.search_nodes(n, ["  "]).count() == 0
+    assert nd.search_nodes(n, ["  "]).count() == 0 and nd.search_nodes(n, []).count() == 0
+    table = spark.createDataFrame([("Agra",), ("agra ",), (None,), ("g",), ("une",), ("near  agra",), ("UP",), ("xyz",)], "query string")
+    hits = sorted((r["query"], r["place"], r["location_hash"]) for r in nd.search_nodes(n, table, 2).collect())
+    assert hits == [("agra", 1, "1"), ("agra", 2, "2"), ("g", 1, "1"), ("g", 2, "2"), ("une", 1, "3"), ("up", 1, "1"), ("up", 2, "2")]
 
 
 def test_training_nodes_stride(spark):

@@ -172,16 +172,27 @@ def w16(spark, sf):
     return rounded(ft.history_conc(split(fr, "test"), fr))
 
 
-@query("m3_subsample")
+def draw_sql(*parts):
+    """The number that `_draw` makes of some texts."""
+    return f"cast('0x' || substr(md5({' || $$|$$ || '.join(parts)}), 1, 15) as bigint)"
+
+
+_TIME_TEXT = "strftime(timestamp, '%Y-%m-%d %H:%M:%S')"
+
+
+@query("m3_subsample", f"select {KEYS}, {r('pm25')} from t_obs order by {draw_sql('location_hash', _TIME_TEXT, '$$3$$')}, location_hash, timestamp limit 1000")
 def m3(spark, sf):
-    return ft.subsample(b.observations(spark, sf).select(*K, "pm25"), K, 1000, seed=3)
+    return rounded(ft.subsample(b.observations(spark, sf).select(*K, "pm25"), K, 1000, seed=3))
 
 
-@query("m5_random_horizons")
+@query(
+    "m5_random_horizons",
+    f"select {KEYS}, cast(i as int) as draw, cast({draw_sql('location_hash', _TIME_TEXT, 'cast(i as varchar)', '$$1$$')} % 24 + 1 as int) as horizon from t_split8 cross join (select unnest(range(6)) as i) where split = 'train'",
+)
 def m5(spark, sf):
-    """How often each lead time is drawn, six draws per training sample."""
+    """The lead times of six draws for each training sample."""
     draws = ft.random_horizons(split(frame(spark, sf), "train"), 6, seed=1)
-    return draws.select(F.explode("leads").alias("horizon")).groupBy("horizon").agg(F.count(F.lit(1)).alias("n"))
+    return draws.select(*K, F.posexplode("leads").alias("draw", "horizon"))
 
 
 # ---- candidates and scores ---------------------------------------------------------------------

@@ -174,13 +174,14 @@ def s4(spark, sf):
 @query(
     "snk7_export_snapshot",
     f"""with l as (select * from t_aqi8 qualify row_number() over (partition by location_hash order by timestamp desc) = 1),
-    f as (select location_hash, count(*) as n from {NEWEST} group by 1),
-    h as (select location_hash, count(*) as n from t_aqi8 where timestamp >= (select max(timestamp) - interval 72 hours from l) group by 1)
-    select 'node' as kind, location_hash as id, cast(coalesce(f.n, 0) as int) as forecast_hours, cast(coalesce(h.n, 0) as int) as history_hours, l.aqi as aqi
-    from l left join f using (location_hash) left join h using (location_hash) union all select 'skill', 'seasonal', null, null, null""",
+    f as (select location_hash, string_agg(strftime(forecast_target_time, '%Y-%m-%dT%H') || ' ' || hours_ahead || ' ' || aqi || ' ' || aqi_category, ';' order by forecast_target_time) as x from {NEWEST} group by 1),
+    h as (select location_hash, string_agg(strftime(timestamp, '%Y-%m-%dT%H') || ' ' || coalesce(cast(aqi as varchar), 'null'), ';' order by timestamp) as x from t_aqi8 where timestamp >= (select max(timestamp) - interval 72 hours from l) group by 1)
+    select 'node' as kind, location_hash as id, upper(location_hash) as name, cast(null as varchar) as generated_at, coalesce(f.x, '') as forecast, coalesce(h.x, '') as history, l.aqi as aqi, l.aqi_category as category
+    from l left join f using (location_hash) left join h using (location_hash)
+    union all select 'skill', 'seasonal', 'seasonal', strftime((select t from t_as_of), '%Y-%m-%dT%H:%M:%S'), '', '', null, null""",
 )
 def snk7(spark, sf):
-    """One JSON line per node, written as text and read back."""
+    """One JSON line per node with its forecast and history hours, and the head line, written as text and read back."""
     from vayuspark.session import run_dir
 
     obs8, aqi8, fc = tables(spark, sf)
@@ -189,10 +190,17 @@ def snk7(spark, sf):
         "model_version", F.to_json(F.struct("model_version", "n")).alias("card"), "last_used_at"
     )
     path = run_dir(spark, "snapshot")
-    sv.snapshot_lines(aqi8, fc, n8, b.last_hour(spark, sf), registry).select(F.to_json(F.struct("*")).alias("value")).write.text(path)
-    line = spark.read.text(path).select(F.from_json("value", "kind string, id string, value string").alias("l")).select("l.*")
-    return line.select(
-        "kind", "id", F.json_array_length(F.get_json_object("value", "$.forecast")).alias("forecast_hours"),
-        F.json_array_length(F.get_json_object("value", "$.history")).alias("history_hours"),
-        F.get_json_object("value", "$.node.aqi").cast("int").alias("aqi"),
+    sv.as_json(sv.snapshot_lines(aqi8, fc, n8, b.last_hour(spark, sf), registry)).write.text(path)
+    detail = (
+        "kind string, id string, value struct<generated_at string, skill struct<model_version string>, map struct<name string>, node struct<aqi int, aqi_category string>, "
+        "forecast array<struct<forecast_target_time string, hours_ahead int, aqi int, aqi_category string>>, history array<struct<timestamp string, aqi int>>>"
+    )
+    v = spark.read.text(path).select(F.from_json("value", detail).alias("l")).select("l.kind", "l.id", "l.value.*")
+    hour = lambda c: F.substring(c, 1, 13)
+    text = lambda c, f: F.coalesce(F.array_join(F.transform(c, f), ";"), F.lit(""))
+    return v.select(
+        "kind", "id", F.coalesce("map.name", "skill.model_version").alias("name"), "generated_at",
+        text("forecast", lambda x: F.concat_ws(" ", hour(x["forecast_target_time"]), x["hours_ahead"].cast("string"), x["aqi"].cast("string"), x["aqi_category"])).alias("forecast"),
+        text("history", lambda x: F.concat_ws(" ", hour(x["timestamp"]), F.coalesce(x["aqi"].cast("string"), F.lit("null")))).alias("history"),
+        F.col("node.aqi").alias("aqi"), F.col("node.aqi_category").alias("category"),
     )

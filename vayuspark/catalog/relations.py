@@ -415,11 +415,16 @@ TEXTS = ["Customer#00000001", "  india ", "KENYA", "zzz", "", "9"]
 
 @query(
     "s3_search_nodes",
-    "select * from (select q as query, location_hash, row_number() over (partition by q order by case when kind = 'city' then 0 else 1 end, location_name, location_hash) as place from t_nodes, "
-    "(select unnest(['customer#00000001','india','kenya','zzz','9']) as q) where contains(lower(location_name), q) or contains(lower(state), q)) where place <= 12",
+    "with q as (select distinct lower(trim(x)) as q from (select unnest(['customer#00000001','india','kenya','zzz','9','a ']) as x union all select substr(c_name, 10 + c_custkey % 4, 3 + c_custkey % 5) from customer union all select n_name from nation) where trim(x) <> '') "
+    "select * from (select q as query, location_hash, row_number() over (partition by q order by case when kind = 'city' then 0 else 1 end, location_name, location_hash) as place from t_nodes, q "
+    "where contains(lower(location_name), q) or contains(lower(state), q)) where place <= 12",
 )
 def s3(spark, sf):
-    found = nd.search_nodes(b.nodes(spark, sf), TEXTS)
+    """Texts of every customer's and nation's name, and a few of any length, as a table."""
+    customers = b.table(spark, sf, "customer").select(F.substring(F.col("c_name"), (F.lit(10) + F.col("c_custkey") % 4).cast("int"), (F.lit(3) + F.col("c_custkey") % 5).cast("int")).alias("query"))
+    few = spark.createDataFrame([(t,) for t in [*TEXTS, "a "]], "query string")
+    texts = customers.unionByName(b.table(spark, sf, "nation").select(F.col("n_name").alias("query"))).unionByName(few)
+    found = nd.search_nodes(b.nodes(spark, sf), texts)
     return found.select("query", "location_hash", F.col("place").cast("long"))
 
 

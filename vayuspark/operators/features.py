@@ -122,19 +122,29 @@ def chronological_splits(samples: DataFrame, val_days: int = 21, test_days: int
     return samples.withColumn("split", part)
 
 
+def _draw(*parts) -> Column:
+    """A number of 60 bits from the md5 of some texts: the same draw wherever md5 is known."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 15), 16, 10).cast("long")
+
+
+def _as_text(c: str, kind: str) -> Column:
+    return F.date_format(c, "yyyy-MM-dd HH:mm:ss") if kind == "timestamp" else F.col(c).cast("string")
+
+
 def subsample(df: DataFrame, keys: list[str], n: int, seed: int = 0) -> DataFrame:
     """Exactly n rows (all when there are fewer): those with the lowest seeded hash of the key.
 
     The cut is found by counting hash ranges, so nothing is sorted in one task.
     """
-    hashed = df.withColumn("_h", F.xxhash64(*[F.col(k) for k in keys], F.lit(seed)))
-    placed = running_before(hashed, [], F.shiftright("_h", 50), ["_h", *keys], out="_rank")
+    kinds = dict(df.dtypes)
+    hashed = df.withColumn("_h", _draw(*[_as_text(k, kinds[k]) for k in keys], F.lit(str(seed))))
+    placed = running_before(hashed, [], F.shiftright("_h", 46), ["_h", *keys], out="_rank")
     return placed.where(F.col("_rank") < n).drop("_h", "_rank")
 
 
 def random_horizons(samples: DataFrame, k: int, seed: int = 0) -> DataFrame:
     """Add `leads`: k lead times per sample, uniform on 1..24, drawn with replacement from a hash."""
-    draw = lambda i: (F.pmod(F.xxhash64(F.col(NODE), F.col(TIME), i, F.lit(seed)), F.lit(HORIZON)) + 1).cast("int")
+    draw = lambda i: (_draw(F.col(NODE), _as_text(TIME, "timestamp"), i.cast("string"), F.lit(str(seed))) % HORIZON + 1).cast("int")
     return samples.withColumn("leads", F.transform(F.sequence(F.lit(0), F.lit(k - 1)), draw))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from vayuspark.functions.geo import grid_label
 from vayuspark.operators.spatial import drop_near, hashed
@@ -41,19 +41,45 @@ def build_nodes(city_rows: DataFrame, grid: DataFrame) -> DataFrame:
     return both.groupBy("location_hash").agg(first.alias("n")).select("location_hash", "n.*")
 
 
-def search_nodes(nodes: DataFrame, texts: list[str], limit: int = 12) -> DataFrame:
+GRAM = 3
+
+
+def _grams(text: Column, size: int) -> Column:
+    """The distinct runs of `size` letters."""
+    n = F.length(text)
+    return F.when(n >= size, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(size))))).otherwise(F.array().cast("array<string>"))
+
+
+def gram_index(nodes: DataFrame) -> DataFrame:
+    """(gram, location_hash): every run of one to three letters of a node's name or state, in lower case."""
+    texts = [F.lower(F.coalesce(c, F.lit(""))) for c in ("location_name", "state")]
+    grams = F.array_distinct(F.concat(*[_grams(t, k) for t in texts for k in range(1, GRAM + 1)]))
+    return nodes.select(F.explode(grams).alias("gram"), "location_hash")
+
+
+def search_nodes(nodes: DataFrame, texts: list[str] | DataFrame, limit: int = 12) -> DataFrame:
     """The best hits per search text: part of the name or state, cities first, then by name.
 
-    The texts travel as literals, so every node is read once and only hits are shuffled; the rank limit
-    is applied before and after the shuffle.
+    texts: a list, or a table with a column `query`. Each distinct text (trimmed, lower case; empty ones have no hits) goes to
+    the index with its rarest run of three letters (a shorter one with itself), and what it finds there is verified. Only the
+    runs that some text asks for are looked at, and the rank limit is applied before the shuffle by text and after it.
     """
-    wanted = sorted({t.strip().lower() for t in texts} - {""})
-    if not wanted:
-        return nodes.select(F.lit("").alias("query"), "*", F.lit(0).alias("place")).limit(0)
+    if not isinstance(texts, DataFrame):
+        texts = nodes.sparkSession.createDataFrame([(t,) for t in texts], "query string")
+    query = F.lower(F.trim("query")).alias("query")
+    wanted = texts.select(query).where("query <> ''").distinct()
+    size = F.least(F.length("query"), F.lit(GRAM))
+    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("query") - size + 1), lambda i: F.substring(F.col("query"), i, size)))
+    asked = wanted.select("query", F.explode(runs).alias("gram"))
+    index = gram_index(nodes).join(asked.select("gram").distinct(), "gram", "left_semi")
+    often = index.groupBy("gram").agg(F.count(F.lit(1)).alias("often"))
+    # a run that no node has: no hit
+    rarest = asked.join(often, "gram", "left").groupBy("query").agg(F.min_by(F.struct("gram", "often"), F.struct(F.coalesce("often", F.lit(0)), "gram")).alias("x"))
+    rarest = rarest.where(F.col("x.often").isNotNull()).select("query", "x.gram")
+    found = rarest.join(index, "gram").select("query", "location_hash").join(nodes, "location_hash")
     name, state = F.lower("location_name"), F.lower(F.coalesce("state", F.lit("")))
-    hit = F.filter(F.array(*[F.lit(t) for t in wanted]), lambda q: name.contains(q) | state.contains(q))
+    hits = found.where(F.coalesce(name.contains(F.col("query")), F.lit(False)) | state.contains(F.col("query")))
     rank = Window.partitionBy("query").orderBy(
         F.when(F.col("kind") == "city", 0).otherwise(1), "location_name", "location_hash"
     )
-    found = nodes.select(F.explode(hit).alias("query"), *nodes.columns)
-    return found.withColumn("place", F.row_number().over(rank)).where(F.col("place") <= limit)
+    return hits.select("query", *nodes.columns).withColumn("place", F.row_number().over(rank)).where(F.col("place") <= limit)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vayuspark.functions.calendar import as_ts, days, hours
 from vayuspark.functions.cpcb import settle
@@ -94,7 +94,35 @@ def newest_card(registry: DataFrame) -> DataFrame:
     ).select("m.*")
 
 
-def snapshot_lines(aqi: DataFrame, forecasts: DataFrame, nodes: DataFrame, as_of, card: DataFrame | None = None) -> DataFrame:
+def _quoted(text) -> Column:
+    """A text as JSON, null as null."""
+    return F.coalesce(F.get(F.split(F.to_json(F.array(text)), "^\\[|\\]$"), F.lit(1)), F.lit("null"))
+
+
+def snapshot_head(card: DataFrame, as_of, by_horizon: DataFrame | None = None) -> DataFrame:
+    """The head line: when it was made, and the skill block of the newest card with the live scores by lead time."""
+    live = F.lit("[]")
+    if by_horizon is not None:
+        rows = by_horizon.agg(F.to_json(F.array_sort(F.collect_list(F.struct("hours_ahead", *[c for c in by_horizon.columns if c != "hours_ahead"])))).alias("x"))
+        live = F.coalesce(rows.scalar(), F.lit("[]"))
+    part = lambda name: F.coalesce(F.get_json_object("card", f"$.{name}"), F.lit("null"))
+    made = F.date_format(as_ts(as_of), "yyyy-MM-dd'T'HH:mm:ss")
+    value = F.concat(
+        F.lit('{"generated_at":'), _quoted(made), F.lit(',"skill":{"model_version":'), _quoted(F.col("model_version")),
+        F.lit(',"trained_at":'), _quoted(F.get_json_object("card", "$.trained_at")), F.lit(',"data":'), part("data"), F.lit(',"test":'), part("test"),
+        F.lit(',"live_by_horizon":'), live, F.lit("}}"),
+    )
+    return newest_card(card).select(F.lit("skill").alias("kind"), F.col("model_version").alias("id"), value.alias("value"))
+
+
+def as_json(lines: DataFrame) -> DataFrame:
+    """(kind, id, value) as one JSON object per line; `value` is JSON already and goes in as an object."""
+    return lines.select(F.concat(F.lit('{"kind":'), _quoted(F.col("kind")), F.lit(',"id":'), _quoted(F.col("id")), F.lit(',"value":'), F.col("value"), F.lit("}")).alias("value"))
+
+
+def snapshot_lines(
+    aqi: DataFrame, forecasts: DataFrame, nodes: DataFrame, as_of, card: DataFrame | None = None, by_horizon: DataFrame | None = None,
+) -> DataFrame:
     """JSON lines that serve the dashboard without a table store: one per node, one head line.
 
     A node's line holds its newest row, its 24 forecast hours and three days of history, all bounded,
@@ -123,5 +151,4 @@ def snapshot_lines(aqi: DataFrame, forecasts: DataFrame, nodes: DataFrame, as_of
     )
     if card is None:
         return lines
-    head = newest_card(card).select(F.lit("skill").alias("kind"), F.col("model_version").alias("id"), F.col("card").alias("value"))
-    return lines.unionByName(head)
+    return lines.unionByName(snapshot_head(card, as_of, by_horizon))

@@ -12,15 +12,23 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from vayuspark.functions.calendar import as_ts, days
-from vayuspark.operators.serving import snapshot_lines
-from vayuspark.operators.skill import RUN, SKILL_COLUMNS, evaluate_forecast_skill, pending_runs
-from vayuspark.operators.windows import NODE, TIME
+from vayuspark.operators.features import hour_frame
+from vayuspark.operators.nodes import build_nodes, cities
+from vayuspark.operators.quality import mask_gap_filled_targets
+from vayuspark.operators.serving import as_json, snapshot_lines
+from vayuspark.operators.skill import RUN, SKILL_COLUMNS, evaluate_forecast_skill, pending_runs, skill_summary
+from vayuspark.operators.spatial import clip_to_polygons, lattice
+from vayuspark.operators.windows import NODE, TIME, keep_last
 from vayuspark.plans.aqi import AQI_COLUMNS, refresh_aqi
+from vayuspark.plans.artefacts import load_run, save_run
 from vayuspark.plans.forecast import forecast_all
-from vayuspark.plans.ingest import ingest
+from vayuspark.plans.ingest import hours_from_payloads, ingest
+from vayuspark.plans.promotion import challenge, champion, members_of
+from vayuspark.plans.proxy import load_proxy, save_proxy, train_proxy
+from vayuspark.plans.training import Settings, predictor, run_training
 from vayuspark.session import cut_lineage
 from vayuspark.sources.readers import load_observations
-from vayuspark.sources.tables import insert_if_absent, prune, read_table, register_model, upsert, upsert_nodes
+from vayuspark.sources.tables import backfill_write, insert_if_absent, prune, read_table, register_model, replace_table, upsert, upsert_nodes
 from vayuspark.vocab import (
     AVERAGES, FORECAST_DAYS, MEMBERS, POLLUTANTS, RAW, RAW_DAYS, SUB_INDICES,
 )
@@ -78,8 +86,8 @@ class Tables:
         return read_table(self.spark, self.path(name), SCHEMAS[name])
 
     def replace(self, name: str, df: DataFrame) -> None:
-        """For the two dimensions without a date: written aside first, then put in place whole."""
-        cut_lineage(df, name).write.mode("overwrite").parquet(self.path(name))
+        """For the two dimensions without a date."""
+        replace_table(df, self.path(name))
 
 
 def shaped(df: DataFrame, name: str) -> DataFrame:
@@ -153,5 +161,77 @@ def export_job(tables: Tables, as_of: datetime, out: str) -> None:
     as_of_ts = as_ts(as_of)
     recent = tables.read("aqi_computed").where(F.col("obs_date") >= F.to_date(as_of_ts - days(6)))
     runs = tables.read("aqi_forecasts").where(F.col("run_date") >= F.to_date(as_of_ts - days(3)))
-    lines = snapshot_lines(recent, runs, tables.read("grid_nodes"), as_of, tables.read("model_registry"))
-    lines.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(out)
+    scored = tables.read("forecast_skill").where(F.col("run_date") >= F.to_date(as_of_ts - days(8)))
+    lines = snapshot_lines(recent, runs, tables.read("grid_nodes"), as_of, tables.read("model_registry"), skill_summary(scored, as_of))
+    as_json(lines).write.mode("overwrite").text(out)
+
+
+# ---- jobs that learn, and whole passes -----------------------------------------------------------
+
+def nodes_job(tables: Tables, as_of: datetime, step: float = 1.0, edges: DataFrame | None = None) -> None:
+    """Cities and the grid points away from them; with polygon edges only points inside."""
+    spark = tables.spark
+    grid = lattice(spark.range(1).select(F.lit(1).alias("region")), step).select("lat", "lon")
+    if edges is not None:
+        grid = clip_to_polygons(grid, edges).select("lat", "lon")
+    tables.replace("grid_nodes", upsert_nodes(tables.read("grid_nodes"), build_nodes(cities(spark), grid), as_of))
+
+
+def proxy_job(tables: Tables, obs: DataFrame | None = None) -> DataFrame:
+    """Train and store the models that fill PM gaps; returns their holdout scores."""
+    rows = tables.read("raw_observations") if obs is None else obs
+    models, scores = train_proxy(mask_gap_filled_targets(rows) if "pm_gap_filled" in rows.columns else rows)
+    save_proxy(models, tables.path("proxy_models"))
+    return scores
+
+
+def train_job(
+    tables: Tables, as_of: datetime, settings: Settings | None = None, version: str | None = None, obs: DataFrame | None = None,
+    nodes: DataFrame | None = None, members: list[str] = MEMBERS,
+) -> DataFrame:
+    """Train on the stored hours (or a history), store the run, and let it challenge the champion; returns the verdict."""
+    obs = mask_gap_filled_targets(tables.read("raw_observations")) if obs is None else obs
+    nodes = tables.read("grid_nodes") if nodes is None else nodes
+    version = version or f"{as_of:%Y.%m.%d}"
+    path = f"{tables.path('runs')}/{version}"
+    save_run(run_training(obs, nodes, settings, version, members, "observations", as_of), path)
+    return challenge(tables.spark, tables.root, path, obs, nodes, as_of)
+
+
+def champion_forecast_job(tables: Tables, ahead: DataFrame, as_of: datetime) -> None:
+    """Forecast with the champion: stored hours of the look-back, and `ahead`, the hourly frame with the covariates to come."""
+    row = champion(tables.spark, tables.root)
+    run = load_run(tables.spark, row["run"]) if row else None
+    if run is None:
+        raise ValueError("no champion: run the job train first")
+    first = as_of - timedelta(days=2 * LOOKBACK_DAYS)
+    stored = tables.read("raw_observations").where(F.col("obs_date") >= F.lit(first.date())).select(NODE, TIME, *RAW)
+    both = keep_last(stored.withColumn("_new", F.lit(0)).unionByName(ahead.select(NODE, TIME, *RAW).withColumn("_new", F.lit(1))), [NODE, TIME], ["_new"]).drop("_new")
+    frame = cut_lineage(hour_frame(both, tables.read("grid_nodes")), "frame")
+    card = run.card.select("model_version", "card")
+    forecast_job(tables, frame, as_of, predictor(run.models, run.spec, run.stds), members_of(run), run.weights, run.quantiles, card, row["model_version"])
+
+
+def backfill_job(tables: Tables, weather: DataFrame, air: DataFrame, as_of: datetime, batches: int = 64, to_tables: bool = True) -> int:
+    """A long history from payloads, kept by batches of nodes (those there already are skipped); returns how many were there.
+
+    With `to_tables` the hours are also upserted and their index worked out.
+    """
+    rows = hours_from_payloads(weather, air).withColumn("batch", F.pmod(F.xxhash64(NODE), F.lit(batches)).cast("int"))
+    rows = cut_lineage(rows, "history")
+    there = backfill_write(tables.spark, rows, tables.path("history"))
+    if to_tables:
+        observed = rows.where(F.col(TIME) <= as_ts(as_of)).withColumns({"ingested_at": as_ts(as_of), "obs_date": F.to_date(TIME), "pm_gap_filled": F.lit(False)})
+        upsert(tables.spark, tables.path("raw_observations"), shaped(observed, "raw_observations"), [TIME, NODE], ["ingested_at"], "obs_date")
+        first = rows.agg(F.min(TIME)).first()[0]
+        if first is not None:
+            refresh_job(tables, as_of, first)
+    return there
+
+
+def all_job(tables: Tables, weather: DataFrame, air: DataFrame, as_of: datetime) -> None:
+    """Ingest, forecast with the champion, score, prune; can be run again."""
+    frame = ingest_job(tables, weather, air, as_of, load_proxy(tables.spark, tables.path("proxy_models")))
+    champion_forecast_job(tables, frame, as_of)
+    skill_job(tables, as_of)
+    prune_job(tables, as_of)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+from functools import partial
+
+from pyspark.errors import AnalysisException
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vayuspark.functions.calendar import utc_calendar
 from vayuspark.functions.values import clamp
@@ -14,6 +17,7 @@ from vayuspark.operators.aggregates import holdout_metrics
 from vayuspark.operators.blocks import exact_quantiles
 from vayuspark.operators.quality import PROXY_CORE, training_rows
 from vayuspark.operators.windows import NODE, TIME, ffill, fill
+from vayuspark.plans.fits import side_by_side
 from vayuspark.session import cut_lineage
 from vayuspark.vocab import PROXY_DEFAULTS, PROXY_FEATURES, PROXY_FILL_ROWS, PROXY_LIMITS
 
@@ -62,10 +66,9 @@ def _pipeline(target: str, trees: dict, stop_early: bool) -> Pipeline:
 def train_proxy(obs: DataFrame, trees: dict | None = None) -> tuple[dict, DataFrame]:
     """({target: pipeline model}, holdout RMSE/MAE/R2 per target); a fifth of the rows is held out."""
     rows = cut_lineage(training_matrix(obs).withColumn("is_holdout", fold_of(5) == 0), "proxy-rows")
-    models, metrics = {}, None
-    for target in TARGETS:
-        model = _pipeline(target, trees or TREES, True).fit(rows)
-        models[target] = model
+    fits = [partial(_pipeline(target, trees or TREES, True).fit, rows) for target in TARGETS]
+    models, metrics = dict(zip(TARGETS, side_by_side(obs.sparkSession, fits))), None
+    for target, model in models.items():
         held = holdout_metrics(model.transform(rows.where("is_holdout")), target, "prediction").select(
             F.lit(target).alias("target"), "*"
         )
@@ -73,16 +76,35 @@ def train_proxy(obs: DataFrame, trees: dict | None = None) -> tuple[dict, DataFr
     return models, metrics
 
 
+def save_proxy(models: dict, path: str) -> None:
+    """The pipelines; they count when the list of targets is there, which is written last."""
+    spark = SparkSession.active()
+    for target, model in models.items():
+        model.write().overwrite().save(f"{path}/{target}")
+    spark.createDataFrame([(t,) for t in models], "target string").coalesce(1).write.mode("overwrite").parquet(f"{path}/complete")
+
+
+def load_proxy(spark: SparkSession, path: str) -> dict | None:
+    """The stored pipelines, or None where no whole set is."""
+    try:
+        targets = [r["target"] for r in spark.read.schema("target string").parquet(f"{path}/complete").collect()]
+    except AnalysisException:
+        return None
+    return {t: PipelineModel.load(f"{path}/{t}") for t in TARGETS if t in targets}
+
+
 def cross_validate(obs: DataFrame, target: str, k: int = 5, trees: dict | None = None) -> DataFrame:
     """Mean and spread of RMSE and R2 over k hash folds; each fold is fitted once for both."""
     rows = cut_lineage(training_matrix(obs).withColumn("fold", fold_of(k)), "folds")
     pipeline = _pipeline(target, trees or TREES, False)
-    found: dict[str, list[float]] = {"rmse": [], "r2": []}
-    for fold in range(k):
-        held = pipeline.fit(rows.where(F.col("fold") != fold)).transform(rows.where(F.col("fold") == fold))
+
+    def one(fold: int) -> list[float]:
+        held = pipeline.copy().fit(rows.where(F.col("fold") != fold)).transform(rows.where(F.col("fold") == fold))
         held = cut_lineage(held.select(F.col(target).cast("double").alias(target), "prediction"), "held-out")
-        for metric, values in found.items():
-            values.append(float(RegressionEvaluator(labelCol=target, predictionCol="prediction", metricName=metric).evaluate(held)))
+        return [float(RegressionEvaluator(labelCol=target, predictionCol="prediction", metricName=m).evaluate(held)) for m in ("rmse", "r2")]
+
+    each = side_by_side(obs.sparkSession, [partial(one, fold) for fold in range(k)])
+    found = dict(zip(("rmse", "r2"), zip(*each)))
     mean = {m: sum(v) / k for m, v in found.items()}
     spread = {m: (sum((x - mean[m]) ** 2 for x in v) / k) ** 0.5 for m, v in found.items()}
     return obs.sparkSession.createDataFrame([(target, m, mean[m], spread[m]) for m in found], "target string, metric string, mean double, std double")

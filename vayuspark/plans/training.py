@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass, field
+from datetime import datetime
+from functools import partial
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -11,6 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from vayuspark.operators import evaluate as ev, features as ft
 from vayuspark.operators.blocks import BLOCK
 from vayuspark.operators.windows import NODE, TIME
+from vayuspark.plans.fits import side_by_side
 from vayuspark.session import cut_lineage
 from vayuspark.vocab import FUTURE_FEATURES, HORIZON, LOOKBACK, MEMBERS, PAST_FEATURES, POLLUTANTS, TABULAR_FEATURES
 
@@ -61,7 +65,7 @@ def _std_of(stds: DataFrame):
 def train_members(train: DataFrame, val: DataFrame, stds: DataFrame, settings: Settings | None = None, members: list[str] = MEMBERS) -> dict:
     """{(member, pollutant): model}: six models per member on the scaled log change.
 
-    `train` and `val` are matrices; boosting stops early on `val`. Fits run one after the other, each
+    `train` and `val` are matrices; boosting stops early on `val`. Some fits run at a time over one stored matrix, each
     spread over the cluster by Spark ML.
     """
     settings = settings or Settings()
@@ -69,12 +73,14 @@ def train_members(train: DataFrame, val: DataFrame, stds: DataFrame, settings: S
     both = train.withColumn("is_val", F.lit(False)).unionByName(val.withColumn("is_val", F.lit(True)))
     labels = {p: (F.col(f"y_{p}") / std(p)).alias(f"label_{p}") for p in POLLUTANTS}
     rows = cut_lineage(both.select("features", "is_val", *labels.values()), "matrix")
-    models = {}
-    for p in POLLUTANTS:
+
+    def fit(m: str, p: str):
         data = rows.select("features", "is_val", F.col(f"label_{p}").alias("label")).where(F.col("label").isNotNull())
-        for m in members:
-            models[m, p] = regressor(m, settings).fit(data if m == "gbt" else data.where(~F.col("is_val")))
-    return models
+        return regressor(m, settings).fit(data if m == "gbt" else data.where(~F.col("is_val")))
+
+    # boosting takes longest, so it starts first
+    names = [(m, p) for m in sorted(members, key=lambda m: m != "gbt") for p in POLLUTANTS]
+    return dict(zip(names, side_by_side(rows.sparkSession, [partial(fit, m, p) for m, p in names])))
 
 
 def predict_members(rows: DataFrame, models: dict, stds: DataFrame) -> DataFrame:
@@ -106,7 +112,10 @@ class Run:
     card: DataFrame
 
 
-def run_training(obs: DataFrame, nodes: DataFrame, settings: Settings | None = None, version: str = "dev", members: list[str] = MEMBERS) -> Run:
+def run_training(
+    obs: DataFrame, nodes: DataFrame, settings: Settings | None = None, version: str = "dev", members: list[str] = MEMBERS,
+    source: str = "table", trained_at: datetime | None = None,
+) -> Run:
     """Features -> splits -> scalers -> members -> weights and quantiles on validation -> scores on test."""
     s = settings or Settings()
     frame = cut_lineage(ft.hour_frame(obs, nodes), "frame")
@@ -121,10 +130,12 @@ def run_training(obs: DataFrame, nodes: DataFrame, settings: Settings | None = N
     )
     spec = cut_lineage(ft.fit_scaler(train, frame), "spec")
     stds = cut_lineage(ft.target_std(ft.horizon_rows(ft.all_horizons(train), frame)), "stds")
+    began = time.monotonic()
     models = train_members(
         matrix(ft.random_horizons(train, s.train_draws, 1), frame, spec),
         matrix(ft.random_horizons(val, s.val_draws, 2), frame, spec), stds, s, members,
     )
+    minutes = (time.monotonic() - began) / 60
     predict = predictor(models, spec, stds)
     val_rows = cut_lineage(predict(ft.all_horizons(val), frame), "val-rows")
     weights = cut_lineage(ev.search_weights(val_rows, members), "weights")
@@ -142,26 +153,37 @@ def run_training(obs: DataFrame, nodes: DataFrame, settings: Settings | None = N
         models, spec, stds, weights, quantiles, scores, ev.score_horizons(paths, names), ev.score_pollutants(paths, names),
         test, ev.interval_coverage(paths), ev.wilcoxon_less(errors, "ensemble", best).withColumn("best_member", F.lit(best)), None,
     )
-    run.card = model_card(run, obs, {"train": train, "val": val, "test": test}, version)
+    run.card = model_card(run, obs, {"train": train, "val": val, "test": test}, version, source, trained_at, minutes)
     return run
 
 
-def model_card(run: Run, obs: DataFrame, parts: dict[str, DataFrame], version: str) -> DataFrame:
-    """(model_version, card): span, window counts, weights, quantiles and metrics as one JSON text."""
+def model_card(
+    run: Run, obs: DataFrame, parts: dict[str, DataFrame], version: str, source: str = "table", trained_at: datetime | None = None,
+    minutes: float | None = None,
+) -> DataFrame:
+    """(model_version, card): span, window counts, weights, quantiles and metrics as one JSON text.
+
+    The test period goes from its first issue hour to the last hour of the data.
+    """
     rows = lambda df: df.agg(F.collect_list(F.struct("*")).alias("x")).scalar()
     count = lambda df: df.agg(F.count(F.lit(1)).alias("n")).scalar()
     span = obs.agg(F.min(TIME).alias("start"), F.max(TIME).alias("end"), F.count_distinct(NODE).alias("nodes"))
-    data = F.struct("start", "end", "nodes", *[count(d).alias(f"{n}_windows") for n, d in parts.items()])
+    first = parts["test"].agg(F.min(TIME).alias("t")).scalar()
+    data = F.struct(
+        F.lit(source).alias("source"), "start", "end", "nodes", *[count(d).alias(f"{n}_windows") for n, d in parts.items()],
+        F.array(first, F.col("end")).alias("test_period"),
+    )
     shape = F.struct(
         F.lit(LOOKBACK).alias("lookback_hours"), F.lit(HORIZON).alias("horizon_hours"),
         F.lit(len(PAST_FEATURES)).alias("past_features"), F.lit(len(FUTURE_FEATURES)).alias("future_features"),
+        F.round(F.lit(minutes).cast("double"), 1).alias("train_minutes"),
     )
     test = F.struct(
         rows(run.scores).alias("models"), rows(run.horizons).alias("by_horizon"), rows(run.pollutants).alias("by_pollutant"),
         rows(run.coverage).alias("interval_80_coverage"), rows(run.p_value).alias("ensemble_vs_best_member"),
     )
     card = F.struct(
-        F.lit(version).alias("model_version"), data.alias("data"), shape.alias("architecture"),
+        F.lit(version).alias("model_version"), F.lit(trained_at).cast("timestamp").alias("trained_at"), data.alias("data"), shape.alias("architecture"),
         rows(run.weights).alias("ensemble_weights"), rows(run.quantiles).alias("residual_quantiles"), test.alias("test"),
     )
     return span.select(F.lit(version).alias("model_version"), F.to_json(card).alias("card"))

@@ -19,7 +19,7 @@ from vayuspark.operators.windows import keep_last
 from vayuspark.session import cut_lineage
 
 
-DATA, COMMITS, WRITE = "data", "commits", "write_number"
+DATA, COMMITS, WRITE, WHOLE = "data", "commits", "write_number", "whole_table"
 _COMMIT = T.StructType().add(WRITE, T.LongType()).add("column", T.StringType()).add("part", T.StringType())
 #: Partition values that a filter names one by one; beyond, it names the range they span.
 MOST_VALUES = 1000
@@ -48,9 +48,12 @@ def _current(spark: SparkSession, path: str, schema: T.StructType | None = None)
     newest = _newest(spark, path)
     if not newest:
         return None
-    reader = spark.read if schema is None else spark.read.schema(T.StructType([*schema.fields, _COMMIT[WRITE]]))
+    column, reader = newest[0]["column"], spark.read
+    if schema is not None:
+        hidden = [T.StructField(column, T.StringType())] if column not in schema.names else []
+        reader = reader.schema(T.StructType([*schema.fields, *hidden, _COMMIT[WRITE]]))
     data = reader.parquet(f"{path}/{DATA}")
-    kept = data.where(_place(newest[0]["column"]).isin([f"{r[WRITE]}/{r['part'] or ''}" for r in newest]))
+    kept = data.where(_place(column).isin([f"{r[WRITE]}/{r['part'] or ''}" for r in newest]))
     return kept.drop(WRITE) if schema is None else kept.select(*schema.names)
 
 
@@ -79,6 +82,11 @@ def replace_partitions(rows: DataFrame, path: str, partition: str, parts: list)
     done.coalesce(1).write.mode("append").parquet(f"{path}/{COMMITS}")
 
 
+def replace_table(rows: DataFrame, path: str) -> None:
+    """A table without a date, as a whole: one partition of its own. `rows` may be worked out from the table as it is."""
+    replace_partitions(cut_lineage(rows, "whole").withColumn(WHOLE, F.lit(0)), path, WHOLE, [0])
+
+
 def clean(spark: SparkSession, path: str, keep: int = 2) -> int:
     """Delete the data of writes that are no partition's newest, but for the last `keep`; returns how many writes went.
 
