@@ -80,7 +80,8 @@ def train_members(train: DataFrame, val: DataFrame, stds: DataFrame, settings: S
 
     # boosting takes longest, so it starts first
     names = [(m, p) for m in sorted(members, key=lambda m: m != "gbt") for p in POLLUTANTS]
-    return dict(zip(names, side_by_side(rows.sparkSession, [partial(fit, m, p) for m, p in names])))
+    found = dict(zip(names, side_by_side(rows.sparkSession, [partial(fit, m, p) for m, p in names])))
+    return {(m, p): found[m, p] for p in POLLUTANTS for m in members}
 
 
 def predict_members(rows: DataFrame, models: dict, stds: DataFrame) -> DataFrame:
