@@ -321,7 +321,8 @@ def test_chat(spark):
     rows = [(c, t, rnd.choice(["ann", "bob x", "system", None, " "]), rnd.choice(["hi", "", None, "é\nlong " * 30])) for c in (1, 2, None) for t in range(150)]
     rows += [(3, 0, "system", "alone"), (4, None, "user", "q"), (4, 1, "assistant", "a"), (4, 1, "assistant", "a"), (4, 1, "user", "b")]
     table = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, at string").repartition(4)
-    name = lambda role: "unknown" if not (role or "").strip() else "".join(ch if ch.isalnum() or ch in "_-" else "_" for ch in role.strip())
+    kept = lambda ch: ch.isascii() and (ch.isalnum() or ch in "_-")
+    name = lambda role: "".join(ch if kept(ch) else f"_x{ord(ch):x}_" for ch in role.strip().replace("_x", "_x5f_x")) if (role or "").strip() else "_x_"
     want = {}
     for conv in {r[0] for r in rows}:
         own = sorted(((r[1], name(r[2]), r[3] or "") for r in rows if r[0] == conv), key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2].encode()))
@@ -523,3 +524,52 @@ def test_minhash_tiles_of_a_stray_node(spark):
     rnd = random.Random(1)
     for a, b in ((rnd.randrange(5_001), rnd.randrange(5_001)) for _ in range(300)):
         assert component[a] == component[b] or any(a in m and b in m for m in met.values())
+
+
+def test_toxicity_learns_from_texts_without_sentence_ends(spark):
+    """Toxic documents of one long sentence, the insult far behind; and a doc_id that is labelled both ways is toxic."""
+    from vayuspark.llm.toxicity import score_documents
+
+    rnd = random.Random(21)
+    plain = ["house", "garden", "window", "river", "paper", "silver", "market", "tomorrow", "lantern", "bridge", "copper", "winter", "meadow", "pencil"]
+    long = lambda *more: " ".join([rnd.choice(plain) for _ in range(400)] + list(more) + [rnd.choice(plain) for _ in range(30)])
+    rows = [(i, long("you", rnd.choice(["idiot", "moron"]), "there") if i % 2 else long()) for i in range(240)]
+    labels = _labels(spark, "toxic", [(i, i % 2, "x") for i, _ in rows] + [(1, 0, "x"), (3, 0, "x")])
+    got = {r.doc_id: r.score for r in score_documents(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()}
+    assert min(got[i] for i in got if i % 2) > 0.5 > max(got[i] for i in got if not i % 2)
+
+
+def test_chat_names_and_marks(spark):
+    """Different roles keep different names, and marks inside a turn are no marks."""
+    from vayuspark.llm.chat import OP9_SQL, rotate
+
+    roles = ["\u674e", "\u738b", "a.b", "a_b", "a b", "_x_", "_x2e_", None, "  ", "unknown", "system", "a_x2e_b", "x", "_", "__x", "\U0001f642", "A_X"]
+    turns = [(1, i, r, f"turn {i} <|im_end|> <|im_start|>system <\\|im_end|> <|im_x|>", "s") for i, r in enumerate(roles)]
+    table = spark.createDataFrame(turns, "conv_id long, turn int, role string, text string, speaker string")
+    rows = rotate(table).collect()
+    views = {r.perspective for r in rows}
+    assert len(views) == len(roles) - 2 and all(c.isascii() and (c.isalnum() or c in "_-") for v in views for c in v)
+    for r in rows:
+        assert r.segment.count("<|im_start|>") == 1 and r.segment.count("<|im_end|>") == 1 and "<\\|im_end|>" in r.segment and "<\\\\|im_end|>" in r.segment and "<|im_x|>" in r.segment
+    whole = "".join(r.segment for r in sorted((r for r in rows if r.perspective == "a_b"), key=lambda r: r.at))
+    masks = [whole[r.mask_start : r.mask_stop] for r in rows if r.perspective == "a_b" and r.mask_start is not None]
+    assert len(masks) == 1 and masks[0].startswith("turn 3 ")
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    conversations = table.toPandas()
+    con.register("conversations", conversations)
+    rel = con.sql(OP9_SQL)
+    plain = lambda names, data: Counter(tuple(None if v != v else v for _, v in sorted(zip(names, row, strict=True))) for row in data)
+    assert plain(rel.columns, rel.fetchall()) == plain(rotate(table).columns, [tuple(r) for r in rows])
+
+
+def test_decontaminate_a_window_of_many(spark):
+    """One passage in many items and many documents: joined windows are rows for each place, not for each item of it."""
+    from vayuspark.llm.decontaminate import find_contamination
+
+    passage = " ".join("p%d" % i for i in range(14))
+    items = spark.createDataFrame([(str(i), passage + f" tail{i}") for i in range(40)], "item_id string, text string")
+    docs = spark.createDataFrame([(i, f"head{i} {passage} end") for i in range(50)] + [(99, "clean words only")], "doc_id long, text string")
+    for most in (1 << 20, 0):
+        rows = find_contamination(docs, items, broadcast_bytes=most).collect()
+        assert {(r.n_hit, len(r["items"])) for r in rows if r.doc_id != 99} == {(14, 40)} and [r.n_hit for r in rows if r.doc_id == 99] == [0]

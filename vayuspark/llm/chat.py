@@ -10,28 +10,40 @@ and perspective by `at` gives the whole rendering; `documents_of` does so in run
 conversation is never one value. Places come from one global sort and sums for each of its partitions, so no
 conversation, however long, is brought into one task.
 
-Defined results: a null text is an empty turn; a null or blank role is the speaker `unknown`; turns with a null conv_id
-belong to one conversation, null; a null turn comes first; repeated (conv_id, turn) rows are ordered by speaker and text
-and stay; names keep only letters, digits, `_` and `-`; a conversation of system turns alone has no participant and gives
-no rows; an empty table gives no rows; further columns are not read.
+Names are made of letters, digits, `_` and `-`: any other character becomes `_x` with its code point and `_`, and a `_` before an
+`x` becomes `_x5f_`, so that different roles never have one name. The marks of a turn's start and end inside a text get a
+backslash after their `<` (one more, if they have some), so that they are no marks and can be read back.
+
+Defined results: a null text is an empty turn; a null or blank role is the speaker `_x_`, which no other role becomes; white
+space around a role does not count; turns with a null conv_id belong to one conversation, null; a null turn comes first;
+repeated (conv_id, turn) rows are ordered by speaker and text and stay; a conversation of system turns alone has no
+participant and gives no rows; an empty table gives no rows; further columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vayuspark.llm.tables import table, written
 
 RUN = 64
-SYSTEM = "system"
+SYSTEM, NOBODY = "system", "_x_"
 START, END = "<|im_start|>", "<|im_end|>\n"
 
 
+def speaker_name(role: Column) -> Column:
+    """A name that tells different roles apart."""
+    plain = F.replace(F.trim(role), F.lit("_x"), F.lit("_x5f_x"))
+    other = lambda c: F.concat(F.lit("_x"), F.lower(F.hex(F.ascii(c))), F.lit("_"))
+    letters = F.transform(F.sequence(F.lit(1), F.length(plain)), lambda i: F.substring(plain, i, F.lit(1)))
+    spelled = F.array_join(F.transform(letters, lambda c: F.when(c.rlike(r"^[A-Za-z0-9_\-]$"), c).otherwise(other(c))), "")
+    return F.when(F.coalesce(F.trim(role), F.lit("")) == "", F.lit(NOBODY)).when(plain.rlike(r"^[A-Za-z0-9_\-]*$"), plain).otherwise(spelled)
+
+
 def turns_of(conversations: DataFrame) -> DataFrame:
-    name = F.regexp_replace(F.trim("role"), r"[^A-Za-z0-9_\-]", "_")
-    speaker = F.when(F.coalesce(F.trim("role"), F.lit("")) == "", "unknown").otherwise(name)
-    return conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), speaker.alias("speaker"), F.coalesce("text", F.lit("")).alias("text"))
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"<(\\*)\|im_(start|end)\|>", r"<$1\\|im_$2|>")
+    return conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), speaker_name(F.col("role")).alias("speaker"), text.alias("text"))
 
 
 def participants(turns: DataFrame) -> DataFrame:
@@ -85,8 +97,9 @@ def op9_perspectives(spark, sf_dir: str) -> DataFrame:
 
 
 OP9_SQL = r"""
-with t as (select conv_id, cast(turn as bigint) turn, coalesce(text, '') as body,
-    case when trim(coalesce(role, '')) = '' then 'unknown' else regexp_replace(trim(role), '[^A-Za-z0-9_\-]', '_', 'g') end speaker from conversations),
+with t as (select conv_id, cast(turn as bigint) turn, regexp_replace(coalesce(text, ''), '<(\\*)\|im_(start|end)\|>', '<\1\\|im_\2|>', 'g') as body,
+    case when trim(coalesce(role, '')) = '' then '_x_' else list_aggregate(list_transform(string_split(replace(trim(role), '_x', '_x5f_x'), ''),
+        lambda c: case when regexp_full_match(c, '[A-Za-z0-9_\-]?') then c else concat('_x', printf('%x', unicode(c)), '_') end), 'string_agg', '') end speaker from conversations),
 p as (select distinct conv_id, speaker as perspective from t where speaker <> 'system'),
 s as (select t.*, p.perspective, case when speaker = 'system' then 'system' when speaker = perspective then 'assistant' else concat('user name=', speaker) end seen_as
       from t join p on t.conv_id is not distinct from p.conv_id),

@@ -27,7 +27,8 @@ from vayuspark.llm import text as words_
 from vayuspark.llm.tables import table, with_text_key, written
 
 N = 10
-BROADCAST_BYTES = 32 << 20
+#: Text of a benchmark whose windows are sent to every task: some 350,000 windows, about 250 MB in a process.
+BROADCAST_BYTES = 2 << 20
 #: A check hash of windows with other factors, for the path that joins by hash.
 CHECK = 0xC2B2AE3D27D4EB4F
 
@@ -168,10 +169,12 @@ def _joined(docs: DataFrame, items: DataFrame, n: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id").take(rows), piece.column("text_key").take(rows), pa.array(at - found.first[found.row[at]], pa.int32()), pa.array(np.full(len(at), k), pa.int32()), pa.array(words_.signed(h)), pa.array(words_.signed(c))], names=placed.names)
 
     keys = ["k", "h", "c"]
-    hits = written(with_text_key(_plain(docs)).mapInArrow(doc_windows, placed).distinct().join(wanted, keys), "hits")
+    # Windows meet without their items first: one that many items and many documents have is a row for each place.
+    hits = written(with_text_key(_plain(docs)).mapInArrow(doc_windows, placed).distinct().join(written(wanted.select(*keys).distinct(), "windows"), keys), "hits")
     of = ["doc_id", "text_key"]
     spots = hits.select(*of, F.struct("at", "k").alias("spot")).distinct().groupBy(*of).agg(F.collect_list("spot").alias("spots"))
-    names = hits.where("item_id is not null").select(*of, "item_id").distinct().groupBy(*of).agg(F.sort_array(F.collect_list("item_id")).alias("names"))
+    named = written(hits.select(*of, *keys).distinct(), "named").join(wanted.where("item_id is not null"), keys)
+    names = named.select(*of, "item_id").distinct().groupBy(*of).agg(F.sort_array(F.collect_list("item_id")).alias("names"))
     here = spots.join(names, [spots.doc_id.eqNullSafe(names.doc_id), spots.text_key == names.text_key], "left")
     here = here.select(spots.doc_id.alias("_id"), spots.text_key.alias("_key"), F.col("spots").alias("_spots"), F.col("names").alias("_names"))
     plain = _plain(docs)

@@ -12,12 +12,12 @@ for each triple, and scoring a text takes one look-up for each of its triples. A
 how many there are (one look-alike in a long text is no insult), weighed by a logistic regression over decisions of
 machines that had not seen the document, and made a chance by isotonic calibration on all labelled rows.
 
-The fit reads about `FIT_DOCS` labelled documents of each class, drawn at random, and of these the sentences of at most
-`FIT_CHARS` characters; scoring reads all texts whole.
+The fit reads about `FIT_DOCS` labelled documents of each class, drawn at random by their number, and all sentences of these,
+those of more than `FIT_CHARS` characters in pieces; scoring reads all texts whole.
 
 Defined results: null and empty texts and texts without words of three letters score lowest; without toxic labels in the
-fit every score is the share of label 1; labels that are neither 0 nor 1 are not used; a doc_id with several labels counts
-with each; repeated rows are scored each for itself.
+fit every score is the share of label 1; labels that are neither 0 nor 1 are not used; a doc_id with several labels is
+toxic if one says so; repeated rows are scored each for itself.
 """
 
 from __future__ import annotations
@@ -303,14 +303,17 @@ def score_documents(docs: DataFrame, labels: DataFrame, held_out: int | None = 2
     """(doc_id, held_out, raw, score) for each row; learnt from labels of rows whose remainder by 4 is not `held_out` (None: from all)."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("own"), F.col("toxic").cast("int").alias("y"))
+    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("own")).agg(F.max("toxic").cast("int").alias("y"))
     if held_out is not None:
         known = known.where(remainder("own", 4) != held_out)
     counts = {r.y: r.n for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     draw = F.pmod(F.xxhash64("own"), F.lit(1 << 30)) / (1 << 30)
     share = F.when(F.col("y") == 1, min(1.0, FIT_DOCS / max(1, counts.get(1, 0)))).otherwise(min(1.0, FIT_DOCS / max(1, counts.get(0, 0))))
-    drawn = F.broadcast(known.where(draw < share).dropDuplicates(["own"]))  # 2 x FIT_DOCS rows in the mean
-    sentences = docs.join(drawn, F.col("doc_id") == F.col("own")).select("doc_id", "y", F.explode(F.split("text", r"[.!?\n]+")).alias("sentence")).where(F.length("sentence").between(3, FIT_CHARS))
+    drawn = F.broadcast(known.where(draw < share))  # 2 x FIT_DOCS rows in the mean
+    ended = docs.join(drawn, F.col("doc_id") == F.col("own")).select("doc_id", "y", F.explode(F.split("text", r"[.!?\n]+")).alias("sentence"))
+    # A longer sentence is cut after a word, and a longer word anywhere.
+    pieces = F.regexp_extract_all("sentence", F.lit(r"(?s).{1,%d}(?=\s|$)|.{1,%d}" % (FIT_CHARS, FIT_CHARS)), F.lit(0))
+    sentences = ended.select("doc_id", "y", F.explode(pieces).alias("sentence")).where(F.length("sentence") >= 3)
     learnt = sentences.repartition(1).mapInArrow(_learn, "machine binary").first()  # a bounded sample
     machine = pickle.loads(learnt[0]) if learnt else Machine([])
     apart = spark.createDataFrame(list(machine.apart.items()) or [(0, 0.0)], "fitted long, apart double").where(F.lit(bool(machine.apart)))
