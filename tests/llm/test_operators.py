@@ -573,3 +573,28 @@ def test_decontaminate_a_window_of_many(spark):
     for most in (1 << 20, 0):
         rows = find_contamination(docs, items, broadcast_bytes=most).collect()
         assert {(r.n_hit, len(r["items"])) for r in rows if r.doc_id != 99} == {(14, 40)} and [r.n_hit for r in rows if r.doc_id == 99] == [0]
+
+
+def test_licenses_as_they_are_written(spark):
+    """Licence texts, wrapped headers in comments, clauses, tags, and a statement inside a paragraph."""
+    from vayuspark.llm.licenses import scan
+
+    mit = (
+        'MIT License\n\nCopyright (c) 2026 Someone\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal\n'
+        "in the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\n"
+        'furnished to do so, subject to the following conditions:\n\nTHE SOFTWARE IS PROVIDED "AS IS"\n'
+    )
+    gpl = (
+        "/*\n * tool.c - does things\n *\n * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n"
+        " * the Free Software Foundation, either version 3 of the License, or\n * (at your option) any later version.\n *\n * This program is distributed in the hope that it will be useful\n */\nint main() {}\n"
+    )
+    bsd = "Copyright X\r\n\r\nRedistribution and use in source and binary forms, with or without\r\nmodification, are permitted provided that the following conditions are met:\r\n\r\n1. first"
+    files = [
+        ("m/LICENSE", mit, "MIT", "file"), ("m/src/a.py", "import os", "MIT", "inherited"), ("m/src/tool.c", gpl, "GPL-3.0", "header"), ("b/COPYING", bsd, "BSD-2-Clause", "file"),
+        ("b/x.rs", "// SPDX-License-Identifier: Apache-2.0\nfn main() {}", "Apache-2.0", "header"), ("s/a.sh", "#!/bin/sh\n# SPDX-License-Identifier: MIT\n", "MIT", "header"), ("s/b.sh", "# SPDX-License-Identifier: GPL-2.0-or-later", "GPL-2.0", "header"),
+        ("s/e.sh", "# SPDX-License-Identifier: EPL-2.0", None, "none"), ("c/readme", "A tool for things. Released under the MIT License. More to\ncome", "MIT", "header"),
+        ("c/clean.txt", "the software is free of charge and you may copy it\nor not. Version 3 of the plan is public.", None, "none"), ("c/Apache.java", "/* Licensed under the Apache License, Version 2.0 (the \"License\");\n * you may not use this file except in compliance with the License.\n * You may obtain a copy of the License at\n *\n *  http://x */", "Apache-2.0", "header"),
+    ]
+    filler = [(f"z/{i}.txt", f"word{i} the of and to in is it that for software copy use license free public general version terms") for i in range(300)]
+    got = {r.path: (r.license, r.how) for r in scan(spark.createDataFrame([f[:2] for f in files] + filler, "path string, text string")).collect()}
+    assert {f[0]: got[f[0]] for f in files} == {f[0]: f[2:] for f in files} and {got[p] for p, _ in filler} == {(None, "none")}

@@ -1,7 +1,9 @@
 """License scans: TF-IDF cosine of lines and licence files with templates, then inheritance from the nearest directory.
 
-Terms are lower-cased words, their inverse document frequency is counted over all files. A line is a unit; a licence file is one
-unit more as a whole. Only units that can reach the similarity are looked at: a template's weightiest terms, without which
+Terms are lower-cased words, their inverse document frequency is counted over all files. Marks are no words, so comment signs
+do not matter. Units are lines, paragraphs (runs of lines with words, so a wrapped header is one) and the sentences of these; a
+licence file is one unit more as a whole. Templates are short statements, the paragraphs of standard headers and the opening
+ones of licence texts, and tags that name a licence. Only units that can reach the similarity are looked at: a template's weightiest terms, without which
 its remaining terms stay below the threshold, must have one in common with the unit (a prefix filter, which loses
 nothing). Units are compared once each, however many files hold them; vectors are rows (unit, term, weight) and meet the
 templates' in a join by term.
@@ -10,12 +12,13 @@ A file's licence is that of its best unit. A file without one takes that of the
 one above; directories, not files, are joined with the licences of their ancestors.
 
 Defined results: a null or empty text has no units and can only inherit; a null path has no directory and inherits nothing; of
-equal similarities the template first by name counts, of several licence files in a directory the best; repeated rows with
+equal similarities the template that stands first in the list counts, of several licence files in a directory the best; repeated rows with
 one path are one file, whose best unit counts, and each row gets its result; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +33,8 @@ SIMILAR = 0.7
 #: Names of licence files, lower-cased, without ending.
 LICENSE_FILES = r"^(licen[cs]e|copying|unlicense|notice)([._-].*)?$"
 
-#: Short statements of common licences.
-TEMPLATES = [
+#: Short statements of common licences, paragraphs of their standard headers, openings of their texts.
+STATEMENTS = [
     ("AGPL-3.0", "This program is licensed under the GNU Affero General Public License, version 3."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("BSD-2-Clause", "Use of this source code is governed by a BSD 2-Clause license."),
@@ -47,9 +50,41 @@ TEMPLATES = [
     ("MIT", "Released under the MIT License."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0."),
     ("Proprietary", "All rights reserved."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
+    ("Apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
+    ("MIT", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("MIT", "The MIT License (MIT)"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
 ]
 
 
+def tag(name: str) -> tuple[str, str]:
+    """The template of a tag that names a licence; the name counts three times, so that tags of other licences stay apart."""
+    return name, "SPDX-License-Identifier: " + " ".join([name] * 3)
+
+
+TEMPLATES = STATEMENTS + [tag(name) for name in sorted({name for name, _ in STATEMENTS} - {"Proprietary"})]
+
+#: Between paragraphs: a line without words. Between sentences: an end mark and white space. Between lines: line ends.
+_NO_WORD = r"\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F"
+PARAGRAPHS, SENTENCES, LINES = rf"\n[{_NO_WORD}]*\n", r"[.!?][\x09-\x0D\x20]+", r"[\n\r]+"
+_CUTS = [re.compile(x.encode()) for x in (PARAGRAPHS, SENTENCES, LINES)]
+
+
 def _terms(column: pa.Array) -> words_.Words:
     return words_.words_of(column, words_.MARKS, lower=True)
 
@@ -95,8 +130,19 @@ def _needed(weights: dict[str, dict[int, float]], similar: float) -> set[int]:
     return needed
 
 
+def _spans(text: bytes) -> set[tuple[int, int]]:
+    """First and last+1 byte of the lines, paragraphs and sentences of paragraphs."""
+
+    def parts(cut: re.Pattern, low: int, high: int) -> list[tuple[int, int]]:
+        found = [(m.start() + low, m.end() + low) for m in cut.finditer(text[low:high])]
+        return list(zip([low, *(e for _, e in found)], [*(s for s, _ in found), high], strict=True))
+
+    paragraphs = parts(_CUTS[0], 0, len(text))
+    return {*paragraphs, *parts(_CUTS[2], 0, len(text)), *(s for low, high in paragraphs for s in parts(_CUTS[1], low, high))}
+
+
 def _units(needed: np.ndarray):
-    """(path, text) of the lines that have a needed term, and of such licence files as a whole."""
+    """(path, text) of the units that have a needed term, and of such licence files as a whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in words_.pieces(batches, "text"):
@@ -104,14 +150,16 @@ def _units(needed: np.ndarray):
             raw, at = words_.buffer_of(column)
             found = _terms(column)
             hit = np.flatnonzero(np.isin(found.hash, needed))
-            lines = words_.words_of(column, b"\n\r", hashed=False)
-            line = np.unique(np.searchsorted(lines.start, found.start[hit], "right") - 1)
-            texts = [raw[s:e].tobytes() for s, e in zip(lines.start[line].tolist(), lines.end[line].tolist(), strict=True)]
-            whole = np.unique(found.row[hit])
-            whole = whole[piece.column("is_license").to_numpy(zero_copy_only=False).astype(bool)[whole]]
-            texts += [raw[at[r] : at[r + 1]].tobytes() for r in whole.tolist()]
-            rows = np.concatenate([lines.row[line], whole]).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([piece.column("path").take(pa.array(rows)), pa.array(texts, pa.binary()).cast(pa.string())], names=["path", "text"])
+            is_license = piece.column("is_license").to_pylist()
+            rows, texts = [], []
+            for r in np.unique(found.row[hit]).tolist():
+                text = raw[at[r] : at[r + 1]].tobytes()
+                places = found.start[hit[found.row[hit] == r]] - at[r]
+                spans = _spans(text) | ({(0, len(text))} if is_license[r] else set())
+                own = [text[low:high] for low, high in spans if np.searchsorted(places, low) < np.searchsorted(places, high)]
+                texts += own
+                rows += [r] * len(own)
+            yield pa.RecordBatch.from_arrays([piece.column("path").take(pa.array(rows, pa.int64())), pa.array(texts, pa.binary()).cast(pa.string())], names=["path", "text"])
 
     return run
 
@@ -131,7 +179,8 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] | None = None, simil
     counts = written(texts.select("text").mapInArrow(_file_counts, "term long, files long").groupBy("term").agg(F.sum("files").alias("files")), "terms")
     total = texts.count()
 
-    models = spark.createDataFrame(templates, "unit string, text string")
+    # The place in the list goes before the name: equal similarities go to the first.
+    models = spark.createDataFrame([(f"{i:04d} {name}", text) for i, (name, text) in enumerate(templates)], "unit string, text string")
     model = _weighed(models.mapInArrow(_unit_terms, "unit string, term long, n long"), counts, total)
     weights: dict[str, dict[int, float]] = {}
     for r in model.collect():  # as many rows as the templates have words
@@ -163,7 +212,7 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] | None = None, simil
     out = files.select("path", "is_license").join(own, "path", "left").withColumn("directory", directory(F.col("path"))).join(nearest, "directory", "left")
     chosen = F.coalesce("best", "inherited")
     how = F.when(F.col("best").isNotNull(), F.when(F.col("is_license"), "file").otherwise("header")).when(F.col("inherited").isNotNull(), "inherited").otherwise("none")
-    return out.select("path", chosen["template"].alias("license"), how.alias("how"), (-chosen["less"]).alias("similarity"))
+    return out.select("path", F.substring(chosen["template"], 6, 1000).alias("license"), how.alias("how"), (-chosen["less"]).alias("similarity"))
 
 
 def paths_of(docs: DataFrame) -> DataFrame:
@@ -183,13 +232,15 @@ _WORDS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 OP3_SQL = rf"""
 with d as (select doc_id, text, case when doc_id % 16 = 0 then concat(coalesce(source, 'unknown'), '/', coalesce(lang, 'unknown'), '/', doc_id // 256, '/LICENSE.', doc_id // 16)
         else concat(coalesce(source, 'unknown'), '/', coalesce(lang, 'unknown'), '/', doc_id // 256, '/', doc_id // 16, '/', doc_id, '.txt') end path, doc_id % 16 = 0 is_license from documents),
-t(template, body) as (values {", ".join("('" + n + "', '" + b + "')" for n, b in TEMPLATES)}),
+t(template, body) as (values {", ".join(f"('{i:04d} {n}', '{b}')" for i, (n, b) in enumerate(TEMPLATES))}),
 df as (select term, count(distinct doc_id) files from (select doc_id, unnest({_WORDS.format(_LOW.format("text"))}) term from d where text is not null) group by term),
 n as (select count(*) n from d where text is not null),
 tw as (select template, term, count(*) * (ln((1.0 + any_value(n.n)) / (1.0 + coalesce(any_value(df.files), 0))) + 1.0) w
        from (select template, unnest({_WORDS.format(_LOW.format("body"))}) term from t) left join df using (term), n group by template, term),
 ts as (select template, term, w / sqrt(sum(w * w) over (partition by template)) share from tw),
-u as (select distinct path, unit from (select path, unnest(regexp_split_to_array(text, '[\n\r]+')) unit from d where text is not null union all select path, text from d where is_license and text is not null) where unit <> ''),
+pg as (select path, unnest(regexp_split_to_array(text, '{PARAGRAPHS}')) unit from d where text is not null),
+u as (select distinct path, unit from (select path, unnest(regexp_split_to_array(text, '{LINES}')) unit from d where text is not null union all select path, unit from pg
+      union all select path, unnest(regexp_split_to_array(unit, '{SENTENCES}')) from pg union all select path, text from d where is_license and text is not null) where unit <> ''),
 uw as (select unit, term, count(*) * (ln((1.0 + any_value(n.n)) / (1.0 + any_value(df.files))) + 1.0) w
        from (select unit, unnest({_WORDS.format(_LOW.format("unit"))}) term from (select distinct unit from u)) join df using (term), n group by unit, term),
 c as (select uw.unit, template, round(sum(uw.w * ts.share) / any_value(m.norm), 6) similarity
@@ -201,7 +252,7 @@ held as (select dir, template, similarity from (select regexp_replace(path, '/?[
 f as (select path, is_license, regexp_replace(path, '/?[^/]*$', '') dir from d),
 a as (select dir, k, array_to_string(string_split(dir, '/')[1 : k], '/') above from (select dir, unnest(range(1, cast(len(string_split(dir, '/')) + 1 as bigint))) k from (select distinct dir from f))),
 i as (select dir, template, similarity from (select a.dir, template, similarity, row_number() over (partition by a.dir order by k desc) r from a join held on held.dir = a.above) where r = 1)
-select f.path, coalesce(own.template, i.template) license,
+select f.path, substr(coalesce(own.template, i.template), 6) license,
        case when own.path is not null then case when is_license then 'file' else 'header' end when i.dir is not null then 'inherited' else 'none' end how,
        coalesce(own.similarity, i.similarity) similarity
 from f left join own on own.path = f.path left join i on i.dir = f.dir
