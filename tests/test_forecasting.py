@@ -9,7 +9,7 @@ from helpers import at, nodes2, raw_frame, to_spark
 from vayuspark.operators import evaluate as ev, features as ft
 from vayuspark.plans.forecast import forecast_all
 from vayuspark.session import cut_lineage
-from vayuspark.vocab import FUTURE_FEATURES, HORIZON, LOOKBACK, PAST_FEATURES, POLLUTANTS, TABULAR_FEATURES
+from vayuspark.vocab import FUTURE_FEATURES, HORIZON, LOOKBACK, MEMBERS, PAST_FEATURES, POLLUTANTS, TABULAR_FEATURES
 
 K = ["location_hash", "timestamp"]
 
@@ -107,6 +107,34 @@ def weights(spark, **by_member):
     return spark.createDataFrame([(p, m, w) for p in POLLUTANTS for m, w in by_member.items()], "pollutant string, member string, weight double")
 
 
+def test_weight_search_finds_the_grid_minimum(spark, monkeypatch):
+    """The same tuple as trying all 231, with ties and unknown values, from at most a third of the row copies."""
+    rng = np.random.default_rng(5)
+    for seed in range(3):
+        n, made = 300, []
+        data = {f"{m}_{p}": rng.normal(seed, 1, n) for m in MEMBERS for p in POLLUTANTS}
+        for k, p in enumerate(POLLUTANTS):
+            mix = rng.dirichlet([0.6] * 3)
+            data[f"y_{p}"] = sum(w * data[f"{m}_{p}"] for w, m in zip(mix, MEMBERS)) + rng.normal(0, 0.2 * k, n)
+        data["y_co"] = data["huber_o3"] * 0 + 1.0
+        for m in MEMBERS:
+            data[f"{m}_co"] = data["gbt_co"]        # every tuple is as good: the first counts
+        frame = pd.DataFrame(data).astype(object)
+        frame.loc[::17, "y_pm25"] = None
+        errors = ev._errors
+        monkeypatch.setattr(ev, "_errors", lambda r, m, wanted, g: made.append(sum(map(len, wanted.values()))) or errors(r, m, wanted, g))
+        got = {(r["pollutant"], r["member"]): (r["weight"], r["mae"]) for r in ev.search_weights(spark.createDataFrame(frame)).collect()}
+        monkeypatch.undo()
+        grid = np.array(ev.simplex(3))
+        for p in POLLUTANTS:
+            known = ~pd.isna(frame[f"y_{p}"])
+            x = np.stack([frame.loc[known, f"{m}_{p}"].astype(float) for m in MEMBERS])
+            mae = np.abs(grid @ x - frame.loc[known, f"y_{p}"].astype(float).to_numpy()).mean(axis=1)
+            i = min(range(len(grid)), key=lambda i: (round(mae[i], 9), i))
+            assert [got[p, m][0] for m in MEMBERS] == pytest.approx(list(grid[i])) and got[p, "rf"][1] == pytest.approx(mae[i])
+        assert sum(made) <= 231 * len(POLLUTANTS) // 3 + 231
+
+
 def test_blend(spark):
     rows, w = wide(spark, {"a": 0, "b": 1, "c": 2}), weights(spark, a=0.5, b=0.5, c=0.0)
     assert ev.blend(rows, w, ["a", "b", "c"]).first()["ensemble_pm25"] == pytest.approx(0.5)
