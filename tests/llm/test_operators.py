@@ -598,3 +598,27 @@ def test_licenses_as_they_are_written(spark):
     filler = [(f"z/{i}.txt", f"word{i} the of and to in is it that for software copy use license free public general version terms") for i in range(300)]
     got = {r.path: (r.license, r.how) for r in scan(spark.createDataFrame([f[:2] for f in files] + filler, "path string, text string")).collect()}
     assert {f[0]: got[f[0]] for f in files} == {f[0]: f[2:] for f in files} and {got[p] for p, _ in filler} == {(None, "none")}
+
+
+def test_operators_called_from_another_folder(tmp_path):
+    """The workers get the package from the operators themselves, wherever the driver runs."""
+    import subprocess
+
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    script = tmp_path / "job.py"
+    script.write_text(
+        f"import sys\nsys.path.append({root!r})\nfrom vayuspark.session import local_session\nfrom vayuspark.llm import bpe, decontaminate, licenses, minhash, substring\n"
+        "spark = local_session('2', 'elsewhere')\n"
+        "docs = spark.createDataFrame([(1, 'one two three four five six seven eight nine ten eleven'), (2, 'a b')], 'doc_id long, text string')\n"
+        "files = spark.createDataFrame([('a/LICENSE', 'Released under the MIT License.')], 'path string, text string')\n"
+        "items = spark.createDataFrame([('i', 'two three four five six seven eight nine ten eleven')], 'item_id string, text string')\n"
+        "assert decontaminate.find_contamination(docs, items).where('n_hit = 10').count() == 1\n"
+        "assert licenses.scan(files).first()['license'] == 'MIT'\n"
+        "assert minhash.near_duplicates(docs).where('kept').count() == 2\n"
+        "assert substring.remove_repeats(docs, 4).where('n_removed > 0').count() == 0\n"
+        "assert bpe.encode(docs).where('n_tokens > 0').count() == 2\n"
+        "print('done')\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
+    assert done.stdout.strip().endswith("done"), done.stderr[-2000:]

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vayuspark.llm import text as words_
-from vayuspark.llm.tables import table, with_text_key, written
+from vayuspark.llm.tables import prepared, table, with_text_key, written
 
 N = 10
 #: Text of a benchmark whose windows are sent to every task: some 350,000 windows, about 250 MB in a process.
@@ -123,6 +123,7 @@ def _plain(docs: DataFrame) -> DataFrame:
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = N, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Documents with n_words, n_hit, items (sorted), clean_text (without the hit words) and spans (byte from, to, ...)."""
+    prepared(docs.sparkSession)
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     size = items.agg(F.sum(F.octet_length("text") + F.coalesce(F.octet_length("item_id"), F.lit(0)) + 64)).first()[0] or 0
     if size > broadcast_bytes:

@@ -37,12 +37,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a table in the shared folder, which outlives any executor."""
+    prepared(df.sparkSession)
     return cut_lineage(df, f"llm-{name}")
 
 
 def written_by(df: DataFrame, key: str, parts: int, name: str) -> DataFrame:
     """The same, in `parts` buckets of the key, so that a join by the key moves the other side only."""
-    spark = df.sparkSession
+    spark = prepared(df.sparkSession)
     table_name = f"llm_{name}_{uuid.uuid4().hex}"
     df.write.format("parquet").bucketBy(parts, key).option("path", run_dir(spark, f"llm-{name}")).saveAsTable(table_name)
     return spark.table(table_name)
