@@ -80,6 +80,20 @@ def test_polygon_with_hole_overlap_and_border(spark):
     assert got == {"in", "both", "b", "level", "seam"}       # the seam of two touching polygons is inside their union
 
 
+def test_one_latitude_is_no_one_task(spark):
+    """All points on one scan line: its rows are dealt into many segments, and the answer stays that of a plain scan."""
+    n = 6_000
+    df = spark.range(n).select(F.lit(2.0).alias("lat"), (F.pow(F.col("id") / n, 3.0) * 40).alias("lon"))
+    ring = lambda p, a, b: [(p, a, 0.0, b, 0.0), (p, b, 0.0, b, 4.0), (p, b, 4.0, a, 4.0), (p, a, 4.0, a, 0.0)]
+    spans = [(1.0, 3.0), (2.5, 7.0), (20.0, 33.0)]
+    e = spark.createDataFrame([r for i, (a, b) in enumerate(spans) for r in ring(f"p{i}", a, b)], "polygon string, x1 double, y1 double, x2 double, y2 double")
+    got = sorted(r["lon"] for r in sp.clip_to_polygons(df, e).collect())
+    assert got == sorted(r["lon"] for r in df.collect() if any(a < r["lon"] < b for a, b in spans))
+    segment = sp._quantile_bucket(df, "lon", sp.SEGMENTS)
+    sizes = [r["count"] for r in df.groupBy("lat", segment(F.col("lon")).alias("s")).count().collect()]
+    assert len(sizes) > 200 and max(sizes) < 5 * n / sp.SEGMENTS
+
+
 def test_triangle_vertices(spark):
     e = spark.createDataFrame([("t", 0.0, 0.0, 4.0, 2.0), ("t", 4.0, 2.0, 0.0, 4.0), ("t", 0.0, 4.0, 0.0, 0.0)], "polygon string, x1 double, y1 double, x2 double, y2 double")
     df = spark.createDataFrame([("in", 2.0, 1.0), ("tip", 2.0, 4.0), ("past", 2.0, 5.0), ("before", 2.0, -1.0)], "k string, lat double, lon double")

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vayuspark.functions.geo import DEGREE_KM, EARTH_KM, equirect_km, haversine_km, location_hash
+from vayuspark.operators.blocks import running_before
+from vayuspark.session import cut_lineage
 from vayuspark.vocab import DEDUPE_KM, GRID_BOX, NEAREST_KM
 
 CELL = 1 / 64      # degrees of the finest cell: at most a few hundred places at three decimals
@@ -168,6 +170,20 @@ def lattice(rows: DataFrame, step: float, box: tuple = GRID_BOX) -> DataFrame:
     )
 
 
+#: Bands of latitude, and segments of a scan line, by quantiles of the points.
+BANDS, SEGMENTS = 256, 256
+
+
+def _quantile_bucket(points: DataFrame, column: str, n: int):
+    """A number from 0 to n - 1 that rises with the value, with about as many of the points' values in each bucket.
+
+    The n - 1 edges are read once and become literals.
+    """
+    edges = points.agg(F.percentile_approx(column, [k / n for k in range(1, n)], 100 * n)).first()[0] or [0.0]
+    known = F.array(*[F.lit(float(e)) for e in sorted(set(edges))])
+    return lambda y: F.size(F.filter(known, lambda e: e <= y)).cast("long")
+
+
 def clip_to_polygons(points: DataFrame, edges: DataFrame) -> DataFrame:
     """Points strictly inside the union of polygons (holes by parity).
 
@@ -175,10 +191,14 @@ def clip_to_polygons(points: DataFrame, edges: DataFrame) -> DataFrame:
     longitude, crossings of a polygon open and close in turn, and a running sum along the line says how
     many polygons cover a point. A border point is covered on one side only and drops out. The scan is
     done twice, with edges taken at their lower and at their upper end, so level borders drop out too.
+
+    Edges and lines meet by bands of latitude that hold equally many lines, and the running sums are made of
+    totals of segments of a line and sums inside a segment, so neither a narrow strip of points nor a
+    single latitude with all of them is one task.
     """
-    lines = points.select("lat").distinct()
-    band = lambda y: F.floor(y * 4).cast("long")
-    inside = points.select("lat", "lon").distinct()
+    lines = cut_lineage(points.select("lat").distinct(), "lines")
+    inside = cut_lineage(points.select("lat", "lon").distinct(), "places")
+    band, segment = _quantile_bucket(lines, "lat", BANDS), _quantile_bucket(inside, "lon", SEGMENTS)
     spans = edges.withColumns({"_y0": F.least("y1", "y2"), "_y1": F.greatest("y1", "y2")}).where("_y0 < _y1")
     met = spans.withColumn("_b", F.explode(F.sequence(band(F.col("_y0")), band(F.col("_y1"))))).join(
         lines.withColumn("_b", band(F.col("lat"))), "_b"
@@ -192,16 +212,13 @@ def clip_to_polygons(points: DataFrame, edges: DataFrame) -> DataFrame:
         crossings = met.where(rule).select("polygon", "lat", x.alias("lon"))
         turn = F.row_number().over(Window.partitionBy("polygon", "lat").orderBy("lon")) % 2
         events = crossings.withColumn("step", F.when(turn == 1, F.lit(1)).otherwise(F.lit(-1)))
-        marked = inside.withColumns({"step": F.lit(0), "point": F.lit(True)}).unionByName(
-            events.select("lat", "lon", "step", F.lit(False).alias("point"))
-        )
-        along = Window.partitionBy("lat").orderBy("lon")
-        upto = F.sum("step").over(along.rangeBetween(Window.unboundedPreceding, 0))
-        here = F.sum("step").over(along.rangeBetween(0, 0))
-        inside = (
-            marked.withColumns({"_right": upto, "_left": upto - here})
-            .where("point and _right > 0 and _left > 0").select("lat", "lon")
+        marked = inside.withColumns({"step": F.lit(0), "point": F.lit(1)}).unionByName(
+            events.select("lat", "lon", "step", F.lit(0).alias("point"))
         )
+        # one row for each place, so that what lies before it is plain
+        places = cut_lineage(marked.groupBy("lat", "lon").agg(F.sum("step").alias("step"), F.max("point").alias("point")), "scan")
+        summed = running_before(places, ["lat"], segment(F.col("lon")), ["lon"], F.col("step"), "_left")
+        inside = summed.where((F.col("point") == 1) & (F.col("_left") > 0) & (F.col("_left") + F.col("step") > 0)).select("lat", "lon")
     return points.join(inside, ["lat", "lon"], "left_semi")
 
 
