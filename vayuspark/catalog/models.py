@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import functions as F
 
 from vayuspark import bridges as b
@@ -17,7 +18,7 @@ from vayuspark.plans.forecast import forecast_all
 from vayuspark.session import run_dir
 from vayuspark.sources.tables import read_table
 from vayuspark.streaming import jobs
-from vayuspark.vocab import AIR_NAMES, AVERAGES, POLLUTANTS, RAW, SUB_INDICES, WEATHER_NAMES
+from vayuspark.vocab import AIR_NAMES, AVERAGES, POLLUTANTS, PROXY_LIMITS, RAW, SUB_INDICES, WEATHER_NAMES
 
 K = ["location_hash", "timestamp"]
 KEYS = "location_hash, timestamp"
@@ -87,6 +88,35 @@ def m18(spark, sf):
     return rounded(px.fill_pm_gaps(obs, models).select(*K, "pm25", "pm10", "pm_gap_filled"))
 
 
+GIVEN_MODEL = {"pm25": "300 * aod + temp_c - 20", "pm10": "humidity_pct * 9 - pressure_hpa / 10"}
+
+
+def given_models():
+    """Stand-ins for the learnt pipelines, whose estimates SQL can work out too."""
+    return {t: SQLTransformer(statement=f"select *, {formula} as prediction from __THIS__") for t, formula in GIVEN_MODEL.items()}
+
+
+_HOLED = "(select location_hash, timestamp, aod, temp_c, humidity_pct, wind_speed_ms, coalesce(pressure_hpa, 1013.25) as pressure_hpa, coalesce(boundary_layer_m, 1000.0) as boundary_layer_m, case when aod <= 0.8 then pm25 end as pm25, case when aod <= 0.8 then pm10 end as pm10 from t_obs)"
+_ESTIMATE = {t: f"least(greatest({formula}, 0.0), {PROXY_LIMITS[t]})" for t, formula in GIVEN_MODEL.items()}
+
+
+@query(
+    "m18_fill_given_model",
+    f"select {KEYS}, {r('coalesce(pm25, ' + _ESTIMATE['pm25'] + ') as pm25', 'coalesce(pm10, ' + _ESTIMATE['pm10'] + ') as pm10')}, pm25 is null or pm10 is null as pm_gap_filled from {_HOLED}",
+)
+def m18g(spark, sf):
+    """Which rows are filled, limits and flags, with models that are given."""
+    obs = holed(b.observations(spark, sf)).select(*K, "aod", *px.WEATHER, "pm25", "pm10")
+    return rounded(px.fill_pm_gaps(obs, given_models()).select(*K, "pm25", "pm10", "pm_gap_filled"))
+
+
+@query("m19_estimates_given_model", f"select {KEYS}, {r('pm25', _ESTIMATE['pm25'] + ' as pm25_proxy', _ESTIMATE['pm10'] + ' as pm10_proxy')} from {_HOLED}")
+def m19g(spark, sf):
+    """Estimates next to the values, within their limits, with models that are given."""
+    obs = holed(b.observations(spark, sf)).select(*K, "aod", *px.WEATHER, "pm25", "pm10")
+    return rounded(px.proxy_estimates(obs, given_models()).select(*K, "pm25", "pm25_proxy", "pm10_proxy"))
+
+
 @query("m18_no_model", f"select {KEYS}, {r('case when aod <= 0.8 then pm25 end as pm25', 'case when aod <= 0.8 then pm10 end as pm10')}, false as pm_gap_filled from t_obs")
 def m18n(spark, sf):
     obs = holed(b.observations(spark, sf)).select(*K, "pm25", "pm10")

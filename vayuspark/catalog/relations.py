@@ -79,16 +79,13 @@ def src4(spark, sf):
 
 @query("src4_read_payloads", f"select {KEYS}, {r(*WEATHER_NAMES.values())} from t_obs")
 def src4_lists(spark, sf):
-    """Files that hold a list of payload objects each (one file per day)."""
+    """Files that hold one list of payload objects each, read as landed files are."""
     path = run_dir(spark, "payload-lists")
     objects = payloads(spark, sf, WEATHER_NAMES).withColumn("part", F.crc32("location_hash") % 64)
     one = F.to_json(F.struct("location_hash", "hourly"), {"ignoreNullFields": "false"})
-    lists = objects.groupBy("part", F.col("hourly.time")[0].substr(1, 10).alias("d")).agg(F.collect_list(one).alias("o"))
-    # one list per line keeps this fixture spread out; real landing files hold one list each
-    lists.select(F.concat(F.lit("["), F.concat_ws(",", "o"), F.lit("]")).alias("value")).write.text(path)
-    schema = rd.hourly_schema(WEATHER_NAMES)
-    rows = spark.read.text(path).select(F.explode(F.from_json("value", "array<" + schema.simpleString() + ">")).alias("p"))
-    return rounded(rd.explode_hourly(rows.select("p.*"), WEATHER_NAMES))
+    lists = objects.groupBy("part").agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list(one), ",\n"), F.lit("\n]")).alias("value"))
+    lists.write.partitionBy("part").text(path)
+    return rounded(rd.explode_hourly(rd.read_payloads(spark, path, WEATHER_NAMES).drop("part"), WEATHER_NAMES))
 
 
 @query("src5_parse_region", f"select {KEYS}, {r('case when hour(timestamp) = 3 then null else aod end as aod')} from t_obs")

@@ -280,7 +280,8 @@ def wilcoxon_less(errors: DataFrame, a: str, b: str, exact_below: int = 50) -> D
     Equal differences (to 9 digits) share a rank and are counted before they are ranked; only differences of 0 drop out.
     """
     d = F.col(a) - F.col(b)
-    pairs = errors.select(d.alias("d"), F.round(F.abs(d), 9).alias("size")).where("d <> 0")
+    # two numbers a pair, stored: the few of a small case are read again below
+    pairs = cut_lineage(errors.select(d.alias("d"), F.round(F.abs(d), 9).alias("size")).where("d <> 0"), "pairs")
     sizes = pairs.groupBy("size").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("d") > 0).alias("up"))
     ranked = running_before(sizes, [], order_bucket(F.col("size")), ["size"], F.col("n"), "before")
     rank = F.col("before") + (F.col("n") + 1) / 2
