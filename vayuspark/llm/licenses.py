@@ -4,8 +4,8 @@ Terms are lower-cased words, their inverse document frequency is counted over al
 do not matter. Units are lines, paragraphs (runs of lines with words, so a wrapped header is one) and the sentences of these; a
 licence file is one unit more as a whole. Templates are short statements, the paragraphs of standard headers and the opening
 ones of licence texts, and tags that name a licence. Only units that can reach the similarity are looked at: a template's weightiest terms, without which
-its remaining terms stay below the threshold, must have one in common with the unit (a prefix filter, which loses
-nothing). Units are compared once each, however many files hold them; vectors are rows (unit, term, weight) and meet the
+its remaining terms stay below the threshold, must have one in common with the unit (a prefix filter), and its cosine with the other terms at their least weight must reach
+the similarity; neither loses anything. Units are compared once each, however many files hold them; vectors are rows (unit, term, weight) and meet the
 templates' in a join by term.
 
 A file's licence is that of its best unit. A file without one takes that of the licence file in its own directory or the nearest
@@ -115,7 +115,7 @@ def _unit_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _weighed(terms: DataFrame, files: DataFrame, total: int) -> DataFrame:
     """(unit, term, weight) by term frequency and inverse document frequency."""
     idf = F.log((F.lit(1.0) + total) / (F.lit(1.0) + F.coalesce("files", F.lit(0)))) + 1.0
-    return terms.join(files, "term", "left").select("unit", "term", (F.col("n") * idf).alias("weight"))
+    return terms.join(files, "term", "left").select("unit", "term", (F.col("n") * idf).alias("weight"), idf.alias("idf"))
 
 
 def _needed(weights: dict[str, dict[int, float]], similar: float) -> set[int]:
@@ -141,24 +141,56 @@ def _spans(text: bytes) -> set[tuple[int, int]]:
     return {*paragraphs, *parts(_CUTS[2], 0, len(text)), *(s for low, high in paragraphs for s in parts(_CUTS[1], low, high))}
 
 
-def _units(needed: np.ndarray):
-    """(path, text) of the units that have a needed term, and of such licence files as a whole."""
+class _Reach:
+    """The terms of all templates, and whether a unit can reach the similarity of any of them.
+
+    The weights of a unit's template terms are known exactly; every other term has an inverse document frequency of 1 at least,
+    so the cosine is never above what is worked out here.
+    """
+
+    def __init__(self, weights: dict[str, dict[int, float]], idf: dict[int, float], similar: float):
+        self.needed = np.sort(np.array(sorted(_needed(weights, similar)), np.int64).view(np.uint64))
+        terms = np.array(sorted(idf), np.int64)
+        order = np.argsort(terms.view(np.uint64))
+        self.terms, self.idf = terms.view(np.uint64)[order], np.array([idf[t] for t in terms.tolist()])[order]
+        place = {t: i for i, t in enumerate(terms[order].tolist())}
+        self.share = np.zeros((len(terms), len(weights)))
+        for k, own in enumerate(weights.values()):
+            norm = sum(w * w for w in own.values()) ** 0.5
+            for t, w in own.items():
+                self.share[place[t], k] = w / norm
+        self.least = similar * 0.999
+
+    def possible(self, hashes: np.ndarray) -> bool:
+        term, n = np.unique(hashes, return_counts=True)
+        at = np.minimum(np.searchsorted(self.terms, term), len(self.terms) - 1)
+        known = self.terms[at] == term
+        weight = n[known] * self.idf[at[known]]
+        whole = (weight * weight).sum() + (n[~known].astype(float) ** 2).sum()
+        return bool(len(weight)) and (weight @ self.share[at[known]]).max() >= self.least * whole**0.5
+
+
+def _units(reach: _Reach):
+    """(path, text) of the units that have a needed term and can be similar, and of such licence files as a whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in words_.pieces(batches, "text"):
             column = piece.column("text")
             raw, at = words_.buffer_of(column)
             found = _terms(column)
-            hit = np.flatnonzero(np.isin(found.hash, needed))
+            hit = np.flatnonzero(np.isin(found.hash, reach.needed))
             is_license = piece.column("is_license").to_pylist()
             rows, texts = [], []
             for r in np.unique(found.row[hit]).tolist():
                 text = raw[at[r] : at[r + 1]].tobytes()
                 places = found.start[hit[found.row[hit] == r]] - at[r]
-                spans = _spans(text) | ({(0, len(text))} if is_license[r] else set())
-                own = [text[low:high] for low, high in spans if np.searchsorted(places, low) < np.searchsorted(places, high)]
-                texts += own
-                rows += [r] * len(own)
+                spans = sorted(_spans(text) | ({(0, len(text))} if is_license[r] else set()))
+                spans = [(low, high) for low, high in spans if np.searchsorted(places, low) < np.searchsorted(places, high)]
+                edges = np.searchsorted(found.start, np.array(spans, np.int64).reshape(-1, 2) + at[r])
+                for (low, high), (first, last) in zip(spans, edges.tolist(), strict=True):
+                    if reach.possible(found.hash[first:last]):
+                        rows.append(r)
+                        texts.append(text[low:high])
             yield pa.RecordBatch.from_arrays([piece.column("path").take(pa.array(rows, pa.int64())), pa.array(texts, pa.binary()).cast(pa.string())], names=["path", "text"])
 
     return run
@@ -183,15 +215,17 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] | None = None, simil
     models = spark.createDataFrame([(f"{i:04d} {name}", text) for i, (name, text) in enumerate(templates)], "unit string, text string")
     model = _weighed(models.mapInArrow(_unit_terms, "unit string, term long, n long"), counts, total)
     weights: dict[str, dict[int, float]] = {}
+    idf: dict[int, float] = {}
     for r in model.collect():  # as many rows as the templates have words
         weights.setdefault(r.unit, {})[r.term] = r.weight
-    needed = np.array(sorted(_needed(weights, similar)), np.int64).view(np.uint64)
+        idf[r.term] = r.idf
+    reach = _Reach(weights, idf, similar)
     rows = [(unit, term, w / sum(x * x for x in terms.values()) ** 0.5) for unit, terms in weights.items() for term, w in terms.items()]
     model = F.broadcast(spark.createDataFrame(rows, "template string, term long, share double"))
 
-    units = written(texts.where("path is not null").mapInArrow(_units(needed), "path string, text string").withColumn("unit", F.md5("text")), "units")
+    units = written(texts.where("path is not null").mapInArrow(_units(reach), "path string, text string").withColumn("unit", F.md5("text")), "units")
     distinct = units.groupBy("unit").agg(F.min("text").alias("text"))
-    vectors = written(_weighed(distinct.mapInArrow(_unit_terms, "unit string, term long, n long"), counts, total), "vectors")
+    vectors = written(_weighed(distinct.mapInArrow(_unit_terms, "unit string, term long, n long"), counts, total).drop("idf"), "vectors")
     norms = vectors.groupBy("unit").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
     dots = vectors.join(model, "term").groupBy("unit", "template").agg(F.sum(F.col("weight") * F.col("share")).alias("dot"))
     close = dots.join(norms, "unit").withColumn("similarity", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("similarity") >= similar)
