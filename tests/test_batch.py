@@ -13,12 +13,12 @@ from vayuspark.vocab import AIR_NAMES, POLLUTANTS, WEATHER_NAMES
 HOURS = 24 * 11
 
 
-def payloads(spark, names, seed, revise=0.0):
+def payloads(spark, names, seed, revise=0.0, hours=HOURS):
     rng = np.random.default_rng(seed)
-    times = [at(h).strftime("%Y-%m-%dT%H:%M") for h in range(HOURS)]
+    times = [at(h).strftime("%Y-%m-%dT%H:%M") for h in range(hours)]
     rows = []
     for node in ("aaaa0001", "aaaa0002"):
-        body = {"time": times, **{n: [float(v) + revise for v in rng.uniform(5, 60, HOURS)] for n in names}}
+        body = {"time": times, **{n: [float(v) + revise for v in rng.uniform(5, 60, hours)] for n in names}}
         rows.append((node, body))
     return spark.createDataFrame(rows, hourly_schema(names))
 
@@ -59,7 +59,7 @@ def test_whole_pass_twice(spark):
 
 
 TINY = dict(
-    val_days=1, test_days=1, stride=6, train_draws=2, val_draws=1, train_samples=40, gbt={"maxIter": 2, "maxDepth": 2, "stepSize": 0.3},
+    val_days=2, test_days=1, stride=6, train_draws=2, val_draws=1, train_samples=40, gbt={"maxIter": 2, "maxDepth": 2, "stepSize": 0.3},
     rf={"numTrees": 3, "maxDepth": 3}, huber={"maxIter": 5, "regParam": 0.01, "epsilon": 1.35},
 )
 
@@ -75,11 +75,11 @@ def test_jobs_from_nodes_to_forecast_twice(spark):
     assert known.where("kind = 'city'").count() == 112 and known.where("kind = 'grid'").count() > 5
     two = [r["location_hash"] for r in known.orderBy("location_hash").limit(2).collect()]
     rename = lambda df: df.withColumn("location_hash", F.when(F.col("location_hash") == "aaaa0001", two[0]).otherwise(two[1]))
-    weather, air = (rename(payloads(spark, n, i)).cache() for i, n in enumerate((WEATHER_NAMES, AIR_NAMES), 1))
-    issue = at(24 * 10 + 0)
+    weather, air = (rename(payloads(spark, n, i, hours=24 * 16)).cache() for i, n in enumerate((WEATHER_NAMES, AIR_NAMES), 1))
+    issue = at(24 * 14)
     assert batch.backfill_job(t, weather, air, issue, batches=4) == 0
     assert batch.backfill_job(t, weather, air, issue, batches=4, to_tables=False) > 0
-    assert t.read("raw_observations").count() == 2 * (24 * 10 + 1)
+    assert t.read("raw_observations").count() == 2 * (24 * 14 + 1)
     batch.proxy_job(t)
     obs = t.read("raw_observations")
     assert batch.train_job(t, issue, Settings(**TINY), "one", obs, known).first()["promote"]
@@ -98,7 +98,7 @@ def test_champion_is_scored_on_the_candidates_hours(spark, monkeypatch):
     from vayuspark.plans import artefacts, promotion
     from vayuspark.plans.training import Settings, run_training
 
-    obs, nodes, registry = to_spark(spark, raw_frame(24 * 14)).cache(), nodes2(spark), run_dir(spark, "registry")
+    obs, nodes, registry = to_spark(spark, raw_frame(24 * 20)).cache(), nodes2(spark), run_dir(spark, "registry")
     path = f"{registry}/runs/a"
     run = run_training(obs, nodes, Settings(**TINY), "a", ["huber", "rf"], trained_at=at(5))
     card = json.loads(run.card.first()["card"])
