@@ -147,6 +147,22 @@ def test_search(spark):
     assert hits == [("agra", 1, "1"), ("agra", 2, "2"), ("g", 1, "1"), ("g", 2, "2"), ("une", 1, "3"), ("up", 1, "1"), ("up", 2, "2")]
 
 
+def test_search_looks_up_no_more_rows_than_its_limit(spark):
+    """Texts made of common runs (the rarest three letters of many are in hundreds of names) against a plain search."""
+    rows = [(f"h{i:04d}", f"Site {i * 7 % 1000:06d}" if i % 50 else None, f"State {i % 3}", "city" if i % 11 == 0 else "grid") for i in range(1500)]
+    nodes = spark.createDataFrame(rows, "location_hash string, location_name string, state string, kind string").withColumns({"lat": F.lit(1.0), "lon": F.lit(1.0)})
+    texts = sorted({f"{i:06d}"[i % 4:] for i in range(0, 1000, 3)} | {"000", "site 000", "site 0001", "e", "state 1", "nothing", "0000000", "site 000123 and more"})
+    wanted = spark.createDataFrame([(t,) for t in texts], "query string")
+    looked_up = {r["query"]: r["count"] for r in nd.text_hits(nodes, wanted, 5).groupBy("query").count().collect()}
+    assert looked_up["000"] == looked_up["e"] == 5 and max(looked_up.values()) == 5
+    plain = []
+    for t in texts:
+        hits = [r for r in rows if t in (r[1] or "").lower() or t in r[2].lower()]
+        hits.sort(key=lambda r: (r[3] != "city", r[1] is not None, r[1] or "", r[0]))
+        plain += [(t, r[0], k) for k, r in enumerate(hits[:5], 1)]
+    assert sorted((r["query"], r["location_hash"], r["place"]) for r in nd.search_nodes(nodes, wanted, 5).collect()) == sorted(plain)
+
+
 def test_training_nodes_stride(spark):
     n = spark.createDataFrame([(f"g{i:02d}", 7.0 + i, 70.0, "grid") for i in range(25)] + [("c", 1.0, 1.0, "city")], "location_hash string, lat double, lon double, kind string")
     assert sorted(r[0] for r in quality.training_nodes(n, 10).select("location_hash").collect()) == ["c", "g00", "g10", "g20"]

@@ -41,45 +41,54 @@ def build_nodes(city_rows: DataFrame, grid: DataFrame) -> DataFrame:
     return both.groupBy("location_hash").agg(first.alias("n")).select("location_hash", "n.*")
 
 
-GRAM = 3
+#: Texts of the nodes whose runs of letters are worked out in one task.
+TEXTS_AT_ONCE = 10_000
 
 
-def _grams(text: Column, size: int) -> Column:
-    """The distinct runs of `size` letters."""
+def _runs(text: Column, lengths: Column) -> Column:
+    """The distinct runs of letters of these lengths."""
     n = F.length(text)
-    return F.when(n >= size, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(size))))).otherwise(F.array().cast("array<string>"))
+    of_length = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.substring(text, i, k))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.flatten(F.transform(lengths, of_length)))
 
 
-def gram_index(nodes: DataFrame) -> DataFrame:
-    """(gram, location_hash): every run of one to three letters of a node's name or state, in lower case."""
-    texts = [F.lower(F.coalesce(c, F.lit(""))) for c in ("location_name", "state")]
-    grams = F.array_distinct(F.concat(*[_grams(t, k) for t in texts for k in range(1, GRAM + 1)]))
-    return nodes.select(F.explode(grams).alias("gram"), "location_hash")
+def _first(rows: DataFrame, keys: list[str], limit: int) -> DataFrame:
+    """The first rows of each key with their `place`: cities, then by name. Spark applies the limit before the shuffle as well."""
+    rank = Window.partitionBy(*keys).orderBy(F.when(F.col("kind") == "city", 0).otherwise(1), "location_name", "location_hash")
+    return rows.withColumn("place", F.row_number().over(rank)).where(F.col("place") <= limit)
+
+
+def text_hits(nodes: DataFrame, wanted: DataFrame, limit: int = 12) -> DataFrame:
+    """(query, location_hash) of the first hits of each wanted text: at most `limit` rows each, in any order.
+
+    A text that is part of a name is one of the name's runs of that length, so runs meet texts by equality and nothing has to be
+    verified: work grows with the nodes, not with the nodes that share letters with a text. Of nodes with the same name (or state) only
+    the first few can count. A node that a name finds is left out under its state.
+    """
+    # a handful of numbers, which become literals
+    lengths = F.array(*[F.lit(r["n"]) for r in wanted.select(F.length("query").alias("n")).distinct().orderBy("n").collect()]).cast("array<int>")
+    lowered = nodes.where("location_hash is not null").select("location_hash", "location_name", "kind", F.explode(F.array(
+        F.struct(F.lower("location_name").alias("text"), F.lit(False).alias("by_state")), F.struct(F.lower("state").alias("text"), F.lit(True).alias("by_state")),
+    )).alias("x")).select("location_hash", "location_name", "kind", "x.*").where("text <> ''")
+    tasks = nodes.count() // TEXTS_AT_ONCE + 1
+    # names side by side share runs, so that more of them stop at the limit before the shuffle
+    texts = _first(lowered, ["text", "by_state"], limit).drop("place").repartitionByRange(tasks, "text", "location_hash")
+    runs = texts.select("location_hash", "location_name", "kind", "by_state", F.explode(_runs(F.col("text"), lengths)).alias("query"))
+    named = F.coalesce(F.lower("location_name").contains(F.col("query")), F.lit(False))
+    return _first(runs.where(~(F.col("by_state") & named)).drop("by_state"), ["query"], limit).join(wanted, "query").select("query", "location_hash")
 
 
 def search_nodes(nodes: DataFrame, texts: list[str] | DataFrame, limit: int = 12) -> DataFrame:
     """The best hits per search text: part of the name or state, cities first, then by name.
 
-    texts: a list, or a table with a column `query`. Each distinct text (trimmed, lower case; empty ones have no hits) goes to
-    the index with its rarest run of three letters (a shorter one with itself), and what it finds there is verified. Only the
-    runs that some text asks for are looked at, and the rank limit is applied before the shuffle by text and after it.
+    texts: a list, or a table with a column `query`. Each distinct text (trimmed, lower case; empty ones have no hits) meets the runs
+    of letters of its length in names and states.
     """
     if not isinstance(texts, DataFrame):
         texts = nodes.sparkSession.createDataFrame([(t,) for t in texts], "query string")
     query = F.lower(F.trim("query")).alias("query")
     wanted = texts.select(query).where("query <> ''").distinct()
-    size = F.least(F.length("query"), F.lit(GRAM))
-    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("query") - size + 1), lambda i: F.substring(F.col("query"), i, size)))
-    asked = wanted.select("query", F.explode(runs).alias("gram"))
-    index = gram_index(nodes).join(asked.select("gram").distinct(), "gram", "left_semi")
-    often = index.groupBy("gram").agg(F.count(F.lit(1)).alias("often"))
-    # a run that no node has: no hit
-    rarest = asked.join(often, "gram", "left").groupBy("query").agg(F.min_by(F.struct("gram", "often"), F.struct(F.coalesce("often", F.lit(0)), "gram")).alias("x"))
-    rarest = rarest.where(F.col("x.often").isNotNull()).select("query", "x.gram")
-    found = rarest.join(index, "gram").select("query", "location_hash").join(nodes, "location_hash")
+    found = text_hits(nodes, wanted, limit).join(nodes, "location_hash")
     name, state = F.lower("location_name"), F.lower(F.coalesce("state", F.lit("")))
     hits = found.where(F.coalesce(name.contains(F.col("query")), F.lit(False)) | state.contains(F.col("query")))
-    rank = Window.partitionBy("query").orderBy(
-        F.when(F.col("kind") == "city", 0).otherwise(1), "location_name", "location_hash"
-    )
-    return hits.select("query", *nodes.columns).withColumn("place", F.row_number().over(rank)).where(F.col("place") <= limit)
+    return _first(hits.select("query", *nodes.columns), ["query"], limit)
