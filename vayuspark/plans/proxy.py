@@ -17,7 +17,7 @@ from vayuspark.operators.aggregates import holdout_metrics
 from vayuspark.operators.blocks import exact_quantiles
 from vayuspark.operators.quality import PROXY_CORE, training_rows
 from vayuspark.operators.windows import NODE, TIME, ffill, fill
-from vayuspark.plans.fits import side_by_side
+from vayuspark.plans.fits import fits_at_once, side_by_side
 from vayuspark.session import cut_lineage
 from vayuspark.vocab import PROXY_DEFAULTS, PROXY_FEATURES, PROXY_FILL_ROWS, PROXY_LIMITS
 
@@ -103,7 +103,7 @@ def cross_validate(obs: DataFrame, target: str, k: int = 5, trees: dict | None =
         held = cut_lineage(held.select(F.col(target).cast("double").alias(target), "prediction"), "held-out")
         return [float(RegressionEvaluator(labelCol=target, predictionCol="prediction", metricName=m).evaluate(held)) for m in ("rmse", "r2")]
 
-    each = side_by_side(obs.sparkSession, [partial(one, fold) for fold in range(k)])
+    each = side_by_side(obs.sparkSession, [partial(one, fold) for fold in range(k)], fits_at_once(rows.count(), len(PROXY_FEATURES)))
     found = dict(zip(("rmse", "r2"), zip(*each)))
     mean = {m: sum(v) / k for m, v in found.items()}
     spread = {m: (sum((x - mean[m]) ** 2 for x in v) / k) ** 0.5 for m, v in found.items()}
