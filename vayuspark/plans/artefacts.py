@@ -7,11 +7,13 @@ from __future__ import annotations
 
 import hashlib
 from dataclasses import fields
+from functools import partial
 
 from pyspark.errors import AnalysisException
 from pyspark.ml.regression import GBTRegressionModel, LinearRegressionModel, RandomForestRegressionModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from vayuspark.plans.fits import side_by_side
 from vayuspark.plans.training import Run, Settings, run_training
 from vayuspark.session import shared_dir
 from vayuspark.vocab import MEMBERS, POLLUTANTS
@@ -23,10 +25,9 @@ TABLES = [f.name for f in fields(Run) if f.name != "models"]
 
 def save_run(run: Run, path: str) -> None:
     spark = run.spec.sparkSession
-    for (member, pollutant), model in run.models.items():
-        model.write().overwrite().save(f"{path}/models/{member}/{pollutant}")
-    for name in TABLES:
-        getattr(run, name).write.mode("overwrite").parquet(f"{path}/{name}")
+    models = [partial(model.write().overwrite().save, f"{path}/models/{member}/{pollutant}") for (member, pollutant), model in run.models.items()]
+    tables = [partial(getattr(run, name).write.mode("overwrite").parquet, f"{path}/{name}") for name in TABLES]
+    side_by_side(spark, models + tables)
     spark.createDataFrame(list(run.models), MODELS).coalesce(1).write.mode("overwrite").parquet(f"{path}/{COMPLETE}")
 
 
@@ -36,8 +37,9 @@ def load_run(spark: SparkSession, path: str) -> Run | None:
         names = [(r["member"], r["pollutant"]) for r in spark.read.schema(MODELS).parquet(f"{path}/{COMPLETE}").collect()]
     except AnalysisException:
         return None
-    models = {(m, p): KINDS[m].load(f"{path}/models/{m}/{p}") for p in POLLUTANTS for m in MEMBERS if (m, p) in names}
-    return Run(models=models, **{name: spark.read.parquet(f"{path}/{name}") for name in TABLES})
+    names = [(m, p) for p in POLLUTANTS for m in MEMBERS if (m, p) in names]
+    models = side_by_side(spark, [partial(KINDS[m].load, f"{path}/models/{m}/{p}") for m, p in names])
+    return Run(models=dict(zip(names, models)), **{name: spark.read.parquet(f"{path}/{name}") for name in TABLES})
 
 
 def _content(df: DataFrame) -> tuple:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from vayuspark.operators import evaluate as ev, features as ft
 from vayuspark.operators.blocks import BLOCK
 from vayuspark.operators.windows import NODE, TIME
-from vayuspark.plans.fits import side_by_side
+from vayuspark.plans.fits import fits_at_once, side_by_side
 from vayuspark.session import cut_lineage
 from vayuspark.vocab import FUTURE_FEATURES, HORIZON, LOOKBACK, MEMBERS, PAST_FEATURES, POLLUTANTS, TABULAR_FEATURES
 
@@ -43,7 +43,8 @@ def regressor(member: str, settings: Settings):
         return LinearRegression(loss="huber", **settings.huber, **common)
     if member == "gbt":
         return GBTRegressor(lossType="absolute", validationIndicatorCol="is_val", seed=settings.seed, **settings.gbt, **common)
-    return RandomForestRegressor(seed=settings.seed, **settings.rf, **common)
+    # the same trees, but each pass starts at a row's last node and not at the root of all trees
+    return RandomForestRegressor(seed=settings.seed, **{"cacheNodeIds": True, **settings.rf}, **common)
 
 
 def matrix(leads: DataFrame, frame: DataFrame, spec: DataFrame) -> DataFrame:
@@ -80,7 +81,8 @@ def train_members(train: DataFrame, val: DataFrame, stds: DataFrame, settings: S
 
     # boosting takes longest, so it starts first
     names = [(m, p) for m in sorted(members, key=lambda m: m != "gbt") for p in POLLUTANTS]
-    found = dict(zip(names, side_by_side(rows.sparkSession, [partial(fit, m, p) for m, p in names])))
+    at_once = fits_at_once(rows.count(), len(TABULAR_FEATURES), settings.rf.get("numTrees", 20))
+    found = dict(zip(names, side_by_side(rows.sparkSession, [partial(fit, m, p) for m, p in names], at_once)))
     return {(m, p): found[m, p] for p in POLLUTANTS for m in members}
 
 
@@ -147,13 +149,15 @@ def run_training(
     paths = cut_lineage(
         ev.scored_paths(ev.with_interval(test_rows, quantiles), [*names, "lower", "upper"]), "paths"
     )
-    scores = ev.score_models(paths, names)
-    errors = ev.sample_errors(paths, ["ensemble", *members])
-    best = ev.best_model(scores, members).first()["model"]
-    run = Run(
-        models, spec, stds, weights, quantiles, scores, ev.score_horizons(paths, names), ev.score_pollutants(paths, names),
-        test, ev.interval_coverage(paths), ev.wilcoxon_less(errors, "ensemble", best).withColumn("best_member", F.lit(best)), None,
-    )
+    # small tables that the card and the stored run read again: each is worked out once
+    small = {
+        "scores": ev.score_models(paths, names), "horizons": ev.score_horizons(paths, names), "pollutants": ev.score_pollutants(paths, names),
+        "coverage": ev.interval_coverage(paths), "errors": ev.sample_errors(paths, ["ensemble", *members]),
+    }
+    kept = dict(zip(small, side_by_side(frame.sparkSession, [partial(cut_lineage, df, name) for name, df in small.items()])))
+    best = ev.best_model(kept["scores"], members).first()["model"]
+    p_value = cut_lineage(ev.wilcoxon_less(kept.pop("errors"), "ensemble", best).withColumn("best_member", F.lit(best)), "p-value")
+    run = Run(models=models, spec=spec, stds=stds, weights=weights, quantiles=quantiles, test=test, p_value=p_value, card=None, **kept)
     run.card = model_card(run, obs, {"train": train, "val": val, "test": test}, version, source, trained_at, minutes)
     return run
 
